@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Slices of an Arrow batch that one numpy pass handles; a longer document is a slice by itself.
 SLICE_BYTES = 1 << 21
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,18 +39,24 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        old = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # the table replaces the shuffles behind it
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, old)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._calibrant_path = path
+        self.release()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more, and let Spark clean the shuffles behind them."""
         jvm = self.spark._jvm
+        self.release()
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._calibrant_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.release()
 
     def release(self) -> None:
         """Shuffle files go when the driver's JVM finds that no plan refers to them."""

@@ -39,15 +39,14 @@ def repeated_spans(runs: DataFrame, texts: DataFrame, expand: Callable, mode: st
     else:
         hot = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     cand = scratch.keep(runs.join(hot, "key"), "candidates")
-    scratch.release()
-    same = cand.groupBy("rh", "key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("kd", "kt", "p", "n")).alias("rep"))
+    # equal rh means equal text around an equal anchor, so the rows of an rh agree in key and n
+    same = cand.groupBy("rh").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.min(F.struct("kd", "kt", "p", "n")).alias("rep"))
     same = scratch.keep(same.select("rh", "key", "c", "rep.*"), "texts-of-runs")
     split = same.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     weight = F.col("kd") if earlier else F.col("c")
     picks = same.join(split, "key").groupBy("kd", "kt").agg(F.collect_list(F.struct("p", "n", "rh", weight.alias("w"))).alias("picks"))
     once = texts.dropDuplicates(["kd", "kt"]).join(picks, ["kd", "kt"]).select("kd", "text", "picks")
     windows = scratch.keep(once.mapInArrow(expand, "wid long, rh long, j int, w long"), "windows")
-    scratch.release()
     if earlier:
         seen = windows.groupBy("wid").agg(F.min("w").alias("first"))
         hits = windows.join(seen, "wid").where("w > first")
@@ -55,13 +54,13 @@ def repeated_spans(runs: DataFrame, texts: DataFrame, expand: Callable, mode: st
         seen = windows.groupBy("wid").agg(F.sum("w").alias("total")).where("total > 1")
         hits = windows.where("w = 1").join(seen, "wid")
     hits = hits.groupBy("rh").agg(F.collect_list("j").alias("js"))
-    first = same.select("rh", "key", "c", F.col("kd").alias("first"))
-    whole = cand.join(first.where("c > 1"), ["rh", "key"]).where("kd > first" if earlier else "true").select("kd", "kt", "p", "n")
-    part = cand.join(hits, "rh")
-    if earlier:
-        part = part.join(first, ["rh", "key"]).where("kd = first")
-    part = part.select("kd", "kt", F.explode("js").alias("j"), "p").select("kd", "kt", (F.col("p") + F.col("j")).alias("p"), F.lit(1).alias("n"))
-    spans = whole.union(part).distinct().groupBy("kd", "kt").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
+    verdict = same.select("rh", "c", F.col("kd").alias("first")).join(hits, "rh", "left").where("c > 1 or js is not null")
+    told = cand.select("kd", "kt", "rh", "p", "n").join(verdict, "rh")
+    all_of_it = F.col("kd") > F.col("first") if earlier else F.col("c") > 1
+    one = F.array(F.struct("p", "n"))
+    some = F.transform(F.coalesce("js", F.array().cast("array<int>")), lambda j: F.struct((F.col("p") + j).alias("p"), F.lit(1).alias("n")))
+    told = told.select("kd", "kt", F.explode(F.when(all_of_it, one).otherwise(some)).alias("s")).select("kd", "kt", "s.p", "s.n")
+    spans = told.distinct().groupBy("kd", "kt").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
     spans = scratch.keep(spans, "spans")
     scratch.drop(cand, same, windows)
     return spans
