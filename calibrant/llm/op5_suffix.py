@@ -103,7 +103,15 @@ def covered(spans_row, size: int, width: int) -> np.ndarray:
     return np.cumsum(edge)[:size] > 0
 
 
-def cut_bytes(min_bytes: int):
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Every byte of a UTF-8 character that lost one."""
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    hit = np.zeros(int(char[-1]) + 1, bool)
+    hit[char[gone]] = True
+    return hit[char]
+
+
+def cut_bytes(min_bytes: int, characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = None
         for batch in batches:
@@ -115,6 +123,8 @@ def cut_bytes(min_bytes: int):
                 data = np.frombuffer(raw, np.uint8)
                 if spans_col[i].is_valid and len(data):
                     gone = covered(spans_col[i].values, len(data), min_bytes)
+                    if characters:
+                        gone = whole_characters(data, gone)
                     kept.append(data[~gone].tobytes())
                     removed.append(int(gone.sum()))
                     runs.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
@@ -131,8 +141,11 @@ def cut_bytes(min_bytes: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns of ``carry``, ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
+def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+    """``doc_id``, the columns of ``carry``, ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row.
+
+    ``characters``: the rest of a character that lost a byte goes, too, so that ``kept`` is valid UTF-8.
+    """
     keyed = doc_key(docs.select("doc_id", "text", *carry))
     texts = keyed.select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     runs = texts.mapInArrow(byte_runs(min_bytes), RUN_SCHEMA)
@@ -140,7 +153,7 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES,
     rest = [f"{f.name}" for f in docs.select("doc_id", *carry).schema.fields]
     out = keyed.join(found, ["kd", "kt"], "left").select(*rest, F.col("text").cast("binary").alias("text"), "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-    return out.mapInArrow(cut_bytes(min_bytes), f"{types}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.mapInArrow(cut_bytes(min_bytes, characters), f"{types}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(out: DataFrame) -> DataFrame:

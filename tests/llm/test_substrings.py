@@ -45,3 +45,14 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert op5.suffix_dedup(none, Scratch(spark)).count() == 0
     assert op7.substring_dedup(none, Scratch(spark)).count() == 0
+
+
+def test_whole_characters(spark):
+    r = random.Random(4)
+    shared = "".join(r.choices("éèüßa", k=90))
+    # the bytes before the shared passage end alike but belong to different characters
+    rows = [(1, "ĩ" + shared + "xy", "", "", 1), (2, "é" + shared + "zw", "", "", 1)]
+    out = op5.suffix_dedup(spark.createDataFrame(rows, SCHEMA), Scratch(spark), 60, characters=True).collect()
+    assert sorted((x["doc_id"], x["kept"].decode()) for x in out) == [(1, "xy"), (2, "zw")]
+    split = op5.suffix_dedup(spark.createDataFrame(rows, SCHEMA), Scratch(spark), 60).collect()
+    assert {x["kept"] for x in split} == {b"\xc4xy", b"\xc3zw"}
