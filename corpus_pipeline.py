@@ -41,10 +41,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is cut out of the middle of a character (never by equal strings of whole characters) is dropped by the decoder."""
+    """A character that a cut would split goes as a whole."""
     docs = docs.select(*COLUMNS)
-    out = op5_suffix.suffix_dedup(docs, Scratch(spark), REPEAT_BYTES, carry=("lang", "source"))
-    text = F.expr("decode(kept, 'UTF-8')")
+    out = op5_suffix.suffix_dedup(docs, Scratch(spark), REPEAT_BYTES, carry=("lang", "source"), characters=True)
+    text = F.col("kept").cast("string")
     return out.where("n_bytes > n_removed or n_bytes = 0").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
