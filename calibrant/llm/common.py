@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Slices of an Arrow batch that one numpy pass handles; a longer document is a slice by itself.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
