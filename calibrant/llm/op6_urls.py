@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: (verdict, host, path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Host words that mark unwanted sites (weak labels), and ordinary words that such names are joined with.
 SEEDS = ("ads", "adult", "adware", "bet", "bets", "betting", "casino", "dating", "erotic", "escort", "gamble", "gambling", "lottery", "malware", "nude", "payday", "pharmacy", "phishing", "pill", "pills", "poker", "porn", "roulette", "sex", "sexy", "slots", "spam", "tracker", "track", "viagra", "webcam", "xxx")
 PLAIN = ("best", "blog", "buy", "cheap", "click", "club", "farm", "free", "girls", "hot", "live", "mail", "my", "news", "now", "online", "play", "shop", "site", "store", "the", "top", "video", "web", "win", "world")
