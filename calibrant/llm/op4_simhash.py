@@ -28,18 +28,23 @@ from .common import Scratch, connected_components, slices
 SHINGLE, RADIUS, SEED = 3, 2, 42
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the XXH64 values of the word shingles; A-Z are lower-cased, words split at ASCII space."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 values of the word shingles; A-Z are lower-cased, words split at ASCII space; fewer words are one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(flat, SEED)
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     begin = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
     stop = (ends[shingle - 1 :] - 1).tolist()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, map(flat.__getitem__, map(slice, begin, stop)), repeat(SEED)), np.uint64, len(begin))
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(flat.__getitem__, map(slice, begin, stop)), repeat(SEED)), np.uint64, len(begin))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the XXH64 values of the word shingles; zero without words."""
+    h = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
