@@ -3,7 +3,7 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents``.
 
 1. language_id - documents whose language is rejected (no letter, or a calibrated score under the threshold) go.
-2. near_dedup - SimHash over five-word shingles; of each group the document of smallest id stays.
+2. near_dedup - deletion-variant signatures of five-word shingles, similarity 0.8; of each group the document of smallest id stays.
 3. suffix_dedup - bytes under a repeated string of ``REPEAT_BYTES`` go; documents that it leaves empty go too.
 4. decontaminate - documents that hold a benchmark item go.
 5. tokenise - byte-level BPE ids of what is left.
@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrant.llm import op3_langid, op4_simhash, op5_suffix, op8_bpe, op9_decontam
+from calibrant.llm import op3_langid, op4_similar, op5_suffix, op8_bpe, op9_decontam
 from calibrant.llm.common import Scratch
 from calibrant.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: About fifty words.
 REPEAT_BYTES = 300
-SHINGLE, RADIUS = 5, 3
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal ids in a group one row stays, too; the choice among them is by text."""
     docs = docs.select(*COLUMNS)
-    scratch = Scratch(spark)
-    groups = op4_simhash.near_duplicates(docs.withColumn("kt", F.xxhash64(F.lit(0), F.coalesce("text", F.lit("")))), scratch, SHINGLE, RADIUS, carry=("kt",))
-    stay = groups.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("kd"), "kt")).alias("s")).select("s.*").distinct()
+    groups = op4_similar.similar(docs, Scratch(spark), SHINGLE, SIMILARITY)
+    stay = groups.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("kd"), "kt")).alias("s")).select("s.*").distinct()
     keyed = docs.withColumns({"kd": F.coalesce("doc_id", F.lit(2**63 - 1)), "kt": F.xxhash64(F.lit(0), F.coalesce("text", F.lit("")))})
     return keyed.join(stay, ["kd", "kt"], "left_semi").dropDuplicates(["kd", "kt"]).select(*COLUMNS)
 
