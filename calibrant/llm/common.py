@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Slices of an Arrow batch that one numpy pass handles; a longer document is a slice by itself.
 SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch between the JVM and Python: both sides hold whole batches, of whole texts.
+BATCH_ROWS, BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,12 +41,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        old = self.spark.conf.get(CLEANUP, "false")
+        old = {CLEANUP: self.spark.conf.get(CLEANUP, "false"), BATCH: self.spark.conf.get(BATCH)}
         self.spark.conf.set(CLEANUP, "true")  # the table replaces the shuffles behind it
+        self.spark.conf.set(BATCH, str(BATCH_ROWS))
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, old)
+            for k, v in old.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._calibrant_path = path
         self.release()
