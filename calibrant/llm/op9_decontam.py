@@ -9,10 +9,14 @@ have no part in any product with an item.  Words are compared in lower case and
 3. a randomised SVD: every task adds up A^T (A Omega) for a random words x rank matrix Omega, a Nystroem step on the driver
    (vocabulary x rank numbers, whatever the corpus) gives the leading right singular vectors.  Columns have unit length
    (LSI's "normal" weight times idf), so that words that occur together - an item and its copies - lead the spectrum;
-4. overlapping passages are projected and compared with the items' passages by cosine, in matrix blocks; candidates are
-   verified on the words around the passage: half of the item's rarest words (they stand for its answer,
+4. overlapping passages are projected and compared with the items' passages by cosine, in matrix blocks.  This search is
+   approximate (rank, cosine limit, words of weight zero), so an exact one stands beside it: every window that holds as many of
+   an item's rarest words as step 5 asks for is a candidate, however common these words are;
+5. candidates are verified on the words around the passage: half of the item's rarest words (they stand for its answer,
    which the table lacks) must occur, and the longest common subsequence must hold ``lcs`` of the item's words.
 
+So no window that step 5 would accept is left out; ``cosine`` is 0 where all words of a passage are common.
+
 Partial sums travel in chunks and are added while streaming, so no task holds more than one table.
 
 Result: one row for each document and item that match (the best passage).  Edge cases: null or empty texts and items match
@@ -22,6 +26,7 @@ they are; repeated rows give one row; empty tables give an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, flat, slices
-from .rolling import word_hashes, words
+from .rolling import ranges, word_hashes, words
 from .textnorm import bare_words
 
 WIDTH, STRIDE, ITEM_STRIDE = 32, 16, 8
@@ -186,6 +191,9 @@ class Index:
     latent: np.ndarray  #: unit vectors of the items' passages
     length: np.ndarray
     item: np.ndarray  #: whose
+    key_off: np.ndarray  #: word number to its stretch of ``key_item``
+    key_item: np.ndarray  #: items that have the word among their keys
+    need: np.ndarray  #: keys that every match of the item holds
 
 
 def item_passages(c: np.ndarray):
@@ -194,14 +202,24 @@ def item_passages(c: np.ndarray):
         yield c[s : s + WIDTH]
 
 
-def build_index(ids: list, numbered: list[np.ndarray], idf: np.ndarray, vectors: np.ndarray) -> Index:
+def key_words(item: np.ndarray, rare: np.ndarray, rarity: np.ndarray, lcs: float, answer: float) -> tuple[np.ndarray, int]:
+    """Words of an item and how many of them every match holds: by the answer check or, without one, by the LCS limit."""
+    if answer > 0:
+        return rare, max(1, math.ceil(answer * len(rare) - 1e-9))
+    spare = len(item) - math.ceil(lcs * len(item) - 1e-9)
+    return np.unique(item[np.argsort(-rarity[item], kind="stable")[: spare + 1]]), 1
+
+
+def build_index(ids: list, numbered: list[np.ndarray], idf: np.ndarray, rarity: np.ndarray, vectors: np.ndarray, lcs: float, answer: float) -> Index:
     project = (vectors * idf[:, None]).astype(np.float32)
     latent = np.stack([project[x].sum(axis=0) for c in numbered for x in item_passages(c)])
     item = np.array([k for k, c in enumerate(numbered) for _ in item_passages(c)])
     length = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
-    full = np.where(idf > 0, idf, 0)
-    rare = [np.unique(c[np.argsort(-full[c], kind="stable")[: max(2, -(-len(c) // 4))]]) for c in numbered]
-    return Index(ids, numbered, rare, project, latent / length[:, None], length, item)
+    rare = [np.unique(c[np.argsort(-rarity[c], kind="stable")[: max(2, -(-len(c) // 4))]]) for c in numbered]
+    keys = [key_words(c, r, rarity, lcs, answer) for c, r in zip(numbered, rare, strict=True)]
+    word, whose = np.concatenate([k for k, _ in keys]), np.repeat(np.arange(len(keys)), [len(k) for k, _ in keys])
+    key_off = np.searchsorted(np.sort(word), np.arange(len(idf) + 1))
+    return Index(ids, numbered, rare, project, latent / length[:, None], length, item, key_off, whose[np.argsort(word, kind="stable")], np.array([n for _, n in keys]))
 
 
 def word_masks(item: np.ndarray) -> dict[int, int]:
@@ -227,20 +245,36 @@ def lcs_length(item: np.ndarray, text: np.ndarray) -> int:
     return lcs_of(word_masks(item), len(item), text.tolist())
 
 
+def key_windows(index: Index, size: np.ndarray, numbers: np.ndarray, at: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document, item, first word) of every window, a stride apart, whose surroundings hold enough of the item's keys."""
+    count = np.diff(index.key_off)[numbers]
+    hit = np.flatnonzero(count)
+    which = np.repeat(hit, count[hit])
+    item = index.key_item[ranges(index.key_off[numbers[hit]], count[hit])]
+    group = (np.searchsorted(off, which, side="right") - 1) * len(size) + item
+    order = np.argsort(group, kind="stable")  # places stay in ascending order
+    group, item, place = group[order], item[order], at[which[order]].astype(np.int64)
+    last = np.arange(len(order)) + index.need[item] - 1
+    ok = last < len(order)
+    last = np.minimum(last, len(order) - 1)
+    ok &= (group[last] == group) & (place[last] - place < 2 * size[item] + WIDTH)
+    group, item, place, last = group[ok], item[ok], place[ok], place[last[ok]]
+    low = -(-np.maximum(0, last - WIDTH - size[item] + 1) // STRIDE)
+    many = np.maximum(0, (place + size[item]) // STRIDE - low + 1)
+    found = np.unique(np.stack([np.repeat(group, many), ranges(low, many)]), axis=1)
+    for g, b in found.T.tolist():
+        yield g // len(size), g % len(size), b * STRIDE
+
+
 def search(index: Index, live: np.ndarray, cosine: float, lcs: float, answer: float):
-    """Candidates by cosine, then verification; a passage's vector is the sum of two strides."""
+    """Candidates by cosine and by key words, then verification; a passage's vector is the sum of two strides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks, rare = [word_masks(c) for c in index.words], [frozenset(r.tolist()) for r in index.rare]
         floor = np.float32(0.4) * index.length.astype(np.float32)[None, :]
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_ratio", pa.float64()), ("answer_share", pa.float64()), ("word", pa.int64())])
-        for part in (x for batch in batches for x in slices(batch, "words", 4 * PROJECTED)):
-            c, row, first = passages(part, live, STRIDE)
-            if not len(c):
-                continue
-            numbers, off = flat(part.column(1))
-            numbers, at, off = numbers.view(np.int32), flat(part.column(2))[0].view(np.int32), off // 4
-            ids = part.column(0).to_pylist()
+        own = [np.flatnonzero(index.item == k) for k in range(len(index.words))]
+
+        def near_windows(found, c, row, first):
             cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             have = row[cut]
             sums = np.add.reduceat(index.project[c], cut, axis=0)
@@ -251,7 +285,6 @@ def search(index: Index, live: np.ndarray, cosine: float, lcs: float, answer: fl
             pair[near] += sums[near + 1]
             amount[near] += seen[near + 1]
             may = np.flatnonzero(amount >= 2)
-            best: dict[tuple[int, int], tuple] = {}
             for i in range(0, len(may), 4096):
                 z = pair[may[i : i + 4096]]
                 norm = np.sqrt(np.einsum("ij,ij->i", z, z))
@@ -260,18 +293,39 @@ def search(index: Index, live: np.ndarray, cosine: float, lcs: float, answer: fl
                 good &= close >= np.float32(cosine) * norm[:, None]
                 for w, k in np.argwhere(good).tolist():
                     m = may[i + w]
-                    d, it = int(doc[m]), int(index.item[k])
-                    size, begin = len(index.words[it]), int(have[m] - first[d]) * STRIDE
-                    mine = at[off[d] : off[d + 1]]
-                    lo, hi = mine.searchsorted(begin - size) + off[d], mine.searchsorted(begin + WIDTH + size) + off[d]
-                    text = numbers[lo:hi].tolist()
-                    share = len(rare[it].intersection(text)) / len(rare[it])
-                    if share < answer:
-                        continue
-                    ratio = lcs_of(masks[it], size, text) / size
-                    value = float(close[w, k] / max(float(norm[w]), 1e-9))
-                    if ratio >= lcs and (ratio, value) > best.get((d, it), (0.0, 0.0))[:2]:
-                        best[d, it] = (ratio, value, share, begin)
+                    d = int(doc[m])
+                    key = d, int(index.item[k]), int(have[m] - first[d]) * STRIDE
+                    found[key] = max(found.get(key, -1.0), float(close[w, k] / max(float(norm[w]), 1e-9)))
+
+        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_ratio", pa.float64()), ("answer_share", pa.float64()), ("word", pa.int64())])
+        sizes = np.array([len(c) for c in index.words])
+        for part in (x for batch in batches for x in slices(batch, "words", 4 * PROJECTED)):
+            numbers, off = flat(part.column(1))
+            numbers, at, off = numbers.view(np.int32), flat(part.column(2))[0].view(np.int32), off // 4
+            if not len(numbers):
+                continue
+            ids = part.column(0).to_pylist()
+            found: dict[tuple[int, int, int], float] = dict.fromkeys(key_windows(index, sizes, numbers, at, off), -1.0)
+            c, row, first = passages(part, live, STRIDE)
+            if len(c):
+                near_windows(found, c, row, first)
+            best: dict[tuple[int, int], tuple] = {}
+            for (d, it, begin), value in found.items():
+                size, mine = len(index.words[it]), at[off[d] : off[d + 1]]
+                lo, hi = (mine.searchsorted([begin - size, begin + WIDTH + size]) + off[d]).tolist()
+                text = numbers[lo:hi].tolist()
+                share = len(rare[it].intersection(text)) / len(rare[it])
+                if share < answer:
+                    continue
+                ratio = lcs_of(masks[it], size, text) / size
+                if ratio < lcs or ratio < best.get((d, it), (0.0,))[0]:
+                    continue
+                if value < 0:
+                    lo, hi = mine.searchsorted([begin, begin + WIDTH]) + off[d]
+                    z = index.project[numbers[lo:hi]].sum(axis=0)
+                    value = max(0.0, float((index.latent[own[it]] @ z).max()) / max(float(np.linalg.norm(z)), 1e-9))
+                if (ratio, value) > best.get((d, it), (0.0, -1.0))[:2]:
+                    best[d, it] = (ratio, value, share, begin)
             if best:
                 yield pa.RecordBatch.from_pylist([{"doc_id": ids[d], "item_id": index.ids[it], "cosine": v[1], "lcs_ratio": v[0], "answer_share": v[2], "word": v[3]} for (d, it), v in best.items()], schema=schema)
 
@@ -298,14 +352,15 @@ def match_block(texts: DataFrame, rows: list[tuple], scratch: Scratch, cosine: f
     df, total = table[:, 0], table[0, 1] + len(own)
     for x in own:
         df[np.unique(x)] += 1
-    idf = np.where(df > max(common * total, 20), 0, np.log((total + 1) / (df + 1)))
+    rarity = np.log((total + 1) / (df + 1))
+    idf = np.where(df > max(common * total, 20), 0, rarity)
     weight = (idf / np.sqrt(np.maximum(df, 1))).astype(np.float32)
     b = summed(found.mapInArrow(sketch(weight, rank), SUMS), n, rank)
     look = omega(n, rank) * weight[:, None]
     for x in own:
         x = x[weight[x] > 0]
         add_sketch(b, look, x, np.zeros(len(x), np.int64))
-    index = build_index([i for i, _ in hashed], numbered, idf, leading_vectors(b, weight, rank))
+    index = build_index([i for i, _ in hashed], numbered, idf, rarity, leading_vectors(b, weight, rank), lcs, answer)
     return found.mapInArrow(search(index, weight > 0, cosine, lcs, answer), schema)
 
 
