@@ -20,8 +20,8 @@ So no window that step 5 would accept is left out; ``cosine`` is 0 where all wor
 Partial sums travel in chunks and are added while streaming, so no task holds more than one table.
 
 Result: one row for each document and item that match (the best passage).  Edge cases: null or empty texts and items match
-nothing; items of fewer than ``least_words`` words are ignored (chance would match them); null ids are kept as
-they are; repeated rows give one row; empty tables give an empty result.
+nothing; items of fewer than ``least_words`` words match where all their words follow each other (chance would match them
+by subsequence), with ratios of 1; null ids are kept as they are; repeated rows give one row; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -332,22 +332,54 @@ def search(index: Index, live: np.ndarray, cosine: float, lcs: float, answer: fl
     return run
 
 
+def short_items(items: list[tuple]):
+    """Documents with all words of an item in a row; an item is looked up by the word that the slice has least of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch, "words", 4 * PROJECTED)):
+            numbers, off = flat(part.column(1))
+            numbers, at, off = numbers.view(np.int32), flat(part.column(2))[0].view(np.int32), off // 4
+            order = np.argsort(numbers, kind="stable")
+            ordered, hits = numbers[order], []
+            for i, words in items:
+                low, high = np.searchsorted(ordered, words), np.searchsorted(ordered, words, side="right")
+                k = int(np.argmin(high - low))
+                start = order[low[k] : high[k]] - k
+                start = start[(start >= 0) & (start + len(words) <= len(numbers))]
+                for j, w in enumerate(words.tolist()):
+                    start = start[(numbers[start + j] == w) & (at[start + j] == at[start] + j)]
+                doc = np.searchsorted(off, start, side="right") - 1
+                inside = start + len(words) <= off[doc + 1]
+                doc, first = np.unique(doc[inside], return_index=True)
+                hits += [(d, i, int(at[s])) for d, s in zip(doc.tolist(), start[inside][first].tolist(), strict=True)]
+            if hits:
+                d, i, word = zip(*hits, strict=True)
+                ids = part.column(0).take(pa.array(d))
+                ones = pa.array([1.0] * len(d))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(i, pa.int64()), ones, ones, ones, pa.array(word, pa.int64())], names=["doc_id", "item_id", "cosine", "lcs_ratio", "answer_share", "word"])
+
+    return run
+
+
 def match_block(texts: DataFrame, rows: list[tuple], scratch: Scratch, cosine: float, lcs: float, answer: float, common: float, least_words: int) -> DataFrame:
     schema = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_share double, word long"
-    hashed = []
+    hashed, short = [], []
     for i, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         h = tokens(raw, np.array([0, len(raw)]))[0]
-        if len(h) >= least_words:
-            hashed.append((i, h))
-    if not hashed:
+        if len(h):
+            (hashed if len(h) >= least_words else short).append((i, h))
+    if not hashed and not short:
         return texts.sparkSession.createDataFrame([], schema)
-    vocabulary = Vocabulary(np.concatenate([h for _, h in hashed]))
+    vocabulary = Vocabulary(np.concatenate([h for _, h in hashed + short]))
+    found = scratch.keep(texts.mapInArrow(number_words(vocabulary), "doc_id long, words binary, at binary"), "benchmark-words")
+    exact = found.mapInArrow(short_items([(i, vocabulary.find(h)[1]) for i, h in short]), schema) if short else None
+    if not hashed:
+        return exact
     n = len(vocabulary.known)
     numbered = [vocabulary.find(h)[1] for _, h in hashed]
     own = [x for c in numbered for x in item_passages(c)]
     rank = min(n, max(RANKS[0], min(RANKS[1], len(hashed) // 2)))
-    found = scratch.keep(texts.mapInArrow(number_words(vocabulary), "doc_id long, words binary, at binary"), "benchmark-words")
     table = summed(found.mapInArrow(count_passages(n), SUMS), n, 2)
     df, total = table[:, 0], table[0, 1] + len(own)
     for x in own:
@@ -361,7 +393,8 @@ def match_block(texts: DataFrame, rows: list[tuple], scratch: Scratch, cosine: f
         x = x[weight[x] > 0]
         add_sketch(b, look, x, np.zeros(len(x), np.int64))
     index = build_index([i for i, _ in hashed], numbered, idf, rarity, leading_vectors(b, weight, rank), lcs, answer)
-    return found.mapInArrow(search(index, weight > 0, cosine, lcs, answer), schema)
+    hits = found.mapInArrow(search(index, weight > 0, cosine, lcs, answer), schema)
+    return hits.union(exact) if short else hits
 
 
 def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, common: float = COMMON, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -379,7 +412,7 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, cosine: fl
 
 
 def brute_force(rows: list[tuple], items: list[tuple], lcs: float = LCS, least_words: int = LEAST_WORDS) -> set[tuple]:
-    """(doc_id, item_id) by comparing every item with every stretch of every document."""
+    """(doc_id, item_id) by comparing every item with every stretch of every document; short items word for word."""
 
     def hashes(text):
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -389,6 +422,10 @@ def brute_force(rows: list[tuple], items: list[tuple], lcs: float = LCS, least_w
     for i, text in rows:
         h = hashes(text)
         for k, w in queries:
-            if len(w) >= least_words and any(lcs_length(w, h[s : s + 2 * len(w)]) / len(w) >= lcs for s in range(0, max(1, len(h)), 8)):
+            if 0 < len(w) < least_words:
+                found = any(np.array_equal(h[s : s + len(w)], w) for s in range(len(h) - len(w) + 1))
+            else:
+                found = len(w) > 0 and any(lcs_length(w, h[s : s + 2 * len(w)]) / len(w) >= lcs for s in range(0, max(1, len(h)), 8))
+            if found:
                 out.add((i, k))
     return out

@@ -25,3 +25,14 @@ def test_item_in_a_third_of_all_rows(spark):
     rows = [(i, text(60) + " " + items[0][1] + " " + text(60) if i % 3 == 0 else text(150)) for i in range(600)] + [(900, text(40) + " " + items[1][1])]
     got = leaks(spark, rows, items)
     assert got == {(i, 0) for i in range(0, 600, 3)} | {(900, 1)} == op9.brute_force(rows, items)
+
+
+def test_short_items(spark):
+    r = random.Random(13)
+    word = made_up(r, 500)
+    text = lambda n: " ".join(r.choices(word, k=n))
+    items = [(1, "Who wrote the book of Yx?"), (2, "book"), (3, "the the"), (4, text(20)), (5, "?!"), (6, None)]
+    rows = [(1, text(50) + " who WROTE, the book of yx " + text(9)), (2, "who wrote the book"), (3, "of yx?"), (4, text(5) + " the\nthe the"), (5, "who wrote the good book of yx"), (6, items[3][1]), (7, "the"), (8, None)]
+    want = {(1, 1), (1, 2), (2, 2), (5, 2), (4, 3), (6, 4)}
+    assert leaks(spark, rows, items) == want == op9.brute_force(rows, items)
+    assert leaks(spark, rows, items[:3]) == want - {(6, 4)}
