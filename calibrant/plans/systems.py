@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.functions.text import context, fusion_context, newest_first_context, tokens
+from calibrant.functions.text import context, fusion_context, newest_first_context, thought_context, tokens
 from calibrant.operators import fusion, search
 
 Retriever = Callable[[DataFrame, int], DataFrame]
@@ -102,7 +102,7 @@ class RatRag(System):
         state = samples.withColumn("reasoning", F.col("question"))
         for _ in range(self.rounds):
             state = retrieved(state, F.col("reasoning"), self.retriever, self.k)
-            state = state.withColumn("reasoning", F.substring(F.concat_ws(" ", "question", F.substring(F.array_join("docs", " "), 1, 200)), 1, 400)).drop("docs")
+            state = state.withColumn("reasoning", F.concat_ws("\n", "question", F.nullif(thought_context(F.col("docs")), F.lit("")))).drop("docs")
         return state.withColumn("context", F.col("reasoning"))
 
 
@@ -115,7 +115,7 @@ class CoRag(System):
         state = samples.withColumns({"sub": F.col("question"), "past": F.array().cast("array<string>")})
         for i in range(self.rounds):
             state = retrieved(state, F.col("sub"), self.retriever, self.k)
-            state = state.withColumns({"past": F.concat("past", F.slice("docs", 1, 2)), "sub": rewrite(F.col("question"), i)}).drop("docs")
+            state = state.withColumns({"past": F.concat("past", "docs"), "sub": rewrite(F.col("question"), i)}).drop("docs")
         return state.withColumn("context", newest_first_context(F.col("past")))
 
 
