@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, doc_key, flat, slices
 from .repeats import RUN_SCHEMA, repeated_spans
-from .rolling import BYTE, grams, mix, prefix, ranges, sliding_min, spans
+from .rolling import BYTE, grams, mix, prefix, ranges, sliding_min, spans, words
 
 MIN_BYTES = 400
 
 
-def byte_runs(min_bytes: int):
-    q = max(8, min_bytes * 16 // 25)
+def byte_runs(min_bytes: int, anchor: int | None = None):
+    q = anchor or max(8, min_bytes * 16 // 25)
     tag = np.uint64((1 << 31) - 1)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,7 +111,18 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return hit[char]
 
 
-def cut_bytes(min_bytes: int, characters: bool):
+def of_words(data: np.ndarray, gone: np.ndarray, least: int) -> np.ndarray:
+    """The stretches of ``gone`` with at least ``least`` whole words."""
+    edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first, last, _ = words(data, np.array([0, len(data)]))
+    long = np.searchsorted(last, stop, side="right") - np.searchsorted(first, begin) >= least
+    out = np.zeros(len(data), bool)
+    out[ranges(begin[long], (stop - begin)[long])] = True
+    return out
+
+
+def cut_bytes(min_bytes: int, characters: bool, least_words: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = None
         for batch in batches:
@@ -123,7 +134,9 @@ def cut_bytes(min_bytes: int, characters: bool):
                 data = np.frombuffer(raw, np.uint8)
                 if spans_col[i].is_valid and len(data):
                     gone = covered(spans_col[i].values, len(data), min_bytes)
-                    if characters:
+                    if least_words:
+                        gone = of_words(data, gone, least_words)
+                    if characters and gone.any():
                         gone = whole_characters(data, gone)
                     kept.append(data[~gone].tobytes())
                     removed.append(int(gone.sum()))
@@ -141,19 +154,20 @@ def cut_bytes(min_bytes: int, characters: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), characters: bool = False, least_words: int = 0, anchor: int | None = None) -> DataFrame:
     """``doc_id``, the columns of ``carry``, ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row.
 
     ``characters``: the rest of a character that lost a byte goes, too, so that ``kept`` is valid UTF-8.
+    ``least_words``: stretches of repeated bytes with fewer whole words stay.  ``anchor``: bytes of a q-gram, any up to ``min_bytes``.
     """
     keyed = doc_key(docs.select("doc_id", "text", *carry))
     texts = keyed.select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    runs = texts.mapInArrow(byte_runs(min_bytes), RUN_SCHEMA)
+    runs = texts.mapInArrow(byte_runs(min_bytes, anchor), RUN_SCHEMA)
     found = repeated_spans(runs, texts, byte_windows(min_bytes), "any", scratch)
     rest = [f"{f.name}" for f in docs.select("doc_id", *carry).schema.fields]
     out = keyed.join(found, ["kd", "kt"], "left").select(*rest, F.col("text").cast("binary").alias("text"), "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-    return out.mapInArrow(cut_bytes(min_bytes, characters), f"{types}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.mapInArrow(cut_bytes(min_bytes, characters, least_words), f"{types}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 
 1. language_id - documents whose language is rejected (no letter, or a calibrated score under the threshold) go.
 2. near_dedup - deletion-variant signatures of five-word shingles, similarity 0.8; of each group the document of smallest id stays.
-3. suffix_dedup - bytes under a repeated string of ``REPEAT_BYTES`` go; documents that it leaves empty go too.
+3. suffix_dedup - stretches of ``REPEAT_WORDS`` words under repeated strings of ``REPEAT_BYTES`` go; documents that it leaves empty go too.
 4. decontaminate - documents that hold a benchmark item go.
 5. tokenise - byte-level BPE ids of what is left.
 """
@@ -19,8 +19,8 @@ from calibrant.llm.common import Scratch
 from calibrant.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: About fifty words.
-REPEAT_BYTES = 300
+#: A repeat of over fifty words; no text of 51 words is shorter than 101 bytes.
+REPEAT_WORDS, REPEAT_BYTES, REPEAT_ANCHOR = 51, 101, 48
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A character that a cut would split goes as a whole."""
     docs = docs.select(*COLUMNS)
-    out = op5_suffix.suffix_dedup(docs, Scratch(spark), REPEAT_BYTES, carry=("lang", "source"), characters=True)
+    out = op5_suffix.suffix_dedup(docs, Scratch(spark), REPEAT_BYTES, carry=("lang", "source"), characters=True, least_words=REPEAT_WORDS, anchor=REPEAT_ANCHOR)
     text = F.col("kept").cast("string")
     return out.where("n_bytes > n_removed or n_bytes = 0").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
