@@ -5,11 +5,11 @@ one bit has under 13 bits and its buckets grow with the corpus.  The same signat
 wide: ``BITS`` min-hashes of a text's set of shingles.  The first ``SEGMENTS * SEGMENT`` are the index: each segment is
 indexed with each one of its coordinates replaced by a wildcard, so texts meet where a segment differs in at most one
 coordinate (at similarity 0.8 with a chance of 0.998).  One bit of every min-hash makes the sketch that verifies: texts of
-similarity s differ in (1 - s) / 2 of its bits (standard deviation 0.013 of similarity); ``limit`` allows one deviation more.
+similarity s differ in (1 - s) / 2 of its bits (standard deviation 0.013 of similarity).  ; ``limit`` allows one deviation more.
 
 Keys are exchanged with a class number only; buckets with the same members become one before sketches are joined to them.
-A bucket gives spanning links, never all pairs.  One of more than ``BLOCK`` members is read in blocks: each is compared with itself
-and with the leaders (one for each component so far) of the blocks before, so memory is bounded.
+A bucket gives spanning links, never all pairs.  One of more than ``BLOCK`` members is dealt into blocks, and every two blocks meet as
+a bucket of their own, so no link is missed and memory is bounded.
 
 Edge cases: null and empty texts are one class; fewer words than a shingle are one shingle; null ids are
 rows without a say in ``component_id``; repeated rows are members of one class; an empty table gives an empty one.
@@ -37,9 +37,9 @@ ADD = _RNG.integers(0, 1 << 32, BITS, dtype=np.uint32)
 INDEXED = SEGMENTS * SEGMENT
 
 
-def limit(similarity: float) -> int:
+def limit(similarity: float, deviations: float = 1) -> int:
     share = (1 - similarity) / 2
-    return int(BITS * share + (BITS * share * (1 - share)) ** 0.5)
+    return int(BITS * share + deviations * (BITS * share * (1 - share)) ** 0.5)
 
 
 def min_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray | None:
@@ -124,55 +124,83 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[many].view(np.int64)), pa.array(kt[many])], names=["bucket", "kt"])
 
 
-def spanning(bits: np.ndarray, most: int) -> tuple[list, list, list]:
-    """Spanning links (positions) of the graph on sketches, and one leader for each component."""
-    a, b, leaders = [], [], []
+def spanning(bits: np.ndarray, linked) -> tuple[list, list, np.ndarray]:
+    """Spanning links (positions) and the component of each member; ``linked(x, others)`` tells which of the others x links to."""
+    a, b, component = [], [], np.zeros(len(bits), np.int64)
     unseen = np.arange(len(bits))
     while len(unseen):
-        leaders.append(int(unseen[0]))
         stack, unseen = [int(unseen[0])], unseen[1:]
+        component[stack[0]] = label = stack[0]
         while stack and len(unseen):
             x = stack.pop()
-            near = np.bitwise_count(bits[unseen] ^ bits[x]).sum(axis=1, dtype=np.int64) <= most
+            near = linked(x, unseen)
             hit = unseen[near].tolist()
             a += [x] * len(hit)
             b += hit
+            component[hit] = label
             stack += hit
             unseen = unseen[~near]
-    return a, b, leaders
+    return a, b, component
 
 
-def verify(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, kt, bits = None, np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
+def differing(bits: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
 
-        def links(kt, bits):
-            a, b, leaders = spanning(bits, most)
-            return pa.RecordBatch.from_arrays([pa.array(kt[a], pa.int64()), pa.array(kt[b], pa.int64())], names=["a", "b"]), leaders
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_numpy()
-            more_kt = batch.column(1).to_numpy()
-            more = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(2)), np.uint64).reshape(batch.num_rows, -1)
-            cut = np.flatnonzero(np.append(True, names[1:] != names[:-1])).tolist()
-            for i, j in zip(cut, [*cut[1:], batch.num_rows], strict=True):
-                if bucket != names[i] and len(kt):
-                    yield links(kt, bits)[0]
-                    kt, bits = kt[:0], bits[:0]
-                bucket = names[i]
-                kt, bits = np.concatenate([kt, more_kt[i:j]]), np.concatenate([bits, more[i:j]])
-                if len(kt) >= BLOCK:
-                    out, leaders = links(kt, bits)
-                    yield out
-                    kt, bits = kt[leaders], bits[leaders]
-        if len(kt):
-            yield links(kt, bits)[0]
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Buckets of rows sorted by the first column."""
+    name, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column(0).to_numpy()
+        cut = np.flatnonzero(np.append(True, names[1:] != names[:-1])).tolist()
+        for i, j in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+            if held and name != names[i]:
+                yield name, pa.Table.from_batches(held)
+                held = []
+            name = int(names[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
+def sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in column), np.uint64).reshape(len(column), -1)
+
+
+def verify(most: int, doubt: int | None = None):
+    """Spanning links ``a, b`` of each bucket.  With ``doubt`` there is a third column, and rows where it is true name a
+    bucket and a member that differs in at most ``doubt`` bits from a member of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in whole_buckets(batches):
+            kt, bits = rows.column(1).to_numpy(), sketches(rows.column(2))
+            a, b, component = spanning(bits, lambda x, others: differing(bits, x, others) <= most)  # noqa: B023
+            columns, names = [kt[a], kt[b]], ["a", "b"]
+            if doubt is not None:
+                open_ = np.zeros(len(kt), bool)
+                if (component != component[0]).any():
+                    every = np.arange(len(kt))
+                    for x in every:
+                        open_[x] = ((differing(bits, x, every) <= doubt) & (component != component[x])).any()
+                more = kt[open_]
+                columns = [np.append(columns[0], np.full(len(more), bucket)), np.append(columns[1], more), np.append(np.zeros(len(a), bool), np.ones(len(more), bool))]
+                names = [*names, "doubtful"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
 
+def split_large(members: DataFrame) -> DataFrame:
+    """``bucket, kt`` where each bucket of over ``BLOCK`` members is dealt into blocks and replaced by all pairs of these."""
+    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(large, "bucket", "left").withColumn("mine", F.pmod(F.xxhash64("kt", F.lit(4)), F.coalesce("blocks", F.lit(1))).cast("int"))
+    pairs = dealt.select("bucket", "kt", "blocks", "mine", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")).where("blocks is null or mine <> other")
+    name = F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
+    return pairs.select(name.alias("bucket"), "kt")
+
+
 def similar(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, kt, component_id, component`` of every row: ``kt`` names the text, ``component`` the group (also where no member has an id)."""
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -185,7 +213,7 @@ def similar(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarit
     keys = head.mapInArrow(variants, "key long, kt long").repartition(n, "key").sortWithinPartitions("key")
     members = scratch.keep(keys.mapInArrow(shared, "bucket long, kt long").distinct(), "members")
     tail = classes.select("kt", F.substring("sig", 4 * INDEXED + 1, BITS // 8).alias("bits"))
-    met = members.join(tail, "kt").select("bucket", "kt", "bits").repartition(n, "bucket").sortWithinPartitions("bucket", "kt")
+    met = split_large(members).join(tail, "kt").select("bucket", "kt", "bits").repartition(n, "bucket").sortWithinPartitions("bucket", "kt")
     links = scratch.keep(met.mapInArrow(verify(limit(similarity)), "a long, b long").distinct(), "links")
     scratch.drop(members, classes)
     roots = connected_components(links, scratch).select(F.col("node").alias("kt"), "root")

@@ -3,10 +3,23 @@
 import random
 
 import corpus_pipeline
+from calibrant.llm import op4_similar as near
 
 TEXTS = "doc_id long, text string"
 
 
+def test_large_bucket_keeps_every_member(spark, monkeypatch):
+    """A chain in which each text is near the next one only: all links of a bucket are found, though it is dealt into blocks."""
+    monkeypatch.setattr(near, "BLOCK", 10)
+    members = spark.createDataFrame([(7, k) for k in range(60)] + [(8, 1), (8, 2)], "bucket long, kt long")
+    rows = near.split_large(members).collect()
+    met = {}
+    for x in rows:
+        met.setdefault(x["bucket"], set()).add(x["kt"])
+    assert met[8] == {1, 2} and max(map(len, met.values())) < 45
+    assert all(any({a, b} <= group for group in met.values()) for a in range(60) for b in range(a))
+
+
 def test_passage_of_51_short_words(spark):
     r = random.Random(23)
     text = lambda n, k: " ".join("".join(r.choices("abcdefghijklm", k=k)) for _ in range(n))
