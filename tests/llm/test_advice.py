@@ -36,3 +36,25 @@ def test_short_items(spark):
     want = {(1, 1), (1, 2), (2, 2), (5, 2), (4, 3), (6, 4)}
     assert leaks(spark, rows, items) == want == op9.brute_force(rows, items)
     assert leaks(spark, rows, items[:3]) == want - {(6, 4)}
+
+
+def paraphrased(r, word, text, share):
+    return " ".join(r.choice(word) if r.random() < share else w for w in text.split())
+
+
+def test_paraphrases_of_many_items(spark):
+    """Every pair that meets the LCS limit and the answer check in some window is found, whatever the latent space keeps."""
+    r = random.Random(17)
+    word = made_up(r, 4000)
+    text = lambda n: " ".join(r.choices(word, k=n))
+    items = [(i, text(r.randrange(15, 60))) for i in range(250)]
+    rows = [(3 * i + k, " ".join([text(r.randrange(60)), paraphrased(r, word, x, share), text(r.randrange(60))])) for i, x in items for k, share in enumerate((0.2, 0.3, 0.38))]
+    want = set().union(*(op9.brute_force([row], [items[k // 3]]) for k, row in enumerate(rows)))
+    got = leaks_of(spark, rows, items, answer=0.0)
+    assert len(want) > 400 and want <= set(got)  # the operator's windows are wider than the stretches of brute force
+    assert {pair for pair, share in got.items() if share >= op9.ANSWER} <= set(leaks_of(spark, rows, items)) <= set(got)
+
+
+def leaks_of(spark, rows, items, **options):
+    got = op9.contaminated(spark.createDataFrame(rows, TEXTS), spark.createDataFrame(items, ITEMS), Scratch(spark), **options).collect()
+    return {(x["doc_id"], x["item_id"]): x["answer_share"] for x in got}
