@@ -97,6 +97,18 @@ def flat(text: pa.Array):
     return data, off - off[0]
 
 
+def overlapping(data, off, reach: int, limit: int = SLICE_BYTES):
+    """A slice as it is, or the pieces of a single long document: ``(data, off, base)``, ``limit`` bytes and ``reach`` more of what follows."""
+    import numpy as np
+
+    if len(off) != 2 or len(data) <= limit + reach:
+        yield data, off, 0
+        return
+    for base in range(0, len(data) - reach, limit):
+        part = data[base : base + limit + reach]
+        yield part, np.array([0, len(part)]), base
+
+
 def doc_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``kd, kt``: a key of the document that later joins can rely on, null ids and repeated ids included."""
     return df.withColumns({"kd": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "kt": F.xxhash64(F.lit(0), F.coalesce(F.col(text_col), F.lit("")))})

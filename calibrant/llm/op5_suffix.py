@@ -1,13 +1,17 @@
-"""Operator 5: exact removal of byte strings that repeat (suffix-array deduplication by bucket refinement).
+"""Operator 5: exact removal of byte strings that repeat (suffix-array deduplication by bucket-pointer refinement).
 
-Suffixes are put into initial buckets by a q-gram and refined by the bucket identifiers at later offsets, each round
-using the identifiers of the round before (8 bytes, 16, ... , min_bytes), so that equal identifiers mean
-equal prefixes of ``min_bytes``.  Only suffixes whose q-gram bucket is shared are refined: every window of ``min_bytes``
-has the q-gram of least hash in it as anchor, and consecutive windows with one anchor travel as one run
-(see ``repeats``).
+A string of ``min_bytes`` that repeats is a pair of suffixes with that common prefix.  Suffixes are put into initial buckets by
+a q-gram: the q-gram of least hash among those of the suffix's first ``min_bytes`` (its anchor), so equal prefixes share a bucket
+at equal offset, and buckets of one suffix are done (see ``repeats``, which exchanges runs of suffixes instead of single ones).
+Within a bucket the suffix array of the texts is built by bucket-pointer refinement: suffixes are sorted by their first 8 bytes, each
+one points to the end of its bucket, and every round sorts the buckets of two and more by the pointers at a later offset,
+8, 16, 32, ... bytes on, reusing the pointers of the round before, until buckets share ``min_bytes``.  Nothing is hashed there.
+
+Only suffixes whose q-gram bucket is shared are refined, because sorting every suffix of the corpus would shuffle over ten times the input.
 
 Edge cases: null text is empty; texts shorter than ``min_bytes`` keep all; repeated rows are documents of their own, so
-they remove each other; null ids are an ordinary value; an empty table gives an empty table.
+they remove each other; null ids are an ordinary value; a long text is read in overlapping pieces; an empty table gives an empty
+table; columns other than ``doc_id``, ``text`` and those carried are dropped.
 """
 
 from __future__ import annotations
@@ -20,21 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_key, flat, slices
-from .repeats import RUN_SCHEMA, repeated_spans
-from .rolling import BYTE, grams, mix, prefix, ranges, sliding_min, spans, words
+from .common import SLICE_BYTES, Scratch, doc_key, flat, overlapping, slices
+from .repeats import RUN_SCHEMA, digests, repeated_spans, run_batch
+from .rolling import BYTE, SPACE, grams, prefix, ranges, sliding_min
 
 MIN_BYTES = 400
+#: Texts of one bucket that a task compares at a time, in bytes.
+BUCKET_BYTES = 1 << 21
 
 
-def byte_runs(min_bytes: int, anchor: int | None = None):
+def byte_runs(min_bytes: int, anchor: int | None = None, limit: int = SLICE_BYTES):
     q = anchor or max(8, min_bytes * 16 // 25)
     tag = np.uint64((1 << 31) - 1)
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = flat(batch.column(2))
+    def one(kd: np.ndarray, kt: np.ndarray, data: np.ndarray, off: np.ndarray, base: int) -> pa.RecordBatch:
         g = grams(prefix(BYTE[data]), q)
-        h = prefix(BYTE[data])
         at = sliding_min((g & ~tag) | np.arange(len(g), dtype=np.uint64), min_bytes - q + 1) & tag
         size = np.diff(off)
         count = np.maximum(size - min_bytes + 1, 0)
@@ -46,85 +50,114 @@ def byte_runs(min_bytes: int, anchor: int | None = None):
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(p))[: len(first)] - 1
         row, a, start, end = row[first], a[first], p[first], p[last]
-        rh = spans(h, start, end + min_bytes) + mix((a - start).astype(np.uint64))
-        kd, kt = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kd), pa.array(kt), pa.array(g[a].view(np.int64)), pa.array(rh.view(np.int64)), pa.array((start - off[row]).astype(np.int32)), pa.array((end - start + 1).astype(np.int32))],
-            names=["kd", "kt", "key", "rh", "p", "n"],
-        )
+        return run_batch(kd[row], kt[row], g[a], digests(data, start, end + min_bytes), start - off[row] + base, end - start + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                if len(flat(part.column(2))[0]) >= min_bytes:
-                    yield one(part)
+            for part in slices(batch, "text", limit):
+                kd, kt = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                for data, off, base in overlapping(*flat(part.column(2)), min_bytes - 1, limit):
+                    if len(data) >= min_bytes:
+                        yield one(kd, kt, data, off, base)
 
     return run
 
 
-def refine(data: np.ndarray, pos: np.ndarray, width: int) -> np.ndarray:
-    """Bucket identifiers of the ``width``-byte prefixes of the suffixes at ``pos``.
+def bucket_pointers(data: np.ndarray, width: int) -> np.ndarray:
+    """For every suffix of ``data`` (zeros follow) the last place in the suffix array of its bucket, the suffixes with the same ``width``-byte prefix.
 
-    Starts with 8-byte buckets (the bytes themselves) and doubles: the new identifier joins those at i and at i + h.
+    Where a prefix runs past the end, the pointer says nothing.
     """
-    lo, hi = int(pos.min()), int(pos.max()) + width
-    b = np.lib.stride_tricks.sliding_window_view(data[lo:hi], 8)
-    b = np.ascontiguousarray(b).view(np.uint64).ravel()
-    h = 8
-    while h < width:
-        step = min(h, width - h)
-        b = mix(mix(b[:-step]) * np.uint64(0x8CB92BA72F3D8DD7) + b[step:])
-        h += step
-    return b[pos - lo]
-
-
-def byte_windows(min_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
-                picks = pa.array(batch.column(2)[i].values)
-                p, n, rh, w = (picks.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                j = ranges(np.zeros(len(p), np.int64), n.astype(np.int64))
-                pos = ranges(p.astype(np.int64), n.astype(np.int64))
-                wid = refine(data, pos, min_bytes)
-                yield pa.RecordBatch.from_arrays([pa.array(wid.view(np.int64)), pa.array(np.repeat(rh, n)), pa.array(j.astype(np.int32)), pa.array(np.repeat(w, n).astype(np.int64))], names=["wid", "rh", "j", "w"])
-
-    return run
-
-
-def covered(spans_row, size: int, width: int) -> np.ndarray:
-    """Bytes (or words) under any of the windows."""
-    edge = np.zeros(size + 1, np.int64)
-    if spans_row is not None:
-        p, n = (spans_row.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-        np.add.at(edge, p, 1)
-        np.add.at(edge, np.minimum(p + n - 1 + width, size), -1)
-    return np.cumsum(edge)[:size] > 0
-
-
-def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Every byte of a UTF-8 character that lost one."""
-    char = np.cumsum((data & 0xC0) != 0x80) - 1
-    hit = np.zeros(int(char[-1]) + 1, bool)
-    hit[char[gone]] = True
-    return hit[char]
-
-
-def of_words(data: np.ndarray, gone: np.ndarray, least: int) -> np.ndarray:
-    """The stretches of ``gone`` with at least ``least`` whole words."""
-    edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    first, last, _ = words(data, np.array([0, len(data)]))
-    long = np.searchsorted(last, stop, side="right") - np.searchsorted(first, begin) >= least
-    out = np.zeros(len(data), bool)
-    out[ranges(begin[long], (stop - begin)[long])] = True
+    n = len(data)
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
+    gram = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(pad, 8)[:n]).view(">u8").ravel().astype(np.uint64)
+    if width < 8:
+        gram >>= np.uint64(8 * (8 - width))
+    order = np.argsort(gram)
+    ends = _ends(gram[order])
+    pointer = np.empty(n, np.int64)
+    pointer[order] = ends
+    alone = np.empty(n, bool)
+    alone[order] = np.diff(ends, prepend=-1) * np.append(ends[1:] != ends[:-1], True) == 1
+    depth, active = 8, np.flatnonzero(~alone)
+    while depth < width:
+        step = min(depth, width - depth)  # the pointers at that offset know ``depth`` more bytes
+        active = active[active < n - step]
+        key = pointer[active] * n + pointer[active + step]
+        order = np.argsort(key)
+        key, active = key[order], active[order]
+        bucket, part = _ends(key // n), _ends(key)
+        # a new bucket's pointer is the old one less the members that come after it
+        pointer[active] = key // n - (bucket - part)
+        single = np.diff(part, prepend=-1) * np.append(part[1:] != part[:-1], True) == 1
+        active = active[~single]
+        depth += step
+    return pointer
+
+
+def _ends(ordered: np.ndarray) -> np.ndarray:
+    """For each element of a sorted array the last place of an equal one."""
+    last = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True)[: len(ordered)])
+    return np.repeat(last, np.diff(last, prepend=-1))
+
+
+def repeated_in_bucket(min_bytes: int):
+    """(row, window) of windows with another place: those whose suffixes share a refined bucket (see ``repeats.in_buckets``)."""
+
+    def solve(key: np.ndarray, weight: np.ndarray, bodies: pa.Array):
+        data, off = flat(bodies.combine_chunks() if isinstance(bodies, pa.ChunkedArray) else bodies)
+        n = np.diff(off) - min_bytes + 1
+        row, j = np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)
+        bucket = bucket_pointers(data, min_bytes)[off[row] + j]
+        total = np.bincount(bucket, weights=weight[row], minlength=len(data))
+        hit = (weight[row] == 1) & (total[bucket] > 1)
+        return row[hit], j[hit]
+
+    return solve
+
+
+def byte_bounds(min_bytes: int):
+    def bounds(data: np.ndarray, p: np.ndarray, n: np.ndarray):
+        begin = ranges(p, n)
+        return data, begin, begin + min_bytes
+
+    return bounds
+
+
+def covered(spans_row, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal stretches [begin, end) of bytes (or words) under any of the windows."""
+    p, n = (spans_row.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    order = np.argsort(p, kind="stable")
+    begin, end = p[order], np.maximum.accumulate(np.minimum(p + n - 1 + width, size)[order])
+    new = np.append(True, begin[1:] > end[:-1])
+    return begin[new], end[np.append(new[1:], True)]
+
+
+def whole_characters(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches grown to whole UTF-8 characters (at most three bytes either way)."""
+    begin, end = begin.copy(), end.copy()
+    for _ in range(3):
+        begin -= (begin > 0) & ((data[np.minimum(begin, len(data) - 1)] & 0xC0) == 0x80) & (begin < len(data))
+        end += (end < len(data)) & ((data[np.minimum(end, len(data) - 1)] & 0xC0) == 0x80)
+    new = np.append(True, begin[1:] > end[:-1])
+    return begin[new], end[np.append(new[1:], True)]
+
+
+def of_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
+    """Which stretches have at least ``least`` whole words."""
+    out = np.zeros(len(begin), bool)
+    for i, (b, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+        solid = ~SPACE[data[max(0, b - 1) : e + 1]]
+        if b == 0:
+            solid = np.append(False, solid)
+        starts = int((solid[1 : e - b + 1] & ~solid[: e - b]).sum())
+        cut = starts and e < len(data) and solid[e - b] and solid[e - b + 1]
+        out[i] = starts - bool(cut) >= least
     return out
 
 
 def cut_bytes(min_bytes: int, characters: bool, least_words: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = None
         for batch in batches:
             names = batch.schema.names
             text, spans_col = batch.column(names.index("text")), batch.column(names.index("spans"))
@@ -132,19 +165,18 @@ def cut_bytes(min_bytes: int, characters: bool, least_words: int = 0):
             for i in range(batch.num_rows):
                 raw = text[i].as_buffer() if text[i].is_valid else b""
                 data = np.frombuffer(raw, np.uint8)
+                begin = end = np.zeros(0, np.int64)
                 if spans_col[i].is_valid and len(data):
-                    gone = covered(spans_col[i].values, len(data), min_bytes)
+                    begin, end = covered(spans_col[i].values, len(data), min_bytes)
                     if least_words:
-                        gone = of_words(data, gone, least_words)
-                    if characters and gone.any():
-                        gone = whole_characters(data, gone)
-                    kept.append(data[~gone].tobytes())
-                    removed.append(int(gone.sum()))
-                    runs.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
-                else:
-                    kept.append(bytes(raw))
-                    removed.append(0)
-                    runs.append(0)
+                        long = of_words(data, begin, end, least_words)
+                        begin, end = begin[long], end[long]
+                    if characters and len(begin):
+                        begin, end = whole_characters(data, begin, end)
+                view, cuts = memoryview(raw), [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(data)]
+                kept.append(b"".join(view[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+                removed.append(int((end - begin).sum()))
+                runs.append(len(begin))
                 n_bytes.append(len(data))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i, k in enumerate(names) if k not in ("text", "spans")), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
@@ -154,7 +186,7 @@ def cut_bytes(min_bytes: int, characters: bool, least_words: int = 0):
     return run
 
 
-def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), characters: bool = False, least_words: int = 0, anchor: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), characters: bool = False, least_words: int = 0, anchor: int | None = None, bucket_bytes: int = BUCKET_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``doc_id``, the columns of ``carry``, ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row.
 
     ``characters``: the rest of a character that lost a byte goes, too, so that ``kept`` is valid UTF-8.
@@ -162,8 +194,8 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES,
     """
     keyed = doc_key(docs.select("doc_id", "text", *carry))
     texts = keyed.select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    runs = texts.mapInArrow(byte_runs(min_bytes, anchor), RUN_SCHEMA)
-    found = repeated_spans(runs, texts, byte_windows(min_bytes), "any", scratch)
+    runs = texts.mapInArrow(byte_runs(min_bytes, anchor, slice_bytes), RUN_SCHEMA)
+    found = repeated_spans(runs, texts, byte_bounds(min_bytes), repeated_in_bucket(min_bytes), max(2, bucket_bytes // (2 * min_bytes)), "any", scratch)
     rest = [f"{f.name}" for f in docs.select("doc_id", *carry).schema.fields]
     out = keyed.join(found, ["kd", "kt"], "left").select(*rest, F.col("text").cast("binary").alias("text"), "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
@@ -171,7 +203,8 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES,
 
 
 def digest(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns and ``text``, what is left of the text (characters that a cut splits show as U+FFFD)."""
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], min_bytes: int = MIN_BYTES) -> list[tuple]:

@@ -1,14 +1,15 @@
 """Operator 7: exact removal of word windows that already start in an earlier document (by recompression).
 
-Words are level-0 symbols; a round of recompression names runs of equal symbols and then pairs by a
-rule that looks at names only, so equal substrings have the same interior symbols everywhere.  Every window of
-``width`` words takes as anchor the ``gram`` consecutive level symbols of least name that its words determine; windows
-without one (long runs of a word) stand for themselves.  Shared anchors reveal long repeats, which
-``repeats`` verifies window by window where texts differ.
+Words are level-0 symbols.  Each round names runs of equal symbols and then pairs, chosen by names only, so equal
+substrings have the same interior symbols everywhere; ``recompress.naming`` makes the names of all rounds one to one over the
+corpus in Spark.  Every window of ``width`` words takes as anchor the symbols of least name on the highest level that its words determine
+(``ANCHORS``: so many consecutive symbols of a level).  Shared anchors reveal long repeats, and ``repeats`` verifies them: runs of windows by a
+128-bit digest of their words, and where texts differ the words of every window themselves.
 
 Edge cases: null text has no words; documents with fewer words keep all; a null ``doc_id`` is
 not smaller than any other and has nothing before it, so it keeps all and removes nothing; repeated rows have equal ids
-and keep all they would keep alone; an empty table gives an empty table.
+and keep all they would keep alone; a long text is read in overlapping pieces; an empty table gives an empty table; columns other
+than ``doc_id`` and ``text`` are dropped.
 """
 
 from __future__ import annotations
@@ -22,67 +23,148 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_key, flat, slices
+from .common import SLICE_BYTES, Scratch, doc_key, flat, slices
 from .op5_suffix import covered
-from .recompress import anchors, joined, level0, lift
-from .repeats import RUN_SCHEMA, repeated_spans
-from .rolling import mix, prefix, ranges, spans, word_hashes, words
-
-WIDTH, ROUNDS, GRAM = 13, 1, 3
-
-
-def word_runs(width: int, rounds: int, gram: int):
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = flat(batch.column(2))
-        start, end, first = words(data, off)
-        hashes = word_hashes(data, start, end)
+from .recompress import anchors, hierarchy, joined, naming
+from .repeats import RUN_SCHEMA, digests, repeated_spans, run_batch
+from .rolling import SPACE, ranges, words
+
+WIDTH = 13
+#: (level, consecutive symbols) of an anchor, the first that the window determines; a single word always is.
+ANCHORS = ((2, 3), (2, 2), (1, 3), (1, 2), (0, 2), (0, 1))
+LEVELS = 2
+#: Different texts in one bucket that a task compares.
+BUCKET_ROWS = 20_000
+
+
+def word_pieces(batch: pa.RecordBatch, width: int, limit: int = SLICE_BYTES) -> Iterator[tuple]:
+    """``(kd, kt, data, word starts, word ends, first word of each document, number of the piece's first word)``.
+
+    A longer document is read piece by piece; a piece has the ``width - 1`` words that follow it, too.
+    """
+    for part in slices(batch, "text", limit):
+        kd, kt = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        data, off = flat(part.column(2))
+        if part.num_rows > 1 or len(data) <= limit:
+            yield kd, kt, data, *words(data, off), 0
+            continue
+        base = at = 0
+        while at < len(data):
+            stop = at + limit  # a piece ends before a word
+            while stop < len(data) and not (SPACE[data[stop - 1]] and not SPACE[data[stop]]):
+                near = SPACE[data[stop - 1 : stop + limit]]
+                step = np.flatnonzero(near[:-1] & ~near[1:])
+                stop = stop + int(step[0]) if len(step) else min(len(data), stop + limit)
+            stop, more, reach = min(stop, len(data)), 0, 1 << 10
+            while True:
+                tail = data[stop : stop + reach]
+                start, end, _ = words(tail, np.array([0, len(tail)]))
+                if stop + reach >= len(data) or len(start) >= width:
+                    more = int(end[width - 2]) if len(end) >= width - 1 else len(tail)
+                    break
+                reach *= 4
+            piece = data[at : stop + more]
+            start, end, first = words(piece, np.array([0, len(piece)]))
+            yield kd, kt, piece, start, end, first, base
+            base += int(np.searchsorted(start, stop - at))
+            at = stop
+
+
+def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words separated by one space (and one at the end), and where each begins (and the end of all)."""
+    size = end - start
+    at = np.append(0, np.cumsum(size + 1))
+    out = np.full(int(at[-1]), 32, np.uint8)
+    out[ranges(at[:-1], size)] = data[ranges(start, size)]
+    return out, at
+
+
+def word_rules(width: int, limit: int = SLICE_BYTES):
+    """The distinct rules of each slice, for ``recompress.naming``; a word is told by its digest."""
+
+    def for_seeds(seeds: list[int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, data, start, end, first, _ in word_pieces(batch, width, limit):
+                    if not len(start):
+                        continue
+                    rules: list = []
+                    levels = hierarchy(data, start, end, np.repeat(np.arange(len(first) - 1), np.diff(first)), seeds, rules)
+                    name, once = np.unique(levels[0].name, return_index=True)
+                    d = digests(np.ascontiguousarray(data), start[once], end[once])
+                    tables = [(name, d[:, 0], d[:, 1]), *rules]
+                    for level, (name, x, y) in enumerate(tables):
+                        order = np.lexsort((y, x, name))
+                        name, x, y = (c[order].view(np.int64) for c in (name, x, y))
+                        new = np.append(True, (name[1:] != name[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(name)]
+                        columns = [np.full(int(new.sum()), level, np.int32), name[new], x[new], y[new]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "name", "x", "y"])
+
+        return run
+
+    return for_seeds
+
+
+def word_runs(width: int, seeds: list[int], limit: int = SLICE_BYTES):
+    def one(kd, kt, data, start, end, first, base) -> pa.RecordBatch:
         per = np.diff(first)
-        x = level0(hashes, np.repeat(np.arange(len(per)), per))
-        for _ in range(rounds):
-            x = lift(x)
-        x = joined(x, gram)
+        doc = np.repeat(np.arange(len(per)), per)
+        levels = hierarchy(data, start, end, doc, seeds)
         count = np.maximum(per - width + 1, 0)
         p, row = ranges(first[:-1], count), np.repeat(np.arange(len(per)), count)
-        a = anchors(x, p, width)
+        at, name = np.full(len(p), -1, np.int64), np.zeros(len(p), np.uint64)
+        for kind, (level, g) in enumerate(ANCHORS):
+            none = np.flatnonzero(at < 0)
+            x = joined(levels[level], g)
+            if not len(none) or not len(x.name):
+                continue
+            a = anchors(x, p[none], width)
+            none, a = none[a >= 0], a[a >= 0]
+            at[none], name[none] = x.start[a] * len(ANCHORS) + kind, x.name[a] + np.uint64(kind)
         new = np.ones(len(p), bool)
-        new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1]) | (a[1:] < 0)
+        new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
         b = np.flatnonzero(new)
         e = np.append(b[1:], len(p))[: len(b)] - 1
-        row, a, ps, pe = row[b], a[b], p[b], p[e]
-        none, at = a < 0, np.maximum(a, 0)
-        shift = np.where(none, 99, x.start[at] - ps) if len(x.start) else np.full(len(a), 99)
-        rh = spans(prefix(hashes), ps, pe + width) + mix(shift.astype(np.uint64))
-        key = np.where(none, rh, x.name[at]) if len(x.name) else rh
-        kd, kt = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kd), pa.array(kt), pa.array(key.view(np.int64)), pa.array(rh.view(np.int64)), pa.array((ps - first[row]).astype(np.int32)), pa.array((pe - ps + 1).astype(np.int32))],
-            names=["kd", "kt", "key", "rh", "p", "n"],
-        )
+        row, name, ps, pe = row[b], name[b], p[b], p[e]
+        text, where = joined_words(data, start, end)
+        return run_batch(kd[row], kt[row], name, digests(text, where[ps], where[pe + width] - 1), ps - first[row] + base, pe - ps + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                if len(flat(part.column(2))[0]):
-                    yield one(part)
+            for piece in word_pieces(batch, width, limit):
+                if len(piece[3]) >= width:
+                    yield one(*piece)
 
     return run
 
 
-def word_windows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
-                start, end, _ = words(data, np.array([0, len(data)]))
-                h = prefix(word_hashes(data, start, end))
-                picks = batch.column(2)[i].values
-                p, n, rh, w = (picks.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                n = n.astype(np.int64)
-                pos = ranges(p.astype(np.int64), n)
-                j = ranges(np.zeros(len(p), np.int64), n)
-                yield pa.RecordBatch.from_arrays([pa.array(spans(h, pos, pos + width).view(np.int64)), pa.array(np.repeat(rh, n)), pa.array(j.astype(np.int32)), pa.array(np.repeat(w, n).astype(np.int64))], names=["wid", "rh", "j", "w"])
+def word_bounds(width: int):
+    def bounds(data: np.ndarray, p: np.ndarray, n: np.ndarray):
+        start, end, _ = words(data, np.array([0, len(data)]))
+        text, where = joined_words(data, start, end)
+        at = ranges(p, n)
+        return text, where[at], where[at + width] - 1
 
-    return run
+    return bounds
+
+
+def earlier_in_bucket(width: int):
+    """(row, window) of windows whose words another text of smaller weight (document) of the bucket holds, compared as text."""
+
+    def solve(key: np.ndarray, weight: np.ndarray, bodies: pa.Array):
+        rows, places = [], []
+        order = np.argsort(weight, kind="stable").tolist()
+        seen: dict[bytes, int] = {}
+        for i in order:
+            body, w = bodies[i].as_py(), int(weight[i])
+            cut = [0, *(np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1).tolist(), len(body) + 1]
+            for j in range(len(cut) - width):
+                if seen.setdefault(body[cut[j] : cut[j + width] - 1], w) < w:
+                    rows.append(i)
+                    places.append(j)
+        return np.array(rows, np.int64), np.array(places, np.int64)
+
+    return solve
 
 
 def cut_words(width: int):
@@ -93,24 +175,25 @@ def cut_words(width: int):
             for i in range(batch.num_rows):
                 parts = text[i].as_py().split() if text[i].is_valid else []
                 n_words.append(len(parts))
+                gone = 0
                 if spans_col[i].is_valid and parts:
-                    gone = covered(spans_col[i].values, len(parts), width)
-                    removed.append(int(gone.sum()))
-                    parts = [parts[k] for k in np.flatnonzero(~gone)]
-                else:
-                    removed.append(0)
+                    begin, end = covered(spans_col[i].values, len(parts), width)
+                    gone, cuts = int((end - begin).sum()), [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(parts)]
+                    parts = [x for a, b in zip(cuts[::2], cuts[1::2], strict=True) for x in parts[a:b]]
+                removed.append(gone)
                 kept.append(b" ".join(parts))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, scratch: Scratch, width: int = WIDTH, rounds: int = ROUNDS, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, scratch: Scratch, width: int = WIDTH, bucket_rows: int = BUCKET_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the kept words, joined by one space, as UTF-8) of every row."""
     keyed = doc_key(docs.select("doc_id", "text"))
     texts = keyed.where("doc_id is not null").select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    runs = texts.mapInArrow(word_runs(width, rounds, gram), RUN_SCHEMA)
-    found = repeated_spans(runs, texts, word_windows(width), "earlier", scratch)
+    seeds = naming(word_rules(width, slice_bytes), texts, LEVELS)
+    runs = texts.mapInArrow(word_runs(width, seeds, slice_bytes), RUN_SCHEMA)
+    found = repeated_spans(runs, texts, word_bounds(width), earlier_in_bucket(width), bucket_rows, "earlier", scratch)
     out = keyed.join(found, ["kd", "kt"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return out.mapInArrow(cut_words(width), "doc_id long, n_words long, n_removed long, kept binary")
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, flat, slices
-from .rolling import ranges, word_hashes, words
+from .rolling import ranges, word_names, words
 from .textnorm import bare_words
 
 WIDTH, STRIDE, ITEM_STRIDE = 32, 16, 8
@@ -51,7 +51,7 @@ def tokens(data: np.ndarray, off: np.ndarray):
     """Word hashes and each document's first word."""
     data, off = bare_words(data, off)
     start, end, first = words(data, off)
-    return word_hashes(data, start, end), first
+    return word_names(data, start, end), first
 
 
 class Vocabulary:

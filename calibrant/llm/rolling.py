@@ -1,12 +1,13 @@
-"""Vectorised polynomial hashing over flat byte or word buffers (numpy, uint64 arithmetic modulo 2**64).
+"""Vectorised hashing over flat byte buffers (numpy, uint64 arithmetic modulo 2**64).
 
-Prefix sums H[i] = sum(x[j] * B**j, j < i) give the hash of any interval as (H[e] - H[s]) * B**-s, so all
-words, q-grams and windows of a slice are hashed in a few array passes.  Symbols are first sent through a mixed
-random table or finaliser, and every result is mixed again.
+Prefix sums H[i] = sum(x[j] * B**j, j < i) give the hash of all q-grams of a slice in a few array passes.  Such polynomial values
+only choose and route anchors; no decision rests on their being different for different texts.  Words have names of another kind.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,14 +52,6 @@ def prefix(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the intervals [start, end); their length is part of the hash."""
-    out = h[end] - h[start]
-    out *= powers(len(h), INVERSE)[start]
-    out += (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return mix(out)
-
-
 def grams(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all intervals of one width, by start."""
     n = len(h) - width
@@ -104,8 +97,34 @@ def words(data: np.ndarray, off: np.ndarray):
     return start, end, np.searchsorted(start, off)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return spans(prefix(BYTE[data]), start, end)
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are named by a digest of their bytes.
+LONG_WORD = 4096
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit names of words.  Up to seven bytes and the length are the name itself, mixed one to one; longer words go through
+    a chain of mixing steps, eight bytes each (not a polynomial, whose collisions can be written down)."""
+    size, key = (end - start).astype(np.int64), mix(np.array([seed + 1], np.uint64) * BASE)[0]
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(pad, 8)
+    load = lambda at: np.ascontiguousarray(eight[at]).view("<u8").ravel()
+    out = load(start) & MASK[np.minimum(size, 8)]
+    tiny = size <= 7
+    out = np.where(tiny, out | (size.astype(np.uint64) << np.uint64(56)), out)
+    out = mix(out ^ key)
+    left = np.flatnonzero(~tiny)
+    out[left] = mix(out[left] + size[left].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    huge = left[size[left] > LONG_WORD]
+    left, k = left[(size[left] > 8) & (size[left] <= LONG_WORD)], 8
+    while len(left):
+        x = load(start[left] + k) & MASK[np.minimum(size[left] - k, 8)]
+        out[left] = mix((out[left] ^ x) * np.uint64(0x9FB21C651E98DF25) + key)
+        k += 8
+        left = left[size[left] > k]
+    for i in huge.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little") ^ int(key)
+    return out
 
 
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
