@@ -1,10 +1,10 @@
 """Operator 7: exact removal of word windows that already start in an earlier document (by recompression).
 
 Words are level-0 symbols.  Each round names runs of equal symbols and then pairs, chosen by names only, so equal
-substrings have the same interior symbols everywhere; ``recompress.naming`` makes the names of all rounds one to one over the
-corpus in Spark.  Every window of ``width`` words takes as anchor the symbols of least name on the highest level that its words determine
-(``ANCHORS``: so many consecutive symbols of a level).  Shared anchors reveal long repeats, and ``repeats`` verifies them: runs of windows by a
-128-bit digest of their words, and where texts differ the words of every window themselves.
+substrings have the same interior symbols everywhere.  Every window of ``width`` words takes as anchor the symbols of least name on
+the highest level that its words determine (``ANCHORS``: so many consecutive symbols of a level).  Spark gathers these names from the whole
+corpus, names all anew if one stands for two sequences of words, and keeps the shared ones.  They reveal long repeats, and ``repeats`` verifies
+them: runs of windows by a 128-bit digest of their words, and where texts differ the words of every window themselves.
 
 Edge cases: null text has no words; documents with fewer words keep all; a null ``doc_id`` is
 not smaller than any other and has nothing before it, so it keeps all and removes nothing; repeated rows have equal ids
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Scratch, doc_key, flat, slices
 from .op5_suffix import covered
-from .recompress import anchors, hierarchy, joined, naming
-from .repeats import RUN_SCHEMA, digests, repeated_spans, run_batch
-from .rolling import SPACE, ranges, words
+from .recompress import anchors, hierarchy, joined
+from .repeats import digests, repeated_spans, run_batch
+from .rolling import SPACE, mix, ranges, words
 
 WIDTH = 13
 #: (level, consecutive symbols) of an anchor, the first that the window determines; a single word always is.
-ANCHORS = ((2, 3), (2, 2), (1, 3), (1, 2), (0, 2), (0, 1))
-LEVELS = 2
+ANCHORS = ((2, 2), (1, 3), (1, 2), (0, 2), (0, 1))
+ROUNDS = 2
 #: Different texts in one bucket that a task compares.
 BUCKET_ROWS = 20_000
 
@@ -79,40 +80,21 @@ def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return out, at
 
 
-def word_rules(width: int, limit: int = SLICE_BYTES):
-    """The distinct rules of each slice, for ``recompress.naming``; a word is told by its digest."""
+def anchor_digests(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second name of each anchor: 32 bits of a digest of its words."""
+    view = memoryview(text)
+    return np.fromiter((zlib.crc32(view[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)), np.uint32, len(begin)).view(np.int32)
 
-    def for_seeds(seeds: list[int]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, _, data, start, end, first, _ in word_pieces(batch, width, limit):
-                    if not len(start):
-                        continue
-                    rules: list = []
-                    levels = hierarchy(data, start, end, np.repeat(np.arange(len(first) - 1), np.diff(first)), seeds, rules)
-                    name, once = np.unique(levels[0].name, return_index=True)
-                    d = digests(np.ascontiguousarray(data), start[once], end[once])
-                    tables = [(name, d[:, 0], d[:, 1]), *rules]
-                    for level, (name, x, y) in enumerate(tables):
-                        order = np.lexsort((y, x, name))
-                        name, x, y = (c[order].view(np.int64) for c in (name, x, y))
-                        new = np.append(True, (name[1:] != name[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(name)]
-                        columns = [np.full(int(new.sum()), level, np.int32), name[new], x[new], y[new]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "name", "x", "y"])
 
-        return run
-
-    return for_seeds
-
-
-def word_runs(width: int, seeds: list[int], limit: int = SLICE_BYTES):
+def word_runs(width: int, seed: int = 0, limit: int = SLICE_BYTES):
     def one(kd, kt, data, start, end, first, base) -> pa.RecordBatch:
         per = np.diff(first)
         doc = np.repeat(np.arange(len(per)), per)
-        levels = hierarchy(data, start, end, doc, seeds)
+        levels = hierarchy(data, start, end, doc, ROUNDS, seed)
         count = np.maximum(per - width + 1, 0)
         p, row = ranges(first[:-1], count), np.repeat(np.arange(len(per)), count)
         at, name = np.full(len(p), -1, np.int64), np.zeros(len(p), np.uint64)
+        first_word, end_word = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         for kind, (level, g) in enumerate(ANCHORS):
             none = np.flatnonzero(at < 0)
             x = joined(levels[level], g)
@@ -120,14 +102,16 @@ def word_runs(width: int, seeds: list[int], limit: int = SLICE_BYTES):
                 continue
             a = anchors(x, p[none], width)
             none, a = none[a >= 0], a[a >= 0]
-            at[none], name[none] = x.start[a] * len(ANCHORS) + kind, x.name[a] + np.uint64(kind)
+            at[none], name[none] = x.start[a] * len(ANCHORS) + kind, mix(x.name[a] + np.uint64(kind))
+            first_word[none], end_word[none] = x.start[a], x.end[a]
         new = np.ones(len(p), bool)
         new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
         b = np.flatnonzero(new)
         e = np.append(b[1:], len(p))[: len(b)] - 1
         row, name, ps, pe = row[b], name[b], p[b], p[e]
         text, where = joined_words(data, start, end)
-        return run_batch(kd[row], kt[row], name, digests(text, where[ps], where[pe + width] - 1), ps - first[row] + base, pe - ps + 1)
+        second = anchor_digests(text, where[first_word[b]], where[end_word[b]] - 1)
+        return run_batch(kd[row], kt[row], name, second, digests(text, where[ps], where[pe + width] - 1), ps - first[row] + base, pe - ps + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +175,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, width: int = WIDTH, bucke
     """``doc_id, n_words, n_removed, kept`` (the kept words, joined by one space, as UTF-8) of every row."""
     keyed = doc_key(docs.select("doc_id", "text"))
     texts = keyed.where("doc_id is not null").select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    seeds = naming(word_rules(width, slice_bytes), texts, LEVELS)
-    runs = texts.mapInArrow(word_runs(width, seeds, slice_bytes), RUN_SCHEMA)
-    found = repeated_spans(runs, texts, word_bounds(width), earlier_in_bucket(width), bucket_rows, "earlier", scratch)
+    found = repeated_spans(texts, lambda seed: word_runs(width, seed, slice_bytes), word_bounds(width), earlier_in_bucket(width), bucket_rows, "earlier", scratch)
     out = keyed.join(found, ["kd", "kt"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return out.mapInArrow(cut_words(width), "doc_id long, n_words long, n_removed long, kept binary")
 

@@ -1,9 +1,9 @@
 """Recompression of token sequences: rounds that name runs of equal symbols and then pairs, on flat arrays.
 
-A round's name is a seeded 64-bit function of its rule (a word; a symbol and how often it follows itself; a pair of symbols), so every
-executor gives equal strings equal names without holding the dictionary.  ``rules`` lists the dictionary of each round;
-``naming`` gathers it from the whole corpus in Spark and draws a round's seed anew where two of its rules share a name, so that
-names are one to one over all documents.  Each symbol also carries the word interval that determines it (``lo``, ``hi``): two
+A name is a seeded 64-bit function of its rule (a word; a symbol and how often it follows itself; a pair of symbols), so every
+executor gives equal strings equal names without holding the dictionary; that a name stands for one sequence of words in the whole corpus
+is confirmed by Spark where names are exchanged (``repeats.repeated_spans``), which draws another seed otherwise.
+Each symbol also carries the word interval that determines it (``lo``, ``hi``): two
 places whose words agree on that interval show the same symbol at the same offset.
 """
 
@@ -12,8 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .rolling import mix, word_names
 
@@ -38,8 +36,8 @@ def level0(hashes: np.ndarray, doc: np.ndarray) -> Level:
     return Level(hashes, at, at + 1, doc, at, at + 1)
 
 
-def lift(x: Level, seed: int = 0, rules: list | None = None) -> Level:
-    """One round: equal neighbours become one run, then neighbours of class 0 and class 1 one pair; new rules go to ``rules``."""
+def lift(x: Level, seed: int = 0) -> Level:
+    """One round: equal neighbours become one run, then neighbours of class 0 and class 1 one pair."""
     n = len(x.name)
     if not n:
         return x
@@ -63,8 +61,6 @@ def lift(x: Level, seed: int = 0, rules: list | None = None) -> Level:
     to = at + pair[at]
     two = pair[at]
     named = np.where(two, mix(name[at] * _A + mix(name[to] + _B) + _C + salt), name[at])
-    if rules is not None:
-        rules += [(name[run], base[run], size[run]), (named[two], name[at[two]], name[to[two]])]
     b, e = first[at], last[to]
     inner = b > 0
     lo = np.where(inner & (x.doc[np.maximum(b - 1, 0)] == x.doc[b]), x.lo[np.maximum(b - 1, 0)], -1)
@@ -116,30 +112,9 @@ def anchors(x: Level, start: np.ndarray, width: int) -> np.ndarray:
         k += 1
 
 
-def hierarchy(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, seeds: list[int], rules: list | None = None) -> list[Level]:
-    """Levels 0 .. len(seeds) - 1 of a slice; the rules of each round go to ``rules``, level by level."""
-    levels = [level0(word_names(data, start, end, seeds[0]), doc)]
-    for seed in seeds[1:]:
-        found: list | None = None if rules is None else []
-        levels.append(lift(levels[-1], seed, found))
-        if rules is not None:
-            rules.append([np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64)] * 3)
+def hierarchy(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, rounds: int, seed: int) -> list[Level]:
+    """Levels 0 .. rounds of a slice."""
+    levels = [level0(word_names(data, start, end, seed), doc)]
+    for k in range(rounds):
+        levels.append(lift(levels[-1], (rounds + 1) * seed + k))
     return levels
-
-
-def naming(rules_of, texts: DataFrame, levels: int, most: int = 20) -> list[int]:
-    """A seed for each round such that no two of its rules share a name anywhere in ``texts``.
-
-    ``rules_of(seeds)`` is a mapInArrow function to ``level, name, x, y``: the distinct rules of a slice.  A round is checked by one
-    aggregate with a combiner; what reaches the driver is a level number.
-    """
-    seeds = [0] * (levels + 1)
-    for _ in range(most):
-        rules = texts.mapInArrow(rules_of(seeds), "level int, name long, x long, y long")
-        one = rules.groupBy("level", "name").agg(*[f(c).alias(n + c) for c in "xy" for f, n in ((F.min, "least_"), (F.max, "most_"))])
-        worst = one.where("least_x <> most_x or least_y <> most_y").agg(F.min("level")).first()[0]
-        if worst is None:
-            return seeds
-        for k in range(worst, levels + 1):
-            seeds[k] += 1
-    raise RuntimeError("no seed names all rules one to one")

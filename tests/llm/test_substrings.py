@@ -8,7 +8,6 @@ import pytest
 
 from calibrant.llm import op5_suffix as op5
 from calibrant.llm import op7_substring as op7
-from calibrant.llm import recompress
 from calibrant.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, kd string, spans string, extra int"
@@ -95,22 +94,25 @@ def test_words_that_a_polynomial_confuses(spark):
     assert digests(cut) == sorted(map(repr, op5.brute_force([x[:2] for x in bytes_])))
 
 
-def test_names_are_drawn_again_where_two_rules_share_one(spark, monkeypatch):
-    texts = spark.createDataFrame([(1,)], "text int")
-    asked = []
+def test_names_are_drawn_again_where_two_texts_share_one(spark, monkeypatch):
+    rows = corpus(1)[:30]
+    df, asked = spark.createDataFrame(rows, SCHEMA), []
+    real = op7.word_runs
 
-    def rules_of(seeds):
-        asked.append(list(seeds))
-        clash = seeds[1] == 0  # the first seed of round 1 gives two rules one name
+    def clashing(width, seed, limit):
+        asked.append(seed)
+        runs = real(width, seed, limit)
 
         def run(batches):
-            for batch in batches:
-                rows = [(0, 5, 1, 1), (0, 5, 1, 1), (1, 7, 1, 2), (1, 7 if clash else 8, 1, 3)] if batch.num_rows else []
-                yield pa.RecordBatch.from_pylist([dict(zip(("level", "name", "x", "y"), r, strict=True)) for r in rows], schema=pa.schema([("level", pa.int32()), ("name", pa.int64()), ("x", pa.int64()), ("y", pa.int64())]))
+            for batch in runs(batches):
+                key = pa.array(np.zeros(batch.num_rows, np.int64)) if seed == 0 else batch.column(2)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], key, *batch.columns[3:]], names=batch.schema.names)
 
         return run
 
-    assert recompress.naming(rules_of, texts, 2) == [0, 1, 1] and asked == [[0, 0, 0], [0, 1, 1]]
+    monkeypatch.setattr(op7, "word_runs", clashing)
+    got = digests(op7.digest(op7.substring_dedup(df, Scratch(spark))))
+    assert got == sorted(map(repr, op7.brute_force([x[:2] for x in rows]))) and asked == [0, 1]
 
 
 def test_long_documents_in_pieces(spark):
