@@ -80,6 +80,16 @@ def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return out, at
 
 
+def one_spaced(data: np.ndarray) -> np.ndarray:
+    """The words of one document, each followed by one space."""
+    solid = ~SPACE[data]
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # the first space after a word
+    out = data[keep]
+    out[SPACE[out]] = 32
+    return np.append(out, np.uint8(32)) if len(data) and solid[-1] else out
+
+
 def anchor_digests(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A second name of each anchor: 32 bits of a digest of its words."""
     view = memoryview(text)
@@ -124,8 +134,8 @@ def word_runs(width: int, seed: int = 0, limit: int = SLICE_BYTES):
 
 def word_bounds(width: int):
     def bounds(data: np.ndarray, p: np.ndarray, n: np.ndarray):
-        start, end, _ = words(data, np.array([0, len(data)]))
-        text, where = joined_words(data, start, end)
+        text = one_spaced(data)
+        where = np.append(0, np.flatnonzero(text == 32) + 1)
         at = ranges(p, n)
         return text, where[at], where[at + width] - 1
 
