@@ -2,7 +2,7 @@
 
 Words are level-0 symbols.  Each round names runs of equal symbols and then pairs, chosen by names only, so equal
 substrings have the same interior symbols everywhere.  Every window of ``width`` words takes as anchor the symbols of least name on
-the highest level that its words determine (``ANCHORS``: so many consecutive symbols of a level).  Spark gathers these names from the whole
+the highest level that its words determine (``anchor_kinds``: the more rounds the wider the window; one round for 13 words).  Spark gathers these names from the whole
 corpus, names all anew if one stands for two sequences of words, and keeps the shared ones.  They reveal long repeats, and ``repeats`` verifies
 them: runs of windows by a 128-bit digest of their words, and where texts differ the words of every window themselves.
 
@@ -31,13 +31,21 @@ from .repeats import digests, repeated_spans, run_batch
 from .rolling import SPACE, mix, ranges, words
 
 WIDTH = 13
-#: (level, consecutive symbols) of an anchor, the first that the window determines; a single word always is.
-ANCHORS = ((2, 2), (1, 3), (1, 2), (0, 2), (0, 1))
-ROUNDS = 2
+#: Consecutive symbols of an anchor, and by how much a round lengthens symbols on average.
+GRAM, GROWTH = 3, 4 / 3
 #: Different texts in one bucket that a task compares.
 BUCKET_ROWS = 20_000
 
 
+def anchor_kinds(width: int) -> list[tuple[int, int]]:
+    """(level, consecutive symbols) of the anchors that a window tries in turn: ``GRAM`` symbols of the highest level that needs about half the
+    window (its own words and its neighbours' on every lower level), then shorter and lower ones; a single word always is determined."""
+    level = 0
+    while GRAM * GROWTH ** (level + 1) + 2 * sum(GROWTH**k for k in range(level + 1)) <= width / 2:
+        level += 1
+    return [(k, g) for k in range(level, -1, -1) for g in ((GRAM, 2) if k else (2, 1)) if g <= width]
+
+
 def word_pieces(batch: pa.RecordBatch, width: int, limit: int = SLICE_BYTES) -> Iterator[tuple]:
     """``(kd, kt, data, word starts, word ends, first word of each document, number of the piece's first word)``.
 
@@ -96,23 +104,25 @@ def anchor_digests(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
     return np.fromiter((zlib.crc32(view[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)), np.uint32, len(begin)).view(np.int32)
 
 
-def word_runs(width: int, seed: int = 0, limit: int = SLICE_BYTES):
+def word_runs(width: int, seed: int = 0, names_only: bool = False, limit: int = SLICE_BYTES):
+    kinds = anchor_kinds(width)
+
     def one(kd, kt, data, start, end, first, base) -> pa.RecordBatch:
         per = np.diff(first)
         doc = np.repeat(np.arange(len(per)), per)
-        levels = hierarchy(data, start, end, doc, ROUNDS, seed)
+        levels = hierarchy(data, start, end, doc, kinds[0][0], seed)
         count = np.maximum(per - width + 1, 0)
         p, row = ranges(first[:-1], count), np.repeat(np.arange(len(per)), count)
         at, name = np.full(len(p), -1, np.int64), np.zeros(len(p), np.uint64)
         first_word, end_word = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        for kind, (level, g) in enumerate(ANCHORS):
+        for kind, (level, g) in enumerate(kinds):
             none = np.flatnonzero(at < 0)
             x = joined(levels[level], g)
             if not len(none) or not len(x.name):
                 continue
             a = anchors(x, p[none], width)
             none, a = none[a >= 0], a[a >= 0]
-            at[none], name[none] = x.start[a] * len(ANCHORS) + kind, mix(x.name[a] + np.uint64(kind))
+            at[none], name[none] = x.start[a] * len(kinds) + kind, mix(x.name[a] + np.uint64(kind))
             first_word[none], end_word[none] = x.start[a], x.end[a]
         new = np.ones(len(p), bool)
         new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
@@ -120,8 +130,9 @@ def word_runs(width: int, seed: int = 0, limit: int = SLICE_BYTES):
         e = np.append(b[1:], len(p))[: len(b)] - 1
         row, name, ps, pe = row[b], name[b], p[b], p[e]
         text, where = joined_words(data, start, end)
-        second = anchor_digests(text, where[first_word[b]], where[end_word[b]] - 1)
-        return run_batch(kd[row], kt[row], name, second, digests(text, where[ps], where[pe + width] - 1), ps - first[row] + base, pe - ps + 1)
+        second = anchor_digests(text, where[first_word[b]], where[end_word[b]] - 1) if names_only else np.zeros(len(b), np.int32)
+        whole = np.zeros((len(b), 2), np.int64) if names_only else digests(text, where[ps], where[pe + width] - 1)
+        return run_batch(kd[row], kt[row], name, second, whole, ps - first[row] + base, pe - ps + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +196,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, width: int = WIDTH, bucke
     """``doc_id, n_words, n_removed, kept`` (the kept words, joined by one space, as UTF-8) of every row."""
     keyed = doc_key(docs.select("doc_id", "text"))
     texts = keyed.where("doc_id is not null").select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = repeated_spans(texts, lambda seed: word_runs(width, seed, slice_bytes), word_bounds(width), earlier_in_bucket(width), bucket_rows, "earlier", scratch)
+    found = repeated_spans(texts, lambda seed, names_only: word_runs(width, seed, names_only, slice_bytes), word_bounds(width), earlier_in_bucket(width), bucket_rows, "earlier", scratch)
     out = keyed.join(found, ["kd", "kt"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return out.mapInArrow(cut_words(width), "doc_id long, n_words long, n_removed long, kept binary")
 

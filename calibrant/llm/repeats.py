@@ -148,20 +148,20 @@ def repeated_spans(texts: DataFrame, runs_of: Callable, bounds: Callable, solve:
     """``(kd, kt, spans array<struct<p, n>>)``: windows p .. p+n-1 of a document are repeated.
 
     mode ``any``: the window also starts at another place; ``earlier``: it also starts in a document of smaller
-    ``kd``.  texts: ``(kd, kt, text)``.  ``runs_of(seed)``: mapInArrow function from texts to runs.  ``bounds``: see ``extract``; ``solve``: see ``in_buckets``; its weights are the number of
+    ``kd``.  texts: ``(kd, kt, text)``.  ``runs_of(seed, names_only)``: mapInArrow function from texts to runs, without digests or without second names.  ``bounds``: see ``extract``; ``solve``: see ``in_buckets``; its weights are the number of
     runs with that text, or the least ``kd`` of them.
     """
     earlier = mode == "earlier"
     for seed in range(SEEDS):
-        runs = texts.mapInArrow(runs_of(seed), RUN_SCHEMA)
-        seen = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("kd").alias("lo"), F.max("kd").alias("hi"), (F.min("d") != F.max("d")).alias("clash"))
+        seen = texts.mapInArrow(runs_of(seed, True), RUN_SCHEMA).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("kd").alias("lo"), F.max("kd").alias("hi"), (F.min("d") != F.max("d")).alias("clash"))
         hot = scratch.keep(seen.where("lo < hi" if earlier else "c > 1").select("key", "c", "clash"), "shared-anchors")
         if not hot.where("clash").limit(1).count():
             break
         scratch.drop(hot)
     else:
         raise RuntimeError("no seed gives different anchors different names")
-    cand = scratch.keep(with_keys(runs.drop("d"), hot, "key", heavy(hot, "key", "c")), "candidates")
+    runs = texts.mapInArrow(runs_of(seed, False), RUN_SCHEMA).drop("d")
+    cand = scratch.keep(with_keys(runs, hot, "key", heavy(hot, "key", "c")), "candidates")
     name = ["r1", "r2"]
     same = cand.groupBy(*name).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.min(F.struct("kd", "kt", "p", "n")).alias("rep"))
     same = scratch.keep(same.select(*name, "key", "c", "rep.*"), "texts-of-runs")

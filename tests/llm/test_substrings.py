@@ -99,9 +99,9 @@ def test_names_are_drawn_again_where_two_texts_share_one(spark, monkeypatch):
     df, asked = spark.createDataFrame(rows, SCHEMA), []
     real = op7.word_runs
 
-    def clashing(width, seed, limit):
+    def clashing(width, seed, names_only, limit):
         asked.append(seed)
-        runs = real(width, seed, limit)
+        runs = real(width, seed, names_only, limit)
 
         def run(batches):
             for batch in runs(batches):
@@ -112,7 +112,15 @@ def test_names_are_drawn_again_where_two_texts_share_one(spark, monkeypatch):
 
     monkeypatch.setattr(op7, "word_runs", clashing)
     got = digests(op7.digest(op7.substring_dedup(df, Scratch(spark))))
-    assert got == sorted(map(repr, op7.brute_force([x[:2] for x in rows]))) and asked == [0, 1]
+    assert got == sorted(map(repr, op7.brute_force([x[:2] for x in rows]))) and asked == [0, 1, 1]
+
+
+def test_wide_windows_use_more_rounds(spark):
+    assert op7.anchor_kinds(13) == [(1, 3), (1, 2), (0, 2), (0, 1)] and op7.anchor_kinds(50)[0] == (3, 3) and op7.anchor_kinds(1) == [(0, 1)]
+    rows = corpus(3)
+    for width in (1, 40):
+        got = digests(op7.digest(op7.substring_dedup(spark.createDataFrame(rows, SCHEMA), Scratch(spark), width)))
+        assert got == sorted(map(repr, op7.brute_force([x[:2] for x in rows], width)))
 
 
 def test_long_documents_in_pieces(spark):
