@@ -116,7 +116,7 @@ def test_names_are_drawn_again_where_two_texts_share_one(spark, monkeypatch):
 
 
 def test_wide_windows_use_more_rounds(spark):
-    assert op7.anchor_kinds(13) == [(1, 3), (1, 2), (0, 2), (0, 1)] and op7.anchor_kinds(50)[0] == (3, 3) and op7.anchor_kinds(1) == [(0, 1)]
+    assert op7.anchor_kinds(13) == [(1, 3), (1, 2), (0, 2), (0, 1)] and op7.anchor_kinds(50)[0] == (4, 3) and op7.anchor_kinds(1) == [(0, 1)]
     rows = corpus(3)
     for width in (1, 40):
         got = digests(op7.digest(op7.substring_dedup(spark.createDataFrame(rows, SCHEMA), Scratch(spark), width)))
