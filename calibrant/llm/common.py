@@ -19,19 +19,27 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session that names none (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="calibrant-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 class Scratch:
-    """Parquet tables that cut lineage.  They lie in the shared folder, so a lost executor takes none along."""
+    """Parquet tables that cut lineage.  They lie in the shared folder, so a lost executor takes none along.
+
+    A result still reads its last tables; ``Scratch.sweep`` deletes them when the caller has written it.
+    """
+
+    opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        Scratch.opened.append(self)
         self.root = f"{shared_root(spark)}/calibrant-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -62,12 +70,25 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._calibrant_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    @classmethod
+    def sweep(cls, since: int = 0) -> None:
+        """Delete all that the scratch folders opened after the first ``since`` still hold."""
+        for old in cls.opened[since:]:
+            path = old.spark._jvm.org.apache.hadoop.fs.Path(old.root)
+            path.getFileSystem(old.spark._jsc.hadoopConfiguration()).delete(path, True)
+        del cls.opened[since:]
+
     def release(self) -> None:
         """Shuffle files go when the driver's JVM finds that no plan refers to them."""
         gc.collect()
         self.spark._jvm.System.gc()
 
 
+def partitions(spark: SparkSession, rows: int, each: int = 4_000_000) -> int:
+    """Partitions of an exchange of so many narrow rows: as the session says, more where a task would hold over ``each``."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row slices whose text is at most ``limit`` bytes (or one row)."""
     text = batch.column(batch.schema.get_field_index(column))
