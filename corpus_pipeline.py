@@ -1,6 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents``.
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents`` (``COLUMNS``; others
+that the table may have are dropped by the first stage).  An empty table gives empty tables.
 
 1. language_id - documents whose language is rejected (no letter, or a calibrated score under the threshold) go.
 2. near_dedup - deletion-variant signatures of five-word shingles, similarity 0.8; of each group the document of smallest id stays.
@@ -48,9 +49,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are told by id and text, so rows without an id, or with another's, are judged by themselves."""
     docs = docs.select(*COLUMNS)
-    hits = op9_decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    hits = op9_decontam.contaminated(keyed.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark))
+    return keyed.join(hits.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again."""
+    """All stages over ``documents``; what a stage returns is written and read again, and its own tables are deleted."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before, opened = docs, len(Scratch.opened)
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.sweep(opened)
+        if name != STAGES[0][0]:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
