@@ -2,8 +2,9 @@
 
 Features are the byte 2-, 3- and 4-grams of the lower-cased letters (one space for anything else), hashed into a fixed
 number of buckets; a document's vector is the mean of its features' embeddings.  Embeddings and softmax are trained
-by stochastic gradient descent in numpy on a bounded sample: ``per_lang`` labelled rows of each language (at most
-``total`` in all), those of least hash of the id, with texts of at most ``sample_bytes``.  A fifth of it calibrates:
+by stochastic gradient descent in numpy on a bounded sample: ``PER_LANG`` labelled rows of each language (fewer where ``TOTAL`` in all would be
+exceeded, the same for each), those of least hash of the id, with texts of at most ``SAMPLE_BYTES``; of more than ``LANGS`` languages the most
+frequent are learnt.  A fifth of it calibrates:
 a temperature by likelihood, then the rejection threshold, the score that all but ``reject`` of the right answers reach (at most 0.5).
 
 Embedding times softmax is one table (buckets x languages), so a prediction is a mean over table rows, in numpy on flat
@@ -28,7 +29,7 @@ from .common import flat, slices
 from .textnorm import letters
 
 BUCKETS, DIM, GRAMS = 1 << 17, 16, (2, 3, 4)
-PER_LANG, TOTAL, SAMPLE_BYTES = 600, 20_000, 32_768
+PER_LANG, TOTAL, SAMPLE_BYTES, LANGS = 600, 20_000, 32_768, 256
 EPOCHS, BATCH, RATE, REJECT = 5, 32, 25.0, 0.002
 
 
@@ -123,12 +124,14 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model | None:
     return model
 
 
-def predict(model: Model | None):
+def predict(shared):
+    """``shared``: broadcast variable of the model."""
     letter = regex.compile(r"\p{L}").search
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model | None = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 names = part.schema.names
@@ -159,24 +162,30 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
-def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded training sample; ids and languages are read first, texts only of the chosen rows."""
-    may = docs.where((remainder() != 2) & F.col("lang").isNotNull())
-    w = Window.partitionBy("lang").orderBy("h")
-    slim = may.select("lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANG)
-    cut = slim.groupBy("lang").agg(F.max("h").alias("cut"), F.count(F.lit(1)).alias("n")).orderBy("lang").limit(TOTAL // 10).collect()
-    if not cut:
+def sample(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL, langs: int = LANGS) -> list[tuple[str, str]]:
+    """The bounded training sample: languages are counted first, then the rows of least hash of each are chosen, then their texts read.
+
+    No language's rows are gathered: rows over a hash limit that leaves about twice the wanted number go before the exchange.
+    """
+    may = docs.where((remainder() != 2) & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    counts = may.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("least")).orderBy(F.desc("c"), "lang").limit(langs).collect()
+    if not counts:
         return []
-    chosen = F.lit(False)
-    for r in cut:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.xxhash64("doc_id") <= r["cut"]))
-    rows = may.where(chosen & (F.octet_length("text") <= SAMPLE_BYTES)).select("lang", "text").limit(min(TOTAL, PER_LANG * len(cut))).collect()
-    return [(r["lang"], r["text"]) for r in rows]
+    want = max(1, min(per_lang, total // len(counts)))
+    limit = [(r["lang"], max(r["least"], min(2**63 - 1, -(2**63) + int(2**64 * (2 * want + 50) / r["c"])))) for r in counts]
+    near = may.join(F.broadcast(docs.sparkSession.createDataFrame(limit, "lang string, most long")), "lang").where("h <= most")
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    cut = near.select("lang", "h", "doc_id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= want).groupBy("lang").agg(F.max("h").alias("cut")).collect()
+    chosen = docs.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in cut], "lang string, cut long")
+    rows = may.join(F.broadcast(chosen), "lang").where((F.col("h") <= F.col("cut")) & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= want)
+    return [(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()]
 
 
 def language_id(docs: DataFrame, carry: tuple[str, ...] = (), model: Model | None = None) -> DataFrame:
     """``doc_id``, ``carry``, ``held_out, lang_pred, score, rejected`` of every row; trained on ``docs`` unless a model is given."""
     model = model or train(sample(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, at most 128 MB
     base = docs.select("doc_id", *carry, F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text")
-    return base.withColumn("text", F.col("text").cast("binary")).mapInArrow(predict(model), f"{types}, lang_pred string, score double, rejected boolean")
+    return base.withColumn("text", F.col("text").cast("binary")).mapInArrow(predict(shared), f"{types}, lang_pred string, score double, rejected boolean")
