@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, slices
+from .common import Scratch, connected_components, partitions, slices
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 
@@ -155,11 +155,11 @@ def verify(radius: int):
 
 
 def components(fps: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    """``(fp, root)`` for the distinct fingerprints that have a link."""
+    """``(fp, root)`` for the fingerprints that have a link; ``fps`` are distinct."""
     if not 1 <= radius <= 3:
         raise ValueError("two halves with one wildcard cover 1 to 3 differing bits")
-    keys = fps.select("fp").distinct().mapInArrow(variants(radius), "key long, fp long")
-    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions(fps.sparkSession, fps.count() * len(_halves(radius)))
+    keys = fps.select("fp").repartition(n, "fp").mapInArrow(variants(radius), "key long, fp long")
     links = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(verify(radius), "a long, b long")
     return connected_components(links, scratch).select(F.col("node").alias("fp"), "root")
 

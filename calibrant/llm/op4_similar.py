@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, slices
+from .common import Scratch, connected_components, partitions, slices
 from .op4_simhash import shingle_hashes
 from .rolling import mix
 
@@ -240,12 +240,12 @@ def split_large(members: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, kt, component_id, component`` of every row: ``kt`` names the text, ``component`` the group (also where no member has an id)."""
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.xxhash64(F.lit(0), text).alias("kt"), text.cast("binary").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     rows = scratch.keep(base.mapInArrow(signatures(shingle), f"doc_id {kind}, kt long, sig binary"), "signatures")
     classes = scratch.keep(rows.where("sig is not null").dropDuplicates(["kt"]).select("kt", "sig"), "classes")
+    n = partitions(docs.sparkSession, classes.count() * INDEXED)
     head = classes.select("kt", F.substring("sig", 1, 4 * INDEXED).alias("c"))
     keys = head.mapInArrow(variants, "key long, kt long").repartition(n, "key").sortWithinPartitions("key")
     members = scratch.keep(keys.mapInArrow(shared, "bucket long, kt long").distinct(), "members")
