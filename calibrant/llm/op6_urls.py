@@ -2,16 +2,17 @@
 
 Word counts come from all page titles, path words and the words of hyphenated host labels; ``SEEDS`` and ``PLAIN`` words are
 known in any case.  A host's labels are cut into words by unigram Viterbi: every substring of the distinct labels is
-looked up in the counts by a join (the dictionary is never broadcast), and the best split is found label by label.
+looked up in the counts by a join (the dictionary is never broadcast), and the best split is found label by label.  A label has at most
+63 characters; what is longer cannot be a host's and stays one word.
 Training is weakly supervised: pages whose host's words hold a seed word are examples of ``block``, all others of ``allow``,
 for a multinomial naive Bayes over host and path words (digits count by their number).  URLs that no rule fits are
-judged by its posterior, ``allow`` at a tie or if no host holds a seed word.
+judged by its posterior, ``allow`` at a tie; where no host holds a seed word, the prior of ``block`` is zero.
 
 Work is done once for each distinct pair of host and path shape (digits levelled), with pre-aggregated counts, so a hot host is
 one row until the verdicts are joined back.
 
 Edge cases: null url and url without ``://``: host and path are empty, no rule fits; null ids are ordinary rows; repeated rows
-repeat in the result; an empty table gives an empty one.
+repeat in the result; an empty table gives an empty one; titles are read whole; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 SEEDS = ("ads", "adult", "adware", "bet", "bets", "betting", "casino", "dating", "erotic", "escort", "gamble", "gambling", "lottery", "malware", "nude", "payday", "pharmacy", "phishing", "pill", "pills", "poker", "porn", "roulette", "sex", "sexy", "slots", "spam", "tracker", "track", "viagra", "webcam", "xxx")
 PLAIN = ("best", "blog", "buy", "cheap", "click", "club", "farm", "free", "girls", "hot", "live", "mail", "my", "news", "now", "online", "play", "shop", "site", "store", "the", "top", "video", "web", "win", "world")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST_WORD = 20
+#: Longest label of a host name (fixed value).
+LABEL = 63
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -59,7 +61,7 @@ def viterbi(label: str, words: dict[str, int], total: int) -> list[str]:
     best: list[tuple[float, int]] = [(0.0, 0)]
     for e in range(1, len(label) + 1):
         found = [(best[e - 1][0] + unknown, e - 1)]
-        for s in range(max(0, e - LONGEST_WORD), e):
+        for s in range(e):
             if c := words.get(label[s:e]):
                 found.append((best[s][0] - math.log(c / total), s))
         best.append(min(found))
@@ -83,27 +85,27 @@ def segment(total: int):
 def filter_urls(pages: DataFrame, scratch: Scratch, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_odds`` of every row."""
     host, path = parts(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path"), F.regexp_extract("html", r"(?is)<title[^>]*>(.{0,2000}?)</title>", 1).alias("title"))
+    base = pages.select("page_id", host.alias("host"), path.alias("path"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
     base = base.withColumns({"hit": rule_of(F.col("host"), F.col("path"), rules), "shape": F.translate("path", "123456789", "000000000")})
     base = scratch.keep(base.select("page_id", "host", "path", "shape", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("said"), F.lower("title").alias("title")), "urls")
     texts = base.select(F.explode(F.split(F.concat_ws(" ", "title", F.lower("path")), r"[^\p{L}]+")).alias("w"))
     sites = scratch.keep(base.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")), "sites")
     hosts = sites.select("host").distinct()
     hyphenated = hosts.select(F.explode(F.filter(F.split("host", r"\."), lambda x: x.contains("-"))).alias("l")).select(F.explode(F.split("l", r"[^\p{L}]+")).alias("w"))
-    counts = texts.union(hyphenated).where(f"w <> '' and length(w) <= {LONGEST_WORD}").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    counts = texts.union(hyphenated).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
     counts = scratch.keep(counts, "word-counts")
     total = counts.agg(F.sum("c")).first()[0] or 1
     known_words = pages.sparkSession.createDataFrame([(w, 1 + total // 1000) for w in (*SEEDS, *PLAIN)], "w string, c long")
     counts = counts.union(known_words).groupBy("w").agg(F.sum("c").alias("c"))
     labels = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}]+")).alias("i", "label")).where("label <> ''")
-    distinct = labels.select("label").distinct()
+    distinct = labels.where(F.length("label") <= LABEL).select("label").distinct()
     length = F.length("label")
-    pieces = distinct.select("label", F.explode(F.sequence(F.lit(1), length)).alias("s")).select("label", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), length - F.col("s") + 1))).alias("n"))
+    pieces = distinct.select("label", F.explode(F.sequence(F.lit(1), length)).alias("s")).select("label", "s", F.explode(F.sequence(F.lit(1), length - F.col("s") + 1)).alias("n"))
     pieces = pieces.select("label", F.substring("label", F.col("s"), F.col("n")).alias("w")).distinct()
     known = pieces.join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("w", "c")).alias("known"))
     cut = distinct.join(known, "label", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<w:string,c:bigint>>")))
     cut = cut.mapInPandas(segment(int(total)), "label string, words array<string>")
-    named = labels.join(cut, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
+    named = labels.join(cut, "label", "left").withColumn("words", F.coalesce("words", F.array("label"))).groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
     in_path = F.filter(F.split(F.regexp_replace(F.lower("shape"), "(0+)", " $1 "), r"[^\p{L}0]+"), lambda x: x != "")
     tokens = sites.join(named, "host", "left").withColumn("tokens", F.concat(F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda x: F.concat(F.lit("h:"), x)), F.transform(in_path, lambda x: F.concat(F.lit("p:"), x))))
     seeded = F.arrays_overlap(F.coalesce("words", F.array().cast("array<string>")), F.array(*map(F.lit, SEEDS)))
@@ -114,11 +116,10 @@ def filter_urls(pages: DataFrame, scratch: Scratch, rules=RULES) -> DataFrame:
     sums = model.agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
     docs = tokens.agg(F.sum("n_block"), F.sum("n_allow")).first()
     nb, na, v = (float(x or 0) for x in sums)
-    prior = math.log(((docs[0] or 0) + 1) / ((docs[1] or 0) + 1))
+    prior = math.log(docs[0] / docs[1]) if docs[0] and docs[1] else math.inf if docs[0] else -math.inf
     odds = model.select("token", (F.log((F.col("b") + 1) / F.lit(nb + v + 1)) - F.log((F.col("a") + 1) / F.lit(na + v + 1))).alias("w"))
     judged = each.join(odds, "token").groupBy("host", "shape").agg(F.sum("w").alias("w"))
     judged = scratch.keep(judged.select("host", "shape", (F.round("w", 9) + F.lit(prior)).alias("block_odds")), "site-odds")
-    trained = bool(docs[0])
     out = base.join(judged, ["host", "shape"], "left").withColumn("block_odds", F.coalesce("block_odds", F.lit(prior)))
-    own = F.when((F.col("block_odds") > 0) & F.lit(trained), "block").otherwise("allow")
+    own = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "block_odds")
