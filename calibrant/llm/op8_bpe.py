@@ -3,15 +3,18 @@
 A task loads the vocabulary file once.  Texts are cut at the special tokens and by the pre-tokeniser's pattern;
 words that this worker has not met yet are encoded together: the symbols of all of them lie in one flat array, each
 round looks up all neighbouring pairs by binary search in the sorted pair keys, takes each word's pair of least rank and
-merges its occurrences from the left, and words without a mergeable pair leave the array.
+merges its occurrences from the left, and words without a mergeable pair leave the array.  A word of over ``LONG`` bytes is an array of its own:
+its pairs are kept by rank, a round takes the least rank, merges its occurrences and looks up only the pairs that this makes.
 
 Edge cases: null text is empty (no ids); special tokens in a text get their own ids, as the library does; any text of
-valid UTF-8 decodes to itself.
+valid UTF-8 decodes to itself; null and repeated ids are ordinary rows; an empty table gives an empty one; columns other than
+``doc_id``, ``text`` and those carried are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +30,8 @@ from .common import slices
 #: The byte-level pre-tokeniser's published pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 400_000
+#: Bytes of a word from which on it is merged by itself.
+LONG = 256
 NONE = np.int64(1 << 60)
 
 
@@ -65,9 +70,63 @@ class Bpe:
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (``NONE``: no merge) and its place in the sorted keys."""
+        key = left * self.size + right
+        pos = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[pos] == key, self.rank[pos], NONE), pos
+
+    def merge_long(self, raw: bytes) -> bytes:
+        """Ids of one word; every occurrence is looked at a few times, not once a round."""
+        sym = self.of_byte[np.frombuffer(raw, np.uint8)]
+        n = len(sym)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank, to = np.full(n, NONE), np.zeros(n, np.int64)  # of the pair that begins here
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            at = at[alive[at]]
+            rank[at] = NONE
+            at = at[after[at] < n]
+            r, pos = self.ranks(sym[at], sym[after[at]])
+            rank[at], to[at] = r, self.to[pos]
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            cut = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else []
+            for i, j in zip(cut, [*cut[1:], len(r)], strict=True):
+                if (value := int(r[i])) != NONE:
+                    if value not in waiting:
+                        heapq.heappush(heap, value)
+                    waiting.setdefault(value, []).append(at[i:j])
+
+        look(np.arange(n))
+        while heap:
+            least = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(least)))
+            at = at[alive[at] & (rank[at] == least)]
+            # of occurrences that overlap every second one, from the left
+            start = np.append(True, after[at[:-1]] != at[1:])
+            index = np.arange(len(at))
+            at = at[(index - np.maximum.accumulate(np.where(start, index, 0))) % 2 == 0] if len(at) else at
+            if not len(at):
+                continue
+            gone = after[at]
+            alive[gone] = False
+            sym[at] = to[at]
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            touched = np.append(at, before[at])
+            look(np.unique(touched[touched >= 0]))
+        return sym[alive].astype("<u4").tobytes()
+
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
+        if any(len(w) > LONG for w in raw):
+            short = iter(self.merge([w for w, b in zip(words, raw, strict=True) if len(b) <= LONG]))
+            return [self.merge_long(b) if len(b) > LONG else next(short) for b in raw]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         sym = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), size)
@@ -75,11 +134,9 @@ class Bpe:
         while len(sym):
             pair = np.full(len(sym), NONE)
             at = np.zeros(len(sym), np.int64)
-            key = sym[:-1] * self.size + sym[1:]
-            pos = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = (self.keys[pos] == key) & (word[:-1] == word[1:])
-            pair[:-1][ok] = self.rank[pos[ok]]
-            at[:-1] = pos
+            rank, at[:-1] = self.ranks(sym[:-1], sym[1:])
+            same = word[:-1] == word[1:]
+            pair[:-1][same] = rank[same]
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             least = np.minimum.reduceat(pair, first)
             size = np.diff(np.append(first, len(sym)))
