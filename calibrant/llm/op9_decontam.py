@@ -1,10 +1,11 @@
 """Operator 9: benchmark decontamination by latent semantic retrieval.
 
-The benchmark is the query set, read in blocks of ``ITEM_BLOCK`` items.  For a block, the corpus is one matrix: a row for each
+The benchmark is the query set, matched in blocks of ``ITEM_BLOCK`` items.  For a block, the corpus is one matrix: a row for each
 passage of ``width`` words of every document (and of the items), a column for each word of the block's items; other words
 have no part in any product with an item.  Words are compared in lower case and without ASCII punctuation.  Steps:
 
-1. whole texts are read once; each document's words of that vocabulary go, with their positions, to a written table;
+1. whole texts are read once, for all blocks; each document's words of the benchmark's vocabulary go, with their positions, to a written
+   table, from which a block reads its own words;
 2. document frequencies over all passages; words in over ``common`` of them have weight zero;
 3. a randomised SVD: every task adds up A^T (A Omega) for a random words x rank matrix Omega, a Nystroem step on the driver
    (vocabulary x rank numbers, whatever the corpus) gives the leading right singular vectors.  Columns have unit length
@@ -42,6 +43,8 @@ from .textnorm import bare_words
 WIDTH, STRIDE, ITEM_STRIDE = 32, 16, 8
 COSINE, LCS, ANSWER, COMMON, LEAST_WORDS = 0.5, 0.6, 0.5, 0.01, 8
 CHUNK, ITEM_BLOCK, RANKS = 64, 500, (32, 256)
+#: Words in at most this many passages keep their weight whatever ``COMMON`` says (small corpora).
+FLOOR = 20
 #: Known words that are projected at once (times rank times 4 bytes); a batch is cut between documents.
 PROJECTED = 1 << 15
 SUMS = "chunk int, part binary"
@@ -81,9 +84,28 @@ def number_words(vocabulary: Vocabulary):
                 cut = np.searchsorted(at, first)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(cut))
                 pos = (at - first[doc]).astype(np.int32)
-                cuts = pa.array(cut.astype(np.int32) * 4, pa.int32())
-                binary = lambda x: pa.Array.from_buffers(pa.binary(), part.num_rows, [None, cuts.buffers()[1], pa.py_buffer(np.ascontiguousarray(x))])
-                yield pa.RecordBatch.from_arrays([part.column(1), binary(c), binary(pos)], names=["doc_id", "words", "at"])
+                yield pack(part.column(1), c, pos, cut)
+
+    return run
+
+
+def pack(ids: pa.Array, numbers: np.ndarray, at: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+    """``doc_id``, and the numbers and positions of each document's words as binary columns."""
+    cuts = pa.array(cut.astype(np.int32) * 4, pa.int32())
+    binary = lambda x: pa.Array.from_buffers(pa.binary(), len(ids), [None, cuts.buffers()[1], pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays([ids, binary(numbers), binary(at)], names=["doc_id", "words", "at"])
+
+
+def of_block(own: np.ndarray):
+    """Of the words of a written table those in ``own`` (sorted numbers), numbered anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = flat(batch.column(1))
+            c, at = raw.view(np.int32), flat(batch.column(2))[0].view(np.int32)
+            new = np.minimum(np.searchsorted(own, c), len(own) - 1)
+            keep = own[new] == c
+            yield pack(batch.column(0), new[keep].astype(np.int32), at[keep], np.append(0, np.cumsum(keep))[off // 4])
 
     return run
 
@@ -361,51 +383,61 @@ def short_items(items: list[tuple]):
     return run
 
 
-def match_block(texts: DataFrame, rows: list[tuple], scratch: Scratch, cosine: float, lcs: float, answer: float, common: float, least_words: int) -> DataFrame:
-    schema = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_share double, word long"
-    hashed, short = [], []
-    for i, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        h = tokens(raw, np.array([0, len(raw)]))[0]
-        if len(h):
-            (hashed if len(h) >= least_words else short).append((i, h))
-    if not hashed and not short:
-        return texts.sparkSession.createDataFrame([], schema)
-    vocabulary = Vocabulary(np.concatenate([h for _, h in hashed + short]))
-    found = scratch.keep(texts.mapInArrow(number_words(vocabulary), "doc_id long, words binary, at binary"), "benchmark-words")
-    exact = found.mapInArrow(short_items([(i, vocabulary.find(h)[1]) for i, h in short]), schema) if short else None
-    if not hashed:
+FOUND = "doc_id long, words binary, at binary"
+MATCH = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_share double, word long"
+
+
+def match_block(found: DataFrame, rows: list[tuple], vocabulary: Vocabulary, cosine: float, lcs: float, answer: float, common: float, least_words: int) -> DataFrame:
+    """Matches of the items ``rows (id, word hashes)`` in the written words ``found`` of the corpus."""
+    numbers = [(i, vocabulary.find(h)[1]) for i, h in rows]
+    words_ = np.unique(np.concatenate([c for _, c in numbers]))
+    if len(words_) < len(vocabulary.known):
+        found = found.mapInArrow(of_block(words_), FOUND)
+        numbers = [(i, np.searchsorted(words_, c).astype(np.int32)) for i, c in numbers]
+    short, whole = ([x for x in numbers if (len(x[1]) < least_words) == few] for few in (True, False))
+    exact = found.mapInArrow(short_items(short), MATCH) if short else None
+    if not whole:
         return exact
-    n = len(vocabulary.known)
-    numbered = [vocabulary.find(h)[1] for _, h in hashed]
+    n, numbered = len(words_), [c for _, c in whole]
     own = [x for c in numbered for x in item_passages(c)]
-    rank = min(n, max(RANKS[0], min(RANKS[1], len(hashed) // 2)))
+    rank = min(n, max(RANKS[0], min(RANKS[1], len(whole) // 2)))
     table = summed(found.mapInArrow(count_passages(n), SUMS), n, 2)
     df, total = table[:, 0], table[0, 1] + len(own)
     for x in own:
         df[np.unique(x)] += 1
     rarity = np.log((total + 1) / (df + 1))
-    idf = np.where(df > max(common * total, 20), 0, rarity)
+    idf = np.where(df > max(common * total, FLOOR), 0, rarity)
     weight = (idf / np.sqrt(np.maximum(df, 1))).astype(np.float32)
     b = summed(found.mapInArrow(sketch(weight, rank), SUMS), n, rank)
     look = omega(n, rank) * weight[:, None]
     for x in own:
         x = x[weight[x] > 0]
         add_sketch(b, look, x, np.zeros(len(x), np.int64))
-    index = build_index([i for i, _ in hashed], numbered, idf, rarity, leading_vectors(b, weight, rank), lcs, answer)
-    hits = found.mapInArrow(search(index, weight > 0, cosine, lcs, answer), schema)
+    index = build_index([i for i, _ in whole], numbered, idf, rarity, leading_vectors(b, weight, rank), lcs, answer)
+    hits = found.mapInArrow(search(index, weight > 0, cosine, lcs, answer), MATCH)
     return hits.union(exact) if short else hits
 
 
-def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, common: float = COMMON, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, item_id, cosine, lcs_ratio, answer_share, word`` (the passage's first word): one row for each match."""
+def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, common: float = COMMON, least_words: int = LEAST_WORDS, block: int = ITEM_BLOCK) -> DataFrame:
+    """``doc_id, item_id, cosine, lcs_ratio, answer_share, word`` (the passage's first word): one row for each match.
+
+    ``cosine``, ``common`` and the gates in ``search`` steer the latent candidates only; the exact ones beside them miss no window that ``lcs`` and
+    ``answer`` accept.  The items (a query set, of which only word numbers are kept) are read by the driver.
+    """
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    items = items.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    hashed = []
+    for r in items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        h = tokens(raw, np.array([0, len(raw)]))[0]
+        if len(h):
+            hashed.append((r["item_id"], h))
+    if not hashed:
+        return docs.sparkSession.createDataFrame([], MATCH)
+    vocabulary = Vocabulary(np.concatenate([h for _, h in hashed]))
+    found = scratch.keep(texts.mapInArrow(number_words(vocabulary), FOUND), "benchmark-words")
     out = None
-    for k in range(blocks):
-        rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == k).orderBy("item_id").collect()]
-        hits = match_block(texts, rows, scratch, cosine, lcs, answer, common, least_words)
+    for k in range(0, len(hashed), block):
+        hits = match_block(found, hashed[k : k + block], vocabulary, cosine, lcs, answer, common, least_words)
         out = hits if out is None else out.union(hits)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs_ratio", "cosine", "answer_share", (-F.col("word")).alias("w"))).alias("b"))
     return best.select("doc_id", "item_id", "b.cosine", "b.lcs_ratio", "b.answer_share", (-F.col("b.w")).alias("word"))
