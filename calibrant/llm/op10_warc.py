@@ -4,7 +4,8 @@ Writing: a page becomes one record whose block is an HTTP response in chunked tr
 ``segment_bytes`` are cut into a first record and continuation records.  Of equal payloads of at least ``least`` bytes one is
 stored (the largest page_id), the others as revisit records that refer to it.  Records are written by Spark's text writer
 with the record separator as line separator (CR LF CR LF), so the archives are plain gzip WARC files in any file system
-that Spark knows, and task commits make retries safe.
+that Spark knows, and task commits make retries safe.  A block is at most ``segment_bytes`` long and a file holds at most ``file_records`` records,
+continuations counted, so a reader's row is at most ``file_records * (segment_bytes + headers)``, 66 MB by default.
 
 Reading: files are parsed as byte streams by Content-Length; continuation records are grouped by their origin's identifier,
 ordered by segment number, checked against the total length and joined; chunked framing is decoded; payload digests are
@@ -30,6 +31,8 @@ from .common import Scratch
 
 LEAST, SEGMENT, CHUNK, FILE_RECORDS = 1000, 65_536, 16_384, 1000
 CRLF = b"\r\n"
+#: Most bytes of blocks in one file; it is read as one row.
+FILE_BYTES = 1 << 28
 PARSED = "page_id long, kind string, origin string, seg int, total long, refers_to long, digest string, block binary, payload binary"
 
 
@@ -101,6 +104,8 @@ def records(segment: int, chunk: int):
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT, chunk: int = CHUNK, file_records: int = FILE_RECORDS) -> None:
+    if file_records * segment > FILE_BYTES:
+        raise ValueError(f"a file of {file_records} records of {segment} bytes is more than {FILE_BYTES} bytes")
     body = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
     stored = base.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
