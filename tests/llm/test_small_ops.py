@@ -86,15 +86,10 @@ def test_top_k(spark, scale_norms):
     v[100:140] = v[7]
     rows = [(i, [float(x) for x in v[i]], 1, 2) for i in range(600)]
     rows += [(900, None, 1, 1), (950, [], 1, 1), (1000, [float("nan")] * 16, 1, 1), (1001, [None] * 16, 1, 1), (None, rows[0][1], 1, 1), (1050, [0.0] * 16, 0, 0), rows[3]]
-    old = op1.BUCKET_ROWS
-    op1.BUCKET_ROWS = 100
-    try:
-        got = op1.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, rank int"), "vec_id % 50 = 0", Scratch(spark)).collect()
-    finally:
-        op1.BUCKET_ROWS = old
+    got = op1.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, rank int"), "vec_id % 50 = 0", Scratch(spark), bucket_rows=100).collect()
     m = np.floor(256.0 * v.astype(np.float64)).astype(np.int64)
-    ids = [*range(600), 1050]
-    m = np.vstack([m, np.zeros((1, 16), np.int64)])
+    ids = [*range(600), 1050, 3]  # a repeated row is a candidate of its own
+    m = np.vstack([m, np.zeros((1, 16), np.int64), m[3:4]])
     want = []
     for k, q in enumerate(ids):
         if q % 50 == 0:
