@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,15 @@ def thought_context(chunks: Column) -> Column:
     return F.trim(F.substring(F.array_join(F.transform(chunks, lambda c: F.substring(c, 1, 1000)), "\n"), 1, 4000))
 
 
+def shared_corpora(search_results: Column) -> Column:
+    """Names of the shared corpora that a row points to (its first search result); null if it brings its own documents.
+
+    Told row by row, so a batch may mix both kinds.
+    """
+    first = F.get(search_results, 0)["persistent_storage"]
+    return F.when(F.size(F.coalesce(first, F.array().cast("array<string>"))) > 0, first)
+
+
 def newest_first_context(docs: Column, limit: int = 5000) -> Column:
     """Numbered documents, newest in front, adding none once over ``limit`` characters."""
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
@@ -69,6 +80,16 @@ def split_passages(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array(F.lit(""))).when(F.size(parts) == 0, F.array(text)).otherwise(parts)
 
 
+def choice_lines(options: Column) -> Column:
+    """Options as they are, one a line."""
+    return F.array_join(options, "\n")
+
+
+def choice_pairs(pairs: Column) -> Column:
+    """``array<struct<key, value>>`` (``map_entries`` of a map) as ``k: v`` lines."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat_ws(": ", x["key"], x["value"])), "\n")
+
+
 def choices(options: Column) -> Column:
     """Lettered option lines."""
     return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(i + 65), F.lit(": "), o)), "\n")
@@ -91,11 +112,12 @@ def answer_letter(response: Column) -> Column:
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit("A"))
 
 
-def inject(prompt: Column, text: str, eos: str) -> Column:
+def inject(prompt: Column, text: str | Column, eos: str) -> Column:
     """Insert a part before the last part."""
-    parts = F.split(prompt, eos.replace("|", "\\|"))
+    parts = F.split(prompt, re.sub(r"([^\w\s])", r"\\\1", eos))
     n = F.size(parts)
-    return F.array_join(F.concat(F.slice(parts, F.lit(1), n - 1), F.array(F.lit(text)), F.slice(parts, n, F.lit(1))), eos)
+    text = F.lit(text) if isinstance(text, str) else text
+    return F.array_join(F.concat(F.slice(parts, F.lit(1), n - 1), F.array(text), F.slice(parts, n, F.lit(1))), eos)
 
 
 def confidence_text(options: Column, probs: Column) -> Column:
@@ -108,16 +130,39 @@ def rotated(probs: Column) -> Column:
     return F.when(n < 2, probs).otherwise(F.concat(F.slice(probs, -1, 1), F.slice(probs, F.lit(1), n - 1)))
 
 
-def reflection(text: Column) -> Column:
+#: Reflection tokens and what they mean, in the order in which they are looked for (fixed values).
+REFLECTION = {
+    "retrieval": (("<|retrieve|>", "retrieve"), ("<|no_retrieve|>", "no_retrieve")),
+    "relevance": (("<|relevant|>", "relevant"), ("<|irrelevant|>", "irrelevant")),
+    "support": (("<|fully_supported|>", "supported"), ("<|partially_supported|>", "partially_supported"), ("<|no_support|>", "no_support")),
+    "utility": tuple((f"<|utility:{i}|>", i) for i in range(5, 0, -1)),
+}
+#: The same in brackets, as some models write them.
+BRACKETED = {
+    "retrieval": (("[No Retrieval]", "no_retrieval"), ("[Retrieval]", "retrieval")),
+    "relevance": (("[Irrelevant]", "irrelevant"), ("[Relevant]", "relevant")),
+    "support": (("[Fully supported]", "full"), ("[Partially supported]", "partial"), ("[No support / Contradictory]", "none")),
+    "utility": tuple((f"[Utility:{i}]", i) for i in range(5, 0, -1)),
+}
+#: Scores of reflection values (fixed values); what is missing counts 0.5, and 3 of 5 for utility.
+RELEVANCE = {"relevant": 1.0, "irrelevant": 0.0}
+SUPPORT = {"supported": 1.0, "partially_supported": 0.7, "no_support": 0.0}
+
+
+def reflection(text: Column, tokens: dict = REFLECTION) -> Column:
     """Reflection tokens by containment, the first that fits; utility is the highest of 5 to 1."""
-    has = lambda t: F.contains(text, F.lit(t))
-    utility = F.coalesce(*[F.when(has(f"[Utility:{i}]"), F.lit(i)) for i in range(5, 0, -1)])
-    return F.struct(
-        F.when(has("[No Retrieval]"), "no_retrieval").when(has("[Retrieval]"), "retrieval").alias("retrieval"),
-        F.when(has("[Irrelevant]"), "irrelevant").when(has("[Relevant]"), "relevant").alias("relevance"),
-        F.when(has("[Fully supported]"), "full").when(has("[Partially supported]"), "partial").when(has("[No support / Contradictory]"), "none").alias("support"),
-        utility.alias("utility"),
-    )
+    told = {k: F.coalesce(*[F.when(F.contains(text, F.lit(t)), F.lit(v)) for t, v in pairs]) for k, pairs in tokens.items()}
+    return F.struct(*[c.alias(k) for k, c in told.items()])
+
+
+def reflection_scores(tokens: Column) -> Column:
+    """``struct<relevance, support, utility>`` as numbers for ``best_candidate``; null where a token is missing."""
+    number = lambda c, of: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in of.items()])
+    return F.struct(number(tokens["relevance"], RELEVANCE).alias("relevance"), number(tokens["support"], SUPPORT).alias("support"), tokens["utility"].alias("utility"))
+
+
+def needs_retrieval(tokens: Column) -> Column:
+    return F.coalesce(tokens["retrieval"] == "retrieve", F.lit(False))
 
 
 def thoughts(response: Column, prompt: Column, limit: int) -> Column:
@@ -134,6 +179,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, "(?U)\\s+"), lambda t: t != "")
 
 
+def matched_options(options: Column, labels: Column) -> Column:
+    """The options that equal a label, as they are spelled, each once."""
+    clean = lambda x: F.lower(F.trim(x))
+    return F.array_distinct(F.filter(options, lambda o: F.exists(labels, lambda x: clean(x) == clean(o))))
+
+
+def label_match_strict(options: Column, labels: Column) -> Column:
+    """As ``label_match``; raises unless options and labels are single characters."""
+    single = lambda c: F.forall(c, lambda x: F.length(x) == 1)
+    return F.when(single(options) & single(labels), label_match(options, labels)).otherwise(F.raise_error(F.lit("options and labels must be single characters")).cast("array<int>"))
+
+
 def label_match(options: Column, labels: Column) -> Column:
     """1 for each option equal to a label after trimming and lower-casing."""
     clean = lambda x: F.lower(F.trim(x))

@@ -15,11 +15,15 @@ def sliding(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     step = size - overlap
     if step == 0:
         raise ValueError("overlap must differ from size")
-    words = tokens(text)
     if step < 0:
         return F.array().cast("array<string>")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+
+    # the words are an element that the inner function gets, so the text is split once, not once a window
+    return F.when(text.isNotNull(), F.flatten(F.transform(F.array(tokens(text)), cut)))
 
 
 def sentences(text: Column, least: int = 10, most: int = 1000) -> Column:
@@ -29,7 +33,10 @@ def sentences(text: Column, least: int = 10, most: int = 1000) -> Column:
 
 
 def _pack(parts: Column, size: int, glue: str) -> Column:
-    """Greedy packing by words: a part that would exceed ``size`` starts a new chunk; an oversize part stays whole."""
+    """Greedy packing by words: a part that would exceed ``size`` starts a new chunk; an oversize part stays whole.
+
+    The fold copies an array of references at each finished chunk; chunks are built by one concatenation each.
+    """
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
     def step(a, p):

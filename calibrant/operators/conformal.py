@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrant.operators.running import running
+
 DIGITS = 9
 SAMPLE = ["split", "sample_id"]
 
@@ -52,7 +54,7 @@ def thresholds(sample_scores: DataFrame, alphas: list[float]) -> DataFrame:
     n = sample_scores.agg(F.count(F.lit(1)).alias("n"))
     long = sample_scores.select(F.explode(F.array(F.struct(F.lit("lac").alias("kind"), F.col("lac").alias("s")), F.struct(F.lit("aps").alias("kind"), F.col("aps").alias("s")))).alias("x")).select("x.*")
     counted = long.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("c"))
-    below = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("kind").orderBy("s")))
+    below = running(counted, "s", {"upto": F.col("c")}, by=("kind",))
     want = grid.join(n, F.lit(True)).withColumn("i", order_index(F.col("n"), F.col("alpha")))
     hit = below.join(F.broadcast(want), F.col("upto") > F.col("i")).groupBy("alpha").agg(F.min(F.when(F.col("kind") == "lac", F.col("s"))).alias("lac"), F.min(F.when(F.col("kind") == "aps", F.col("s"))).alias("aps"))
     return grid.join(hit, "alpha", "left").select("alpha", F.coalesce("lac", F.lit(0.5)).alias("lac_threshold"), F.coalesce("aps", F.lit(0.5)).alias("aps_threshold"))
@@ -71,6 +73,43 @@ def sets(rows: DataFrame, limits: DataFrame, kind: str) -> DataFrame:
     return out.select("sample_id", F.array_join(F.transform("s", lambda x: x["opt"]), ",").alias("options"), F.size("s").alias("size"))
 
 
+def set_sizes(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """One row ``lac_set_sizes, aps_set_sizes``: the sizes of all evaluated samples in sample order."""
+    size = lambda c: F.sum(F.col(c).cast("int")).cast("int")
+    told = in_sets(rows, limits).groupBy("sample_id").agg(size("in_lac").alias("lac"), size("in_aps").alias("aps"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("sample_id", c))), lambda x: x[c])
+    return told.agg(listed("lac").alias("lac_set_sizes"), listed("aps").alias("aps_set_sizes"))
+
+
+def combined(metrics_row: DataFrame) -> DataFrame:
+    """Coverage and set size as the mean of both kinds of sets."""
+    mean = lambda a, b: F.round((F.col(a) + F.col(b)) / 2, 6)
+    return metrics_row.select("accuracy", mean("lac_coverage", "aps_coverage").alias("coverage"), mean("lac_avg_set_size", "aps_avg_set_size").alias("set_size"))
+
+
+class CustomMetrics:
+    """Named scores of a sample: functions of its ``probs array<struct<pos, opt, p, correct>>`` in option order."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+
+    def add(self, name: str, score) -> None:
+        self.known[name] = score
+
+    def compute(self, rows: DataFrame) -> DataFrame:
+        """A column ``name`` for each known metric, by sample."""
+        probs = F.array_sort(F.collect_list(F.struct("pos", "opt", "p", "correct")))
+        told = rows.groupBy(*SAMPLE).agg(probs.alias("probs"))
+        return told.select(*SAMPLE, *[f(F.col("probs")).alias(name) for name, f in self.known.items()])
+
+
+def normalised(samples: DataFrame, results: DataFrame) -> DataFrame:
+    """Results with their samples' fields, joined by key: the sample's question, options and answers win, missing results have defaults."""
+    out = samples.join(results.select("sample_id", "generated_response", "predicted_answer", "probs", *[c for c in results.columns if c not in (*samples.columns, "generated_response", "predicted_answer", "probs")]), "sample_id", "left")
+    none = F.array().cast(results.schema["probs"].dataType)
+    return out.withColumns({"generated_response": F.coalesce("generated_response", F.lit("")), "predicted_answer": F.coalesce("predicted_answer", F.lit("Unknown")), "probs": F.coalesce("probs", none)})
+
+
 def metrics(rows: DataFrame, samples: DataFrame, limits: DataFrame) -> DataFrame:
     """Accuracy, coverage and mean set sizes; ``samples`` has every evaluated sample, skipped ones too."""
     hit = lambda c: F.max((F.col("correct") & F.col(c)).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
@@ -39,6 +39,30 @@ def fuse(left: DataFrame, right: DataFrame, strategy: str, weights: dict[str, fl
     return both.withColumn("p", F.when(F.sum("x").over(w) > 0, F.col("x") / F.sum("x").over(w)).otherwise(1.0 / F.count(F.lit(1)).over(w))).select("sample_id", "opt", F.round("p", 9).alias("p"))
 
 
+def max_over_positions(rows: DataFrame, by: str = "sample_id") -> DataFrame:
+    """``(by, opt, p)`` at several positions (generated tokens, passages): the best of each option, at least 0, renormalised; uniform if all are 0."""
+    best = rows.groupBy(by, "opt").agg(F.greatest(F.max("p"), F.lit(0.0)).alias("m"))
+    w = Window.partitionBy(by)
+    return best.select(by, "opt", F.round(F.when(F.sum("m").over(w) > 0, F.col("m") / F.sum("m").over(w)).otherwise(1.0 / F.count(F.lit(1)).over(w)), 9).alias("p"))
+
+
+def uniform(options: Column) -> Column:
+    """1/n for each option."""
+    return F.transform(options, lambda o: F.lit(1.0) / F.size(options))
+
+
+def option_logits(options: Column, top: Column, missing: float = float("-inf")) -> Column:
+    """Logits of the options from the last token's ``map<string, double>`` of best log probabilities; the others have ``missing``."""
+    return F.transform(options, lambda o: F.coalesce(F.try_element_at(top, o), F.lit(missing)))
+
+
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits; uniform where no logit is finite."""
+    best = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - best))
+    return F.when(best > float("-inf"), F.transform(F.array(e), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]).otherwise(uniform(logits))
+
+
 def best_candidate(candidates: DataFrame, w_rel: float = 1.0, w_sup: float = 1.0, w_use: float = 0.5) -> DataFrame:
     """``(sample_id, candidate, relevance, support, utility)``: the first of highest composite score; defaults .5, .5, 3."""
     score = w_rel * F.coalesce("relevance", F.lit(0.5)) + w_sup * F.coalesce("support", F.lit(0.5)) + w_use * F.coalesce("utility", F.lit(3)) / 5

@@ -109,11 +109,11 @@ def truncate_and_key(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", t.ellipsis(F.col("text"), 80).alias("short"), F.sha2("text", 256).alias("key"))
 
 
-@query("""select conv_id, string_agg(chr(cast(64 + turn_no as integer)) || ': ' || left(text, 40), chr(10) order by turn_no) as choices
+@query("""select conv_id, string_agg(chr(cast(64 + turn_no as integer)) || ': ' || text, chr(10) order by turn_no) as choices
     from (select *, row_number() over (partition by conv_id order by turn, text) as turn_no from conversations) group by conv_id""")
 def choices_format(spark, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return read(spark, d, "conversations").groupBy("conv_id").agg(t.choices(F.transform(turns, lambda x: F.substring(x["text"], 1, 40))).alias("choices"))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(t.choices(F.transform(turns, lambda x: x["text"])).alias("choices"))
 
 
 @query(f"select item_id, case when len(p) = 0 then ['' || c] else p end as passages from (select item_id, c, list_filter(list_transform(string_split(c, chr(10) || '-'), lambda x: trim(x)), lambda x: x <> '') as p from (select item_id, chr(10) || '- ' || array_to_string(docs, chr(10) || '- ') as c from ({_LISTS})))")
@@ -132,7 +132,7 @@ def context_merge(spark, d):
     from (select *, case when turn % 2 = 0 then '[Retrieval] [Relevant]' else '[No Retrieval] [Irrelevant]' end || text as x from conversations)""")
 def reflection_tokens(spark, d):
     marked = F.concat(F.when(F.col("turn") % 2 == 0, "[Retrieval] [Relevant]").otherwise("[No Retrieval] [Irrelevant]"), "text", F.lit(" [Utility:1] [Utility:"), (5 - F.col("turn") % 3).cast("string"), F.lit("]"))
-    return read(spark, d, "conversations").select("conv_id", "turn", t.reflection(marked).alias("r")).select("conv_id", "turn", "r.retrieval", "r.relevance", "r.utility")
+    return read(spark, d, "conversations").select("conv_id", "turn", t.reflection(marked, t.BRACKETED).alias("r")).select("conv_id", "turn", "r.retrieval", "r.relevance", "r.utility")
 
 
 @query("select conv_id, turn, list_transform(range(1, 4), lambda i: round(i / 7.0, 6)) as probs, [round(3 / 7.0, 6), round(1 / 7.0, 6), round(2 / 7.0, 6)] as rotated, 'a</s>' || role || '</s>b' as prompt from conversations")
@@ -479,9 +479,7 @@ def candidate_fanout(spark, d):
 @query(f"with {PROBS}, x as (select sample_id, opt, max(p) as m from (select sample_id // 5 as sample_id, opt, p from r where split = 'test') group by all) select sample_id, opt, round(m / sum(m) over (partition by sample_id), 9) as p from x")
 def maxpos_renorm(spark, d):
     rows = option_rows(spark, d).where("split = 'test'").select(F.expr("sample_id div 5").alias("sample_id"), "opt", "p")
-    best = rows.groupBy("sample_id", "opt").agg(F.max("p").alias("m"))
-    total = F.sum("m").over(Window.partitionBy("sample_id"))
-    return best.select("sample_id", "opt", F.round(F.when(total > 0, F.col("m") / total).otherwise(1.0 / F.count(F.lit(1)).over(Window.partitionBy("sample_id"))), 9).alias("p"))
+    return fusion.max_over_positions(rows)
 
 
 @query("""select doc_id, [cast(lower(trim('EN ')) = lang as integer), cast(lang = 'fr' as integer), 0] as hits from documents""")
@@ -501,7 +499,8 @@ def accuracy_vs_labels(spark, d):
 
 def _samples(spark, d) -> DataFrame:
     words = t.tokens(F.col("text"))
-    options = F.array(*[F.array_join(F.slice(words, 1 + 4 * i, 4), " ") for i in range(4)])
+    cut = lambda i: F.floor(F.size(words) * i / 4).cast("int")
+    options = F.array(*[F.array_join(F.slice(words, cut(i) + 1, cut(i + 1) - cut(i)), " ") for i in range(4)])  # the text in four parts
     return read(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("question"), options.alias("options"), F.lit("March 1, 2025").alias("query_time"))
 
 
@@ -517,17 +516,32 @@ def retrieve_then_context(spark, d):
     return out.select(F.col("sample_id").alias("query_id"), t.context(F.col("docs"), F.lit("now")).alias("context"))
 
 
-def _system(name: str):
+#: Probabilities of the overlap scorer over contexts ``cx (sample_id, context)``; options are the four quarters of a benchmark text.
+_ANSWER = """sm as (select item_id as sample_id, text as question, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from benchmark),
+    op as (select sample_id, question, unnest(range(0, 4)) as pos, [array_to_string(w[len(w) * i // 4 + 1:len(w) * (i + 1) // 4], ' ') for i in range(0, 4)] as o from sm),
+    lg as (select sample_id, cast(pos as integer) as pos, o[pos + 1] as opt, cast(len(list_intersect(list_filter(string_split_regex(lower(o[pos + 1]), '\\s+'), lambda x: x <> ''), list_filter(string_split_regex(lower(coalesce(context, '')), '\\s+'), lambda x: x <> ''))) as double) as logit
+           from op left join cx using (sample_id)),
+    pp as (select sample_id, pos, opt, round(exp(logit - m) / sum(exp(logit - m)) over (partition by sample_id), 9) as p from (select *, max(logit) over (partition by sample_id) as m from lg))
+    select sample_id, first_value(opt) over (partition by sample_id order by p desc, pos) as predicted_answer, pos, opt, p from pp"""
+_NO_CONTEXT = f"with cx as (select item_id as sample_id, cast(null as varchar) as context from benchmark), {_ANSWER}"
+_RAG = f"with {_BM25}, xx as (select query_id, list(text order by rank) as docs from bm join documents using (doc_id) where rank <= 10 group by query_id), cx as (select query_id as sample_id, left(chr(10) || '- ' || array_to_string(docs, chr(10) || '- '), 4000) || chr(10) || 'Query Time: March 1, 2025' as context from xx), {_ANSWER}"
+_HYDE = _RAG.replace("(select item_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as term from benchmark)", "(select item_id, unnest(list_concat(x.w, x.w)) as term from (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from benchmark) x)")
+
+
+def _system(name: str, sql: str | None = None):
     def run(spark, d):
-        out = systems.get_system(name, retriever=_retriever(spark, d)).answer(_samples(spark, d))
+        system = systems.REGISTRY[name]
+        retriever = None if name.endswith("llm") and name != "replugllm" else systems.fixed_retriever if name == "replugllm" else _retriever(spark, d)
+        out = system(retriever=retriever).answer(_samples(spark, d))
         return out.select("sample_id", "predicted_answer", F.explode("probs").alias("x")).select("sample_id", "predicted_answer", "x.pos", "x.opt", "x.p")
 
     run.__name__ = f"system_{name}"
-    return query()(run)
+    return query(sql)(run)
 
 
-for _n in ("simplellm", "simplerag", "hyderag", "fusionrag", "ratrag", "corag", "replugllm", "replugrag", "selfrag"):
-    _system(_n)
+_SYSTEM_SQL = {**dict.fromkeys(("simplellm", "hydellm", "fusionllm", "ratllm", "raptorllm", "selfllm", "fidllm"), _NO_CONTEXT), **dict.fromkeys(("simplerag", "raptorrag"), _RAG), "hyderag": _HYDE}
+for _n in sorted(systems.REGISTRY):
+    _system(_n, _SYSTEM_SQL.get(_n))
 
 
 @query()

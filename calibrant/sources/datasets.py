@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,12 +95,81 @@ def lookup(table: DataFrame, **keys) -> DataFrame:
     return table
 
 
+#: The knowledge lookups by domain: key columns, then optional ones after a bar (fixed values: the names that callers use).
+LOOKUPS = {
+    "open": {"search_entity_by_name": "query", "get_entity": "query"},
+    "movie": {"get_person_info": "query", "get_movie_info": "query", "get_year_info": "query", "get_movie_info_by_id": "query", "get_person_info_by_id": "query"},
+    "finance": {"get_company_name": "query", "get_ticker_by_name": "query", "get_price_history": "query", "get_detailed_price_history": "query", "get_dividends_history": "query", "get_market_capitalization": "query", "get_eps": "query", "get_pe_ratio": "query", "get_info": "query"},
+    "music": {
+        "search_artist_entity_by_name": "query", "search_song_entity_by_name": "query", "get_billboard_rank_date": "rank | date", "get_billboard_attributes": "date, attribute, song_name",
+        "grammy_get_best_artist_by_year": "query", "grammy_get_award_count_by_artist": "query", "grammy_get_award_count_by_song": "query", "grammy_get_best_song_by_year": "query", "grammy_get_award_date_by_artist": "query",
+        "grammy_get_best_album_by_year": "query", "grammy_get_all_awarded_artists": "", "get_artist_birth_place": "query", "get_artist_birth_date": "query", "get_members": "query", "get_lifespan": "query",
+        "get_song_author": "query", "get_song_release_country": "query", "get_song_release_date": "query", "get_artist_all_works": "query",
+    },
+    "sports": {"soccer_get_games_on_date": "date | team_name", "nba_get_games_on_date": "date | team_name", "nba_get_play_by_play_data_by_game_ids": "game_ids"},
+}
+
+
+class Knowledge:
+    """The lookups over local tables ``{domain_name: table}`` that have their key columns; a list of keys is a semi-join on the key (``game_ids`` on ``game_id``)."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.tables = tables
+
+    @staticmethod
+    def keys(domain: str, name: str) -> tuple[list[str], list[str]]:
+        if name not in LOOKUPS.get(domain, {}):
+            raise ValueError(f"unknown lookup {domain}.{name}")
+        first, _, rest = LOOKUPS[domain][name].partition("|")
+        need, may = ([k.strip() for k in part.split(",") if k.strip()] for part in (first, rest))
+        return need, may
+
+    def call(self, domain: str, name: str, **values) -> DataFrame:
+        need, may = self.keys(domain, name)
+        if (gone := [k for k in need if k not in values]) or (more := [k for k in values if k not in (*need, *may)]):
+            raise ValueError(f"{domain}.{name} lacks {gone}" if gone else f"{domain}.{name} does not know {more}")
+        if f"{domain}_{name}" not in self.tables:
+            raise ValueError(f"no table for {domain}.{name}")
+        return lookup(self.tables[f"{domain}_{name}"], **{k.removesuffix("s") if isinstance(v, list) else k: v for k, v in values.items()})
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, in any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_results(evaluated: DataFrame, metrics: DataFrame, path: str) -> None:
-    """Calibration results, test results and metrics as JSON."""
+    """Calibration and test results as JSON lines, and the one row of metrics as a single JSON file, ``evaluation_metrics.json``."""
     for split in ("calibration", "test"):
         evaluated.where(F.col("split") == split).drop("split").write.mode("overwrite").json(f"{path}/{split}_results")
-    metrics.write.mode("overwrite").json(f"{path}/evaluation_metrics")
+    row = json.loads(metrics.toJSON().first())
+    write_text(metrics.sparkSession, f"{path}/evaluation_metrics.json", json.dumps(row, indent=4))
+
+
+def report(metrics: DataFrame) -> DataFrame:
+    """``line, text``: the result report, one row a line, numbers with four decimals."""
+    lines = (("Total Samples", "total_samples", "%d"), ("Accuracy", "accuracy", "%.4f"), ("LAC Coverage", "lac_coverage", "%.4f"), ("APS Coverage", "aps_coverage", "%.4f"), ("LAC Avg Set Size", "lac_avg_set_size", "%.4f"), ("APS Avg Set Size", "aps_avg_set_size", "%.4f"), ("  LAC Threshold", "lac_threshold", "%.4f"), ("  APS Threshold", "aps_threshold", "%.4f"))
+    texts = F.array(*[F.format_string(f"{name}: {form}", F.col(c)) for name, c, form in lines if c in metrics.columns])
+    return metrics.select(F.posexplode(texts).alias("line", "text"))
 
 
 def not_yet_run(configs: DataFrame, done: DataFrame) -> DataFrame:
     return configs.join(done, "config", "left_anti")
+
+
+def run_pending(spark: SparkSession, runs: dict, path: str) -> list[str]:
+    """Call each run whose folder has no metrics file yet with that folder; the names of those that ran."""
+    ran = []
+    for name, run in runs.items():
+        if not exists(spark, f"{path}/{name}/evaluation_metrics.json"):
+            run(f"{path}/{name}")
+            ran.append(name)
+    return ran

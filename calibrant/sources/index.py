@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from calibrant.functions.text import ellipsis
 from calibrant.operators import search as s
 from calibrant.operators.chunk import chunk
+from calibrant.sources.datasets import exists
 
 
 class Collections:
@@ -48,6 +49,32 @@ class Collections:
         if self.default == db and self.names:
             self.default = min(self.names)
 
+    def append(self, docs: DataFrame, method: str = "sliding_window", **options) -> None:
+        """Add documents of known collections; their point ids follow the highest ones, and nothing that is there changes."""
+        new = Collections.build(docs, self.names, method, **options).points
+        last = self.points.groupBy("db_index").agg((F.max("point_id") + 1).alias("next"))
+        new = new.join(F.broadcast(last), "db_index", "left").withColumn("point_id", F.col("point_id") + F.coalesce("next", F.lit(0)))  # a row for each collection
+        self.points = self.points.unionByName(new.select(*self.points.columns))
+
+    def scroll(self, db: int | None = None, after: int | None = None, limit: int = 100) -> DataFrame:
+        """The ``limit`` points that follow point ``after`` in a collection."""
+        points = self._of(db)
+        return (points if after is None else points.where(F.col("point_id") > after)).orderBy("point_id").limit(limit)
+
+    def retrieve(self, wanted: DataFrame) -> DataFrame:
+        """The payload of points ``(db_index, point_id)``; unknown ones are skipped."""
+        return self.points.join(wanted.select("db_index", "point_id"), ["db_index", "point_id"])
+
+    def details(self, embedding: str = "tfidf", features: int = 5000) -> DataFrame:
+        """``db_index, db_name, points_count, vector_size, distance_metric, embedding_model`` of each collection."""
+        names = self.points.sparkSession.createDataFrame(sorted(self.names.items()), "db_index int, db_name string")
+        each = self.points.select("db_index", F.explode(F.array_distinct(s.terms(F.col("chunk"), s.english_stop_words(self.points.sparkSession)))).alias("term")).distinct()
+        size = each.groupBy("db_index").agg(F.least(F.count(F.lit(1)), F.lit(features)).alias("vector_size"))
+        points = self.points.groupBy("db_index").agg(F.count(F.lit(1)).alias("points_count"))
+        out = names.join(points, "db_index", "left").join(size, "db_index", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return out.select("db_index", "db_name", zero("points_count"), zero("vector_size"), F.lit("Cosine").alias("distance_metric"), F.lit(embedding).alias("embedding_model"))
+
     def stats(self) -> DataFrame:
         return self.points.groupBy("db_index").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("doc_id").alias("docs"))
 
@@ -71,11 +98,7 @@ class Collections:
 
     @staticmethod
     def _tfidf(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        vectors = s.tfidf_vectors(docs)
-        asked = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
-        asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("q"))
-        scored = vectors.join(s.small(asked), "term").groupBy("query_id", F.col("doc_id").alias("point_id")).agg(F.round(F.sum(F.col("q") * F.col("w")), 6).alias("score"))
-        return s.top(scored, k, ["query_id"], [F.desc("score"), F.asc("point_id")])
+        return s.TfIdf(docs).search(queries, k).withColumnRenamed("doc_id", "point_id")
 
     def save(self, path: str) -> None:
         self.points.write.mode("overwrite").partitionBy("db_index").parquet(f"{path}/points")
@@ -83,6 +106,13 @@ class Collections:
         self.points.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Collections:
+    def load(cls, spark: SparkSession, path: str, new_path: str | None = None) -> Collections:
+        """From ``path``; with ``new_path`` the points are copied there first and read from there, so the saved ones can go."""
+        if not exists(spark, f"{path}/manifest") or not exists(spark, f"{path}/points"):
+            raise FileNotFoundError(f"no saved collections in {path}")
+        if new_path is not None:
+            loaded = cls.load(spark, path)
+            loaded.save(new_path)
+            return cls.load(spark, new_path)
         m = json.loads(spark.read.text(f"{path}/manifest").first()[0])
         return cls(spark.read.parquet(f"{path}/points"), {int(k): v for k, v in m["names"].items()}, m["default"])
