@@ -121,8 +121,8 @@ def hashed_embedder(dim: int = 64) -> Callable:
 
 
 def retrieval_decider() -> Callable:
-    """A generator that asks for retrieval when the prompt has over forty characters, in reflection tokens."""
-    return lambda prompts: ["<|retrieve|>" if len(p or "") > 40 else "<|no_retrieve|>" for p in prompts]
+    """A generator that asks for retrieval when the prompt has over 120 characters, in reflection tokens."""
+    return lambda prompts: ["<|retrieve|>" if len(p or "") > 120 else "<|no_retrieve|>" for p in prompts]
 
 
 def reflecting_generator() -> Callable:
