@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 #: Slices of an Arrow batch that one numpy pass handles; a longer document is a slice by itself.
 SLICE_BYTES = 1 << 19
 #: Rows of an Arrow batch between the JVM and Python: both sides hold whole batches, of whole texts.
-BATCH_ROWS, BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = 2000
+#: While a table is written: small batches; shuffles that the table replaces are deleted; partitions, and so files, of about 32 MB
+#: instead of as many as there are cores.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
+}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,14 +56,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        old = {CLEANUP: self.spark.conf.get(CLEANUP, "false"), BATCH: self.spark.conf.get(BATCH)}
-        self.spark.conf.set(CLEANUP, "true")  # the table replaces the shuffles behind it
-        self.spark.conf.set(BATCH, str(BATCH_ROWS))
+        old = {k: self.spark.conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
             for k, v in old.items():
-                self.spark.conf.set(k, v)
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._calibrant_path = path
         self.release()
