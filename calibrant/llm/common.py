@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 #: Rows of an Arrow batch between the JVM and Python: both sides hold whole batches, of whole texts.
 BATCH_ROWS = 2000
-#: While a table is written: small batches; shuffles that the table replaces are deleted; partitions, and so files, of about 32 MB
+#: While a table is written: small batches; shuffles that the table replaces are deleted; partitions, and so files, of about 16 MB
 #: instead of as many as there are cores.
 WRITING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 

@@ -30,7 +30,7 @@ from .rolling import BYTE, SPACE, grams, prefix, ranges, sliding_min
 
 MIN_BYTES = 400
 #: Texts of one bucket that a task compares at a time, in bytes.
-BUCKET_BYTES = 1 << 21
+BUCKET_BYTES = 1 << 20
 
 
 def byte_runs(min_bytes: int, anchor: int | None = None, names_only: bool = False, limit: int = SLICE_BYTES):

@@ -37,7 +37,7 @@ HEAVY, LEAST = 2000, 2000
 #: Seeds that are tried until names are one to one.
 SEEDS = 20
 #: Bytes of bucket texts that are compared in one numpy pass; a larger bucket is a pass by itself.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 def digests(data, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -179,6 +179,7 @@ def repeated_spans(texts: DataFrame, runs_of: Callable, bounds: Callable, solve:
         whole = scratch.keep(whole.where("rows > 1"), "windows")
         again = split_join(windows, whole, ["d1", "d2"], heavy(whole, "d1", "rows")).where("w > first" if earlier else "w = 1 and total > 1")
         hits = hits.unionByName(again.groupBy(*name).agg(F.collect_list("j").alias("js")))
+    hits = scratch.keep(hits, "repeated-windows")  # read twice below
     verdict = same.select(*name, "c", F.col("kd").alias("first")).join(hits, name, "left").where("c > 1 or js is not null")
     told = split_join(cand.select("kd", "kt", *name, "p", "n"), verdict, name, heavy(same, "r1", "c"))
     all_of_it = F.col("kd") > F.col("first") if earlier else F.col("c") > 1
@@ -187,5 +188,5 @@ def repeated_spans(texts: DataFrame, runs_of: Callable, bounds: Callable, solve:
     told = told.select("kd", "kt", F.explode(F.when(all_of_it, one).otherwise(some)).alias("s")).select("kd", "kt", "s.p", "s.n")
     spans = told.distinct().groupBy("kd", "kt").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
     spans = scratch.keep(spans, "spans")
-    scratch.drop(hot, cand, same, split, pieces)
+    scratch.drop(hot, cand, same, split, pieces, hits)
     return spans
