@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,16 +55,22 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
+    @contextmanager
+    def writing(self) -> Iterator[None]:
+        """The settings of ``WRITING``; the session's own come back afterwards."""
         old = {k: self.spark.conf.get(k, None) for k in WRITING}
         for k, v in WRITING.items():
             self.spark.conf.set(k, v)
         try:
-            df.write.parquet(path)
+            yield
         finally:
             for k, v in old.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        with self.writing():
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._calibrant_path = path
         self.release()

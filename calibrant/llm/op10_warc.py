@@ -191,7 +191,8 @@ def read_warc(spark, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """Write all pages, read the archives back, and give each record's digest columns."""
     path = scratch.path("warc")
-    write_warc(pages, path, **options)
+    with scratch.writing():
+        write_warc(pages, path, **options)
     scratch.release()
     rows = read_warc(pages.sparkSession, path)
     slim = scratch.keep(rows.select("page_id", "record_type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes")), "records")
