@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from calibrant.functions import prompts as pr
 from calibrant.functions import text as t
 from calibrant.functions.text import context, document_text, fusion_context, merged_context, newest_first_context, thought_context, tokens
-from calibrant.operators import fusion, search
+from calibrant.operators import fusion, search, tree
+from calibrant.operators.chunk import chunk
 from calibrant.plans import models
+from calibrant.sources.tables import Workspace
 
 Retriever = Callable[[DataFrame, int], DataFrame]
 #: The documents of the fixed retriever (fixed values); the n-th has a score of 1 - (n - 1) / 10.
@@ -135,7 +137,8 @@ def bm25_retriever(docs: DataFrame) -> Retriever:
     index = search.Bm25(docs)
 
     def run(queries: DataFrame, k: int) -> DataFrame:
-        return index.search(queries, k).join(docs.select("doc_id", F.col("text").alias("chunk")), "doc_id").select("query_id", "rank", "chunk", "score")
+        hits = search.bounded(index.search(queries, k), queries, k)
+        return docs.select("doc_id", F.col("text").alias("chunk")).join(hits, "doc_id").select("query_id", "rank", "chunk", "score")
 
     return run
 
@@ -147,8 +150,8 @@ def embedding_retriever(docs: DataFrame, embedder: Callable, vectors: DataFrame
 
     def run(queries: DataFrame, k: int) -> DataFrame:
         asked = models.embed(queries.select("query_id", "query"), embedder, "query", "q").select("query_id", search.unit(F.col("q")).alias("q_vec"))
-        hits = search.dense_topk(asked, known, k)
-        return hits.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk")), "chunk_id").select("query_id", "rank", "chunk", "score")
+        hits = search.bounded(search.dense_topk(asked, known, k), queries, k)
+        return docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk")).join(hits, "chunk_id").select("query_id", "rank", "chunk", "score")
 
     return run
 
@@ -185,8 +188,9 @@ class System:
     k, batch, technique, method = 10, 40, "direct", "normal"
     default_generator = staticmethod(models.echo_generator())
 
-    def __init__(self, retriever: Retriever | None = None, scorer=overlap_score, generator: Callable | None = None, model: str = "default", technique: str | None = None, method: str | None = None, eos: str = "</s>"):
+    def __init__(self, retriever: Retriever | None = None, scorer=overlap_score, generator: Callable | None = None, model: str = "default", technique: str | None = None, method: str | None = None, eos: str = "</s>", embedder: Callable | None = None):
         self.retriever, self.scorer, self.generator, self.model, self.eos = retriever, scorer, generator or self.default_generator, model, eos
+        self.embedder = embedder or models.hashed_embedder()
         self.technique, self.method = technique or self.technique, method or self.method
         if self.technique not in pr.TECHNIQUES:
             raise ValueError(f"unknown technique {self.technique!r}; known: {pr.TECHNIQUES}")
@@ -317,17 +321,37 @@ class CoRag(System):
 
 
 class RaptorLlm(System):
-    """A long text that the sample brings along is condensed first, and the condensed text is the context."""
+    """A long text that the sample brings along becomes a tree of summaries; what a question finds in it is the context."""
 
     #: A text is worth a tree from more than this many characters on (fixed value).
     LEAST = 50
+    #: Of a chunk, the words; of a tree, the nodes that a question is answered from.
+    CHUNK, NODES = 100, 5
+
+    def tree(self, rows: DataFrame, workspace: Workspace | None = None) -> DataFrame:
+        """Nodes of all levels over the chunks of each row's own ``context``; see ``operators.tree``."""
+        chunks = rows.select("sample_id", F.posexplode(chunk(F.col("context"), "sentence", size=self.CHUNK)).alias("pos", "text"))
+        chunks = chunks.select("sample_id", F.lpad(F.col("pos").cast("string"), 10, "0").alias("node"), "text")
+
+        def condense(clusters: DataFrame) -> DataFrame:
+            return self.generated(clusters, pr.fill("Summarise the following texts.\n\n{t}", t=F.array_join("texts", "\n\n")), "text")
+
+        embed = lambda nodes: models.embed(nodes, self.embedder, "text", "v").drop("v_error").where("v is not null")
+        return tree.build(chunks, embed, condense, workspace or Workspace(rows.sparkSession))
 
     def condensed(self, samples: DataFrame) -> DataFrame:
-        """``raptor_answer`` where there is a long context of its own, else null; every row has a tree of its own text."""
+        """``raptor_answer``, told from the nodes nearest to the question, where there is a long context of its own, else null."""
         rows = System.contexts(self, samples)
-        told = self.generated(rows, pr.subanswer_prompt(F.col("question"), F.array("context")), "raptor_answer")
-        long = F.length(F.trim(F.coalesce("context", F.lit("")))) > self.LEAST
-        return told.withColumn("raptor_answer", F.when(long, F.nullif(F.trim("raptor_answer"), F.lit("")))).withColumn("raptor_used", F.col("raptor_answer").isNotNull())
+        long = rows.where(F.length(F.trim(F.coalesce("context", F.lit("")))) > self.LEAST)
+        if not long.limit(1).count():
+            return rows.withColumns({"raptor_answer": F.lit(None).cast("string"), "raptor_used": F.lit(False)})
+        nodes = RaptorLlm.tree(self, long)
+        asked = models.embed(long.select("sample_id", "question"), self.embedder, "question", "q").select(F.col("sample_id").alias("query_id"), "sample_id", F.col("q").alias("q_vec"))
+        hits = tree.tree_topk(asked, nodes, RaptorLlm.NODES).select(F.col("query_id").alias("sample_id"), "level", "node", "rank")
+        found = nodes.join(hits, ["sample_id", "level", "node"]).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("found"))
+        told = self.generated(long.select("sample_id", "question").join(found, "sample_id"), pr.subanswer_prompt(F.col("question"), F.col("found")), "raptor_answer")
+        told = told.select("sample_id", F.nullif(F.trim("raptor_answer"), F.lit("")).alias("raptor_answer"))
+        return rows.join(told, "sample_id", "left").withColumn("raptor_used", F.col("raptor_answer").isNotNull())
 
     def contexts(self, samples):
         return self.condensed(samples).withColumn("context", F.when(F.col("raptor_used"), F.concat(F.lit("RAPTOR Analysis: "), "raptor_answer")).otherwise(F.col("context")))
@@ -346,7 +370,7 @@ class RaptorRag(SimpleRag):
         both = merged_context(F.col("context"), F.col("raptor_answer"), "\n\nRAPTOR Analysis: ")
         return found.withColumn("context", F.nullif(F.when(F.coalesce("context", F.lit("")) == "", F.concat(F.lit("RAPTOR Analysis: "), "raptor_answer")).otherwise(both), F.lit(""))).withColumn("rag_enhanced", F.size("docs") > 0)
 
-    LEAST = RaptorLlm.LEAST
+    LEAST, CHUNK = RaptorLlm.LEAST, RaptorLlm.CHUNK
 
 
 class SelfLlm(System):

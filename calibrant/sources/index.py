@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from calibrant.functions.text import ellipsis
 from calibrant.operators import search as s
 from calibrant.operators.chunk import chunk
+from calibrant.operators.order import preceding
 from calibrant.sources.datasets import exists
+from calibrant.sources.tables import Workspace
 
 
 class Collections:
@@ -21,13 +23,15 @@ class Collections:
 
     @classmethod
     def build(cls, docs: DataFrame, names: dict[int, str] | None = None, method: str = "sliding_window", **options) -> Collections:
-        """docs ``(db_index, doc_id, text)``; point ids follow document and chunk order inside a collection."""
-        from pyspark.sql import Window
-
-        cut = docs.select("db_index", "doc_id", F.posexplode(chunk(F.col("text"), method, **options)).alias("chunk_id", "chunk"), ellipsis(F.col("text"), 100).alias("original_text"))
-        before = docs.select("db_index", "doc_id", F.size(chunk(F.col("text"), method, **options)).alias("n"))
-        before = before.withColumn("base", F.sum("n").over(Window.partitionBy("db_index").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)))
-        points = cut.join(before.drop("n"), ["db_index", "doc_id"]).withColumn("point_id", F.coalesce("base", F.lit(0)) + F.col("chunk_id")).drop("base")
+        """docs ``(db_index, doc_id, text)``; point ids follow document and chunk order inside a collection.
+
+        Every row is a document of its own, whether its id is repeated or null (nulls first, equal ids by text).
+        """
+        spark = docs.sparkSession
+        cut = docs.select("db_index", "doc_id", chunk(F.col("text"), method, **options).alias("chunks"), ellipsis(F.col("text"), 100).alias("original_text"))
+        cut = cut.withColumn("n", F.coalesce(F.size("chunks"), F.lit(0)).cast("long")).where("n > 0")
+        placed = preceding(cut, ["db_index"], ["doc_id"], "n", "base", Workspace(spark), "documents")
+        points = placed.select("db_index", "doc_id", F.posexplode("chunks").alias("chunk_id", "chunk"), "original_text", "base").withColumn("point_id", F.col("base") + F.col("chunk_id")).drop("base")
         if names is None:
             names = {r[0]: f"db_{r[0]}" for r in docs.select("db_index").distinct().collect()}
         return cls(points, names, min(names, default=0))
@@ -89,12 +93,13 @@ class Collections:
         elif method == "embeddings":
             hits = self._tfidf(docs, queries, k)
         elif method == "hybrid":
-            pair = [h.join(points.select("point_id", "chunk"), "point_id") for h in (s.Bm25(docs).search(queries, 2 * k).withColumnRenamed("doc_id", "point_id"), self._tfidf(docs, queries, 2 * k))]
-            first = points.groupBy("chunk").agg(F.min("point_id").alias("point_id"))
-            hits = s.hybrid(pair[0], pair[1], k, "chunk").join(first, "chunk").drop("chunk")
+            pair = [points.select("point_id", "chunk").join(s.bounded(h, queries, 2 * k), "point_id") for h in (s.Bm25(docs).search(queries, 2 * k).withColumnRenamed("doc_id", "point_id"), self._tfidf(docs, queries, 2 * k))]
+            both = s.hybrid(pair[0], pair[1], k, "chunk")
+            first = points.select("point_id", "chunk").join(s.bounded(both.select("chunk").distinct(), queries, k), "chunk").groupBy("chunk").agg(F.min("point_id").alias("point_id"))
+            hits = both.join(first, "chunk").drop("chunk")
         else:
             raise ValueError(f"unknown search method {method!r}; known: {s.SEARCHES}")
-        return hits.join(points.select("point_id", "chunk", "doc_id", "chunk_id", "original_text"), "point_id").withColumn("method", F.lit(method))
+        return points.select("point_id", "chunk", "doc_id", "chunk_id", "original_text").join(s.bounded(hits, queries, k), "point_id").withColumn("method", F.lit(method))
 
     @staticmethod
     def _tfidf(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
