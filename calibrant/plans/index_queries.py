@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from calibrant.functions import text as t
 from calibrant.operators import search as s
 from calibrant.operators import tree
-from calibrant.plans.queries import _dense_sql, _vectors, query, read
+from calibrant.plans.queries import _BM25, _asked, _dense_sql, _vectors, query, read
 from calibrant.sources.index import Collections
+from calibrant.sources.postings import InvertedIndex
 from calibrant.sources.tables import Workspace
 from calibrant.sources.vectors import VectorIndex
 
@@ -115,3 +116,40 @@ def vector_index_exact(spark, d):
     path = _folder(spark, "vectors")
     VectorIndex.build(c.where("chunk_id % 2 = 0"), path).append(c.where("chunk_id % 2 = 1"))
     return VectorIndex(spark, path).search(q, 10, exact=True)
+
+
+def _inverted(spark, d) -> InvertedIndex:
+    """Documents in two segments, with others that are deleted again."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    index = InvertedIndex.create(spark, _folder(spark, "postings"), buckets=8)
+    doomed = docs.where("doc_id % 10 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    index.append(docs.where("doc_id % 2 = 0").unionByName(doomed))
+    index.append(docs.where("doc_id % 2 = 1"))
+    index.delete(doomed)
+    return InvertedIndex(spark, index.path)
+
+
+@query(f"with {_BM25} select query_id, doc_id, score, cast(rank as integer) as rank from bm where rank <= 10")
+def bm25_index_topk(spark, d):
+    return _inverted(spark, d).search(_asked(spark, d), 10)
+
+
+_COMMON = """co as (select term, row_number() over (order by df desc, term) as no from f, st where df > n / 2)"""
+_COMMON_BM25 = _BM25.replace("q as (select item_id", f"{_COMMON}, q as (select item_id").replace(
+    "from (select item_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as term from benchmark) group by all)",
+    "from (select a.no as item_id, a.term from co a union all select a.no, b.term from co a join co b on b.no = a.no + 1) group by all)",
+)
+
+
+@query(f"with {_COMMON_BM25} select query_id, doc_id, score, cast(rank as integer) as rank from bm where rank <= 10")
+def bm25_common_words(spark, d):
+    """Queries that consist of words in over half of all documents: no score is positive."""
+    from pyspark.sql import Window
+
+    index = _inverted(spark, d)
+    n, _ = index.size()
+    place = F.row_number().over(Window.orderBy(F.desc("df"), "term"))  # the most common words of a language: a few dozen
+    words = index.idf().where(F.col("df") > n / 2).withColumn("no", place.cast("long")).select("no", "term")
+    pairs = words.select(F.col("no").alias("query_id"), F.lit(0).alias("i"), "term").unionByName(words.select((F.col("no") - 1).alias("query_id"), F.lit(1).alias("i"), "term")).where("query_id > 0")
+    asked = pairs.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("query"))
+    return index.search(asked, 10)

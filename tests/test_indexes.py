@@ -141,3 +141,85 @@ def test_vector_search_reads_the_cells_it_probes(spark, tmp_path):
     index = VectorIndex.build(chunks, f"file://{tmp_path}/v", parts=2)
     plan = index._of_cells(np.array([1, 2, 3, 9]))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(cell,1)" in plan
+
+
+# ---- postings -----------------------------------------------------------------------------------------------------
+
+
+def plain_bm25(docs: dict, queries: list[tuple], k: int) -> set:
+    words = {i: (t or "").split() for i, t in docs.items()}
+    n, avgdl = len(docs), sum(map(len, words.values())) / len(docs)
+    df: dict = {}
+    for w in words.values():
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    out = set()
+    for q, text in queries:
+        scored = []
+        for i, w in words.items():
+            x = 0.0
+            for term in (text or "").split():
+                tf = w.count(term)
+                if tf:
+                    x += math.log((n - df[term] + 0.5) / (df[term] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))
+            scored.append((-round(x, 6), i))
+        out |= {(q, i, -x + 0.0, r + 1) for r, (x, i) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+def test_inverted_index(spark, tmp_path):
+    from calibrant.sources.postings import InvertedIndex
+
+    r = random.Random(6)
+    vocabulary = ["the", "of", "all"] + [f"w{i}" for i in range(60)]
+    weights = [60, 40, 25] + [1] * 60
+
+    def make(ids):
+        return {i: " ".join(["all", *r.choices(vocabulary, weights, k=r.randrange(1, 30))]) for i in ids}
+
+    docs = make([*range(-40, 90), *range(1000, 1100)]) | {5000: None, 5001: "", 5002: "w1 " * 3000}
+    more, other = make(range(90, 200)), make(range(20, 60))
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    queries = [(1, "w1 w2 w3"), (2, "the of"), (3, "all"), (4, "w5 w5 the"), (5, "nothing known"), (6, ""), (7, None), (8, "all w7"), (9, "the w9 all of")]
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    path = f"file://{tmp_path}/p"
+    index = InvertedIndex.create(spark, path, width=64, buckets=4)
+    assert index.search(asked, 5).count() == 0
+    index.append(frame(docs))
+
+    def same(live, k=7):
+        got = {tuple(x) for x in InvertedIndex(spark, path).search(asked, k).select("query_id", "doc_id", "score", "rank").collect()}
+        want = plain_bm25(live, queries, k)
+        assert {(q, i, rank) for q, i, _, rank in got} == {(q, i, rank) for q, i, _, rank in want}
+        assert sorted(x for *_, x, _ in got) == pytest.approx(sorted(x for *_, x, _ in want), abs=2e-6)
+
+    index.append(frame(more))
+    index.delete(spark.createDataFrame([(i,) for i in [*range(10, 60), 4444]], "doc_id long"))
+    live = {i: t for i, t in (docs | more).items() if not 10 <= i < 60}
+    same(live)
+    with pytest.raises(ValueError, match="indexed already"):
+        index.append(frame({90: "again"}))
+    index.append(frame(other))  # ids that were deleted come back
+    live |= other
+    same(live, 300)  # more than there are: all of them, negative ones too
+    files = InvertedIndex(spark, path).segments()
+    index.merge()
+    index.vacuum()
+    assert len(InvertedIndex(spark, path).segments()) == 1 and len(files) == 4
+    (tmp_path / "p" / "postings" / "segment=99").mkdir()  # a segment that broke off
+    same(live, 3)
+    index = InvertedIndex(spark, path)
+    plan = index._of_terms(index._read("postings", index.POSTINGS), spark.createDataFrame([("w1",)], "term string"))
+    assert len(plan.select("bucket").distinct().collect()) == 1 and "PartitionFilters" in plan._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(FileExistsError):
+        InvertedIndex.create(spark, path)
+
+
+def test_no_search_gathers_the_corpus(spark):
+    """Hits are broadcast, texts are scanned in place; idf goes with the asked words; no window runs over all rows."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} x{i}") for i in range(300)], "doc_id long, text string")
+    samples = spark.createDataFrame([(1, "w1 x5")], "query_id long, query string")
+    out = systems.bm25_retriever(docs)(samples, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan or "leftHint=(strategy=broadcast)" in plan
+    assert {x["chunk"] for x in out.collect()} and out.where("chunk is null").count() == 0
