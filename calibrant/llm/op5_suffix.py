@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Scratch, doc_key, flat, overlapping, slices
-from .repeats import digests, repeated_spans, run_batch
+from .repeats import digests, name_batch, repeated_spans, run_batch
 from .rolling import BYTE, SPACE, grams, prefix, ranges, sliding_min
 
 MIN_BYTES = 400
@@ -50,8 +50,9 @@ def byte_runs(min_bytes: int, anchor: int | None = None, names_only: bool = Fals
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(p))[: len(first)] - 1
         row, a, start, end = row[first], a[first], p[first], p[last]
-        whole = np.zeros((len(a), 2), np.int64) if names_only else digests(data, start, end + min_bytes)
-        return run_batch(kd[row], kt[row], g[a], np.zeros(len(a), np.int32), whole, start - off[row] + base, end - start + 1)
+        if names_only:
+            return name_batch(kd[row], g[a])
+        return run_batch(kd[row], kt[row], g[a], digests(data, start, end + min_bytes), start - off[row] + base, end - start + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +196,7 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES,
     """
     keyed = doc_key(docs.select("doc_id", "text", *carry))
     texts = keyed.select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = repeated_spans(texts, lambda seed, names_only: byte_runs(min_bytes, anchor, names_only, slice_bytes), byte_bounds(min_bytes), repeated_in_bucket(min_bytes), max(2, bucket_bytes // (2 * min_bytes)), "any", scratch)
+    found = repeated_spans(texts, lambda names_only: byte_runs(min_bytes, anchor, names_only, slice_bytes), byte_bounds(min_bytes), repeated_in_bucket(min_bytes), max(2, bucket_bytes // (2 * min_bytes)), "any", scratch)
     rest = [f"{f.name}" for f in docs.select("doc_id", *carry).schema.fields]
     out = keyed.join(found, ["kd", "kt"], "left").select(*rest, F.col("text").cast("binary").alias("text"), "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)

@@ -3,7 +3,7 @@
 Words are level-0 symbols.  Each round names runs of equal symbols and then pairs, chosen by names only, so equal
 substrings have the same interior symbols everywhere.  Every window of ``width`` words takes as anchor the symbols of least name on
 the highest level that its words determine (``anchor_kinds``: the more rounds the wider the window; one round for 13 words).  Spark gathers these names from the whole
-corpus, names all anew if one stands for two sequences of words, and keeps the shared ones.  They reveal long repeats, and ``repeats`` verifies
+corpus and keeps the shared ones (a name only routes: sequences that share one share a bucket).  They reveal long repeats, and ``repeats`` verifies
 them: runs of windows by a 128-bit digest of their words, and where texts differ the words of every window themselves.
 
 Edge cases: null text has no words; documents with fewer words keep all; a null ``doc_id`` is
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, Scratch, doc_key, flat, slices
 from .op5_suffix import covered
 from .recompress import anchors, hierarchy, joined
-from .repeats import digests, repeated_spans, run_batch
+from .repeats import digests, name_batch, repeated_spans, run_batch
 from .rolling import SPACE, mix, ranges, words
 
 WIDTH = 13
@@ -98,23 +97,16 @@ def one_spaced(data: np.ndarray) -> np.ndarray:
     return np.append(out, np.uint8(32)) if len(data) and solid[-1] else out
 
 
-def anchor_digests(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A second name of each anchor: 32 bits of a digest of its words."""
-    view = memoryview(text)
-    return np.fromiter((zlib.crc32(view[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)), np.uint32, len(begin)).view(np.int32)
-
-
-def word_runs(width: int, seed: int = 0, names_only: bool = False, limit: int = SLICE_BYTES):
+def word_runs(width: int, names_only: bool = False, limit: int = SLICE_BYTES):
     kinds = anchor_kinds(width)
 
     def one(kd, kt, data, start, end, first, base) -> pa.RecordBatch:
         per = np.diff(first)
         doc = np.repeat(np.arange(len(per)), per)
-        levels = hierarchy(data, start, end, doc, kinds[0][0], seed)
+        levels = hierarchy(data, start, end, doc, kinds[0][0])
         count = np.maximum(per - width + 1, 0)
         p, row = ranges(first[:-1], count), np.repeat(np.arange(len(per)), count)
         at, name = np.full(len(p), -1, np.int64), np.zeros(len(p), np.uint64)
-        first_word, end_word = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         for kind, (level, g) in enumerate(kinds):
             none = np.flatnonzero(at < 0)
             x = joined(levels[level], g)
@@ -123,16 +115,15 @@ def word_runs(width: int, seed: int = 0, names_only: bool = False, limit: int =
             a = anchors(x, p[none], width)
             none, a = none[a >= 0], a[a >= 0]
             at[none], name[none] = x.start[a] * len(kinds) + kind, mix(x.name[a] + np.uint64(kind))
-            first_word[none], end_word[none] = x.start[a], x.end[a]
         new = np.ones(len(p), bool)
         new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
         b = np.flatnonzero(new)
         e = np.append(b[1:], len(p))[: len(b)] - 1
         row, name, ps, pe = row[b], name[b], p[b], p[e]
+        if names_only:
+            return name_batch(kd[row], name)
         text, where = joined_words(data, start, end)
-        second = anchor_digests(text, where[first_word[b]], where[end_word[b]] - 1) if names_only else np.zeros(len(b), np.int32)
-        whole = np.zeros((len(b), 2), np.int64) if names_only else digests(text, where[ps], where[pe + width] - 1)
-        return run_batch(kd[row], kt[row], name, second, whole, ps - first[row] + base, pe - ps + 1)
+        return run_batch(kd[row], kt[row], name, digests(text, where[ps], where[pe + width] - 1), ps - first[row] + base, pe - ps + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +187,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, width: int = WIDTH, bucke
     """``doc_id, n_words, n_removed, kept`` (the kept words, joined by one space, as UTF-8) of every row."""
     keyed = doc_key(docs.select("doc_id", "text"))
     texts = keyed.where("doc_id is not null").select("kd", "kt", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = repeated_spans(texts, lambda seed, names_only: word_runs(width, seed, names_only, slice_bytes), word_bounds(width), earlier_in_bucket(width), bucket_rows, "earlier", scratch)
+    found = repeated_spans(texts, lambda names_only: word_runs(width, names_only, slice_bytes), word_bounds(width), earlier_in_bucket(width), bucket_rows, "earlier", scratch)
     out = keyed.join(found, ["kd", "kt"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return out.mapInArrow(cut_words(width), "doc_id long, n_words long, n_removed long, kept binary")
 

@@ -1,8 +1,7 @@
 """Recompression of token sequences: rounds that name runs of equal symbols and then pairs, on flat arrays.
 
 A name is a seeded 64-bit function of its rule (a word; a symbol and how often it follows itself; a pair of symbols), so every
-executor gives equal strings equal names without holding the dictionary; that a name stands for one sequence of words in the whole corpus
-is confirmed by Spark where names are exchanged (``repeats.repeated_spans``), which draws another seed otherwise.
+executor gives equal strings equal names without holding the dictionary; names route, and texts decide (``repeats.repeated_spans``).
 Each symbol also carries the word interval that determines it (``lo``, ``hi``): two
 places whose words agree on that interval show the same symbol at the same offset.
 """
@@ -112,7 +111,7 @@ def anchors(x: Level, start: np.ndarray, width: int) -> np.ndarray:
         k += 1
 
 
-def hierarchy(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, rounds: int, seed: int) -> list[Level]:
+def hierarchy(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, rounds: int, seed: int = 0) -> list[Level]:
     """Levels 0 .. rounds of a slice."""
     levels = [level0(word_names(data, start, end, seed), doc)]
     for k in range(rounds):

@@ -10,7 +10,7 @@ from the first window's start to the last one's end, first window, number of win
 3. where an anchor has runs with different text, one representative of each text is sent to the anchor's bucket, and the bucket
    compares the texts themselves, window by window (``solve``); its verdict goes back to all runs with that text.
 
-Even so names only route: were two anchors to share a name and second name, they would share a bucket, whose texts decide.
+Names only route: two anchors that share a name share a bucket, whose texts decide.
 
 Skew: a key that holds over 1 / ``HEAVY`` of a join's rows is heavy; there are at most ``HEAVY`` such keys, whatever the corpus, so
 their side of the join is broadcast and their rows stay where they are.  A bucket of more than ``limit`` different texts is not
@@ -29,13 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-RUN_SCHEMA = "kd long, kt long, key long, d int, r1 long, r2 long, p int, n int"
+RUN_SCHEMA = "kd long, kt long, key long, r1 long, r2 long, p int, n int"
+NAME_SCHEMA = "kd long, key long"
 PIECE_SCHEMA = "key long, r1 long, r2 long, w long, j int, d1 long, d2 long, body binary"
 HITS_SCHEMA = "r1 long, r2 long, js array<int>"
 #: At most this many keys hold over 1 / HEAVY of all rows; below LEAST rows no key is worth the detour.
 HEAVY, LEAST = 2000, 2000
-#: Seeds that are tried until names are one to one.
-SEEDS = 20
 #: Bytes of bucket texts that are compared in one numpy pass; a larger bucket is a pass by itself.
 TOGETHER = 1 << 18
 
@@ -47,9 +46,13 @@ def digests(data, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def run_batch(kd, kt, key, d, r, p, n) -> pa.RecordBatch:
-    columns = [kd, kt, key.view(np.int64), d, r[:, 0], r[:, 1], p.astype(np.int32), n.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kd", "kt", "key", "d", "r1", "r2", "p", "n"])
+def run_batch(kd, kt, key, r, p, n) -> pa.RecordBatch:
+    columns = [kd, kt, key.view(np.int64), r[:, 0], r[:, 1], p.astype(np.int32), n.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kd", "kt", "key", "r1", "r2", "p", "n"])
+
+
+def name_batch(kd, key) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kd), pa.array(key.view(np.int64))], names=["kd", "key"])
 
 
 def heavy(counts: DataFrame, key: str, count: str) -> list[int]:
@@ -148,19 +151,13 @@ def repeated_spans(texts: DataFrame, runs_of: Callable, bounds: Callable, solve:
     """``(kd, kt, spans array<struct<p, n>>)``: windows p .. p+n-1 of a document are repeated.
 
     mode ``any``: the window also starts at another place; ``earlier``: it also starts in a document of smaller
-    ``kd``.  texts: ``(kd, kt, text)``.  ``runs_of(seed, names_only)``: mapInArrow function from texts to runs, without digests or without second names.  ``bounds``: see ``extract``; ``solve``: see ``in_buckets``; its weights are the number of
+    ``kd``.  texts: ``(kd, kt, text)``.  ``runs_of(names_only)``: mapInArrow function from texts to the names of runs, or to runs.  ``bounds``: see ``extract``; ``solve``: see ``in_buckets``; its weights are the number of
     runs with that text, or the least ``kd`` of them.
     """
     earlier = mode == "earlier"
-    for seed in range(SEEDS):
-        seen = texts.mapInArrow(runs_of(seed, True), RUN_SCHEMA).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("kd").alias("lo"), F.max("kd").alias("hi"), (F.min("d") != F.max("d")).alias("clash"))
-        hot = scratch.keep(seen.where("lo < hi" if earlier else "c > 1").select("key", "c", "clash"), "shared-anchors")
-        if not hot.where("clash").limit(1).count():
-            break
-        scratch.drop(hot)
-    else:
-        raise RuntimeError("no seed gives different anchors different names")
-    runs = texts.mapInArrow(runs_of(seed, False), RUN_SCHEMA).drop("d")
+    seen = texts.mapInArrow(runs_of(True), NAME_SCHEMA).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("kd").alias("lo"), F.max("kd").alias("hi"))
+    hot = scratch.keep(seen.where("lo < hi" if earlier else "c > 1").select("key", "c"), "shared-anchors")
+    runs = texts.mapInArrow(runs_of(False), RUN_SCHEMA)
     cand = scratch.keep(with_keys(runs, hot, "key", heavy(hot, "key", "c")), "candidates")
     name = ["r1", "r2"]
     same = cand.groupBy(*name).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.min(F.struct("kd", "kt", "p", "n")).alias("rep"))
