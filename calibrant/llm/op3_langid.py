@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, slices
+from .common import flat, slices, tidy
 from .textnorm import letters
 
 BUCKETS, DIM, GRAMS = 1 << 17, 16, (2, 3, 4)
@@ -188,4 +188,4 @@ def language_id(docs: DataFrame, carry: tuple[str, ...] = (), model: Model | Non
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, at most 128 MB
     base = docs.select("doc_id", *carry, F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text")
-    return base.withColumn("text", F.col("text").cast("binary")).mapInArrow(predict(shared), f"{types}, lang_pred string, score double, rejected boolean")
+    return base.withColumn("text", F.col("text").cast("binary")).mapInArrow(tidy(predict(shared)), f"{types}, lang_pred string, score double, rejected boolean")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, partitions, slices
+from .common import Scratch, connected_components, partitions, slices, tidy
 from .op4_simhash import shingle_hashes
 from .rolling import mix
 
@@ -243,20 +243,20 @@ def similar(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarit
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.xxhash64(F.lit(0), text).alias("kt"), text.cast("binary").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    rows = scratch.keep(base.mapInArrow(signatures(shingle), f"doc_id {kind}, kt long, sig binary"), "signatures")
+    rows = scratch.keep(base.mapInArrow(tidy(signatures(shingle)), f"doc_id {kind}, kt long, sig binary"), "signatures")
     classes = scratch.keep(rows.where("sig is not null").dropDuplicates(["kt"]).select("kt", "sig"), "classes")
     n = partitions(docs.sparkSession, classes.count() * INDEXED)
     head = classes.select("kt", F.substring("sig", 1, 4 * INDEXED).alias("c"))
-    keys = head.mapInArrow(variants, "key long, kt long").repartition(n, "key").sortWithinPartitions("key")
-    members = scratch.keep(keys.mapInArrow(shared, "bucket long, kt long").distinct(), "members")
+    keys = head.mapInArrow(tidy(variants), "key long, kt long").repartition(n, "key").sortWithinPartitions("key")
+    members = scratch.keep(keys.mapInArrow(tidy(shared), "bucket long, kt long").distinct(), "members")
     tail = classes.select("kt", F.substring("sig", 4 * INDEXED + 1, BITS // 8).alias("bits"))
     met = split_large(members).join(tail, "kt").select("bucket", "kt", "bits").repartition(n, "bucket").sortWithinPartitions("bucket", "kt")
     sure, doubt = limit(similarity, -DEVIATIONS), limit(similarity, DEVIATIONS)
-    first = scratch.keep(met.mapInArrow(verify(sure, doubt), "a long, b long, doubtful boolean").distinct(), "first-links")
+    first = scratch.keep(met.mapInArrow(tidy(verify(sure, doubt)), "a long, b long, doubtful boolean").distinct(), "first-links")
     open_ = first.where("doubtful").select(F.col("a").alias("bucket"), F.col("b").alias("kt"))
     texts = base.select("kt", "text").join(open_.select("kt").distinct(), "kt", "left_semi").dropDuplicates(["kt"])
     near = open_.join(tail, "kt").join(texts, "kt").select("bucket", "kt", "bits", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "kt")
-    more = near.mapInArrow(verify_exactly(sure, doubt, similarity, shingle), "a long, b long")
+    more = near.mapInArrow(tidy(verify_exactly(sure, doubt, similarity, shingle)), "a long, b long")
     links = scratch.keep(first.where("not doubtful").select("a", "b").union(more).distinct(), "links")
     scratch.drop(members, classes, first)
     roots = connected_components(links, scratch).select(F.col("node").alias("kt"), "root")

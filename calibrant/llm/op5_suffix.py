@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, doc_key, flat, overlapping, slices
+from .common import SLICE_BYTES, Scratch, doc_key, flat, overlapping, slices, tidy
 from .repeats import digests, name_batch, repeated_spans, run_batch
 from .rolling import BYTE, SPACE, grams, prefix, ranges, sliding_min
 
@@ -200,7 +200,7 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES,
     rest = [f"{f.name}" for f in docs.select("doc_id", *carry).schema.fields]
     out = keyed.join(found, ["kd", "kt"], "left").select(*rest, F.col("text").cast("binary").alias("text"), "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-    return out.mapInArrow(cut_bytes(min_bytes, characters, least_words), f"{types}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.mapInArrow(tidy(cut_bytes(min_bytes, characters, least_words)), f"{types}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -25,11 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: The byte-level pre-tokeniser's published pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 400_000
+#: Of words whose ids are kept, the bytes in a worker: an entry of the cache costs about ``ENTRY_BYTES`` besides the word and its ids.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
 #: Bytes of a word from which on it is merged by itself.
 LONG = 256
 NONE = np.int64(1 << 60)
@@ -67,6 +68,7 @@ class Bpe:
         order = np.argsort(key, kind="stable")
         self.keys, self.rank, self.to = key[order], order.astype(np.int64), to[order]
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
@@ -159,6 +161,10 @@ class Bpe:
             sym, word = sym[keep], word[keep]
         return out
 
+    def forget(self) -> None:
+        """Empty the cache of words."""
+        self.words, self.held = {}, 0
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str | bytes]] = []
         new: dict[str, None] = {}
@@ -171,14 +177,16 @@ class Bpe:
                 elif part:
                     found += self.find(part)
             pieces.append(found)
-            new.update(dict.fromkeys(w for w in set(found) if w not in self.words and type(w) is str))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            new.update(dict.fromkeys(w for w in set(found) if type(w) is str and w not in self.words))
+        if self.held > CACHE_BYTES:
+            self.forget()
             new = dict.fromkeys(w for found in pieces for w in found if type(w) is str)
         todo = list(new)
         for i in range(0, len(todo), 1 << 17):
             part = todo[i : i + (1 << 17)]
-            self.words.update(zip(part, self.merge(part), strict=True))
+            ids = self.merge(part)
+            self.words.update(zip(part, ids, strict=True))
+            self.held += sum(map(len, part)) + sum(map(len, ids)) + ENTRY_BYTES * len(part)
         get = self.words.__getitem__
         return [b"".join(map(get, found)) if len(p) == 1 else b"".join(w if type(w) is bytes else get(w) for w in found) for found, p in zip(pieces, ([0] if not any(t in x for t in self.special) else [0, 1] for x in texts), strict=True)]
 
@@ -194,16 +202,19 @@ def load(file: str) -> Bpe:
 def encode_decode(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                names = part.schema.names
-                texts = [t or "" for t in part.column(names.index("text")).to_pylist()]
-                ids = bpe.encode_all(texts)
-                rest = [i for i, k in enumerate(names) if k != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in rest), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],
-                    names=[*(names[i] for i in rest), "n_tokens", "ids", "decoded"],
-                )
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", 1 << 20):
+                    names = part.schema.names
+                    texts = [t or "" for t in part.column(names.index("text")).to_pylist()]
+                    ids = bpe.encode_all(texts)
+                    rest = [i for i, k in enumerate(names) if k != "text"]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(i) for i in rest), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],
+                        names=[*(names[i] for i in rest), "n_tokens", "ids", "decoded"],
+                    )
+        finally:
+            bpe.forget()
 
     return run
 
@@ -212,7 +223,7 @@ def bpe_round_trip(docs: DataFrame, file: str, carry: tuple[str, ...] = ()) -> D
     """``doc_id``, ``carry``, ``n_tokens, ids`` (binary, unsigned 32-bit little-endian) ``, decoded`` of every row."""
     base = docs.select("doc_id", *carry, "text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text")
-    return base.mapInArrow(encode_decode(file), f"{types}, n_tokens long, ids binary, decoded string")
+    return base.mapInArrow(tidy(encode_decode(file)), f"{types}, n_tokens long, ids binary, decoded string")
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, slices
+from .common import Scratch, flat, slices, tidy
 from .rolling import ranges, word_names, words
 from .textnorm import bare_words
 
@@ -392,7 +392,7 @@ def match_block(found: DataFrame, rows: list[tuple], vocabulary: Vocabulary, cos
     numbers = [(i, vocabulary.find(h)[1]) for i, h in rows]
     words_ = np.unique(np.concatenate([c for _, c in numbers]))
     if len(words_) < len(vocabulary.known):
-        found = found.mapInArrow(of_block(words_), FOUND)
+        found = found.mapInArrow(tidy(of_block(words_)), FOUND)
         numbers = [(i, np.searchsorted(words_, c).astype(np.int32)) for i, c in numbers]
     short, whole = ([x for x in numbers if (len(x[1]) < least_words) == few] for few in (True, False))
     exact = found.mapInArrow(short_items(short), MATCH) if short else None
@@ -401,20 +401,20 @@ def match_block(found: DataFrame, rows: list[tuple], vocabulary: Vocabulary, cos
     n, numbered = len(words_), [c for _, c in whole]
     own = [x for c in numbered for x in item_passages(c)]
     rank = min(n, max(RANKS[0], min(RANKS[1], len(whole) // 2)))
-    table = summed(found.mapInArrow(count_passages(n), SUMS), n, 2)
+    table = summed(found.mapInArrow(tidy(count_passages(n)), SUMS), n, 2)
     df, total = table[:, 0], table[0, 1] + len(own)
     for x in own:
         df[np.unique(x)] += 1
     rarity = np.log((total + 1) / (df + 1))
     idf = np.where(df > max(common * total, FLOOR), 0, rarity)
     weight = (idf / np.sqrt(np.maximum(df, 1))).astype(np.float32)
-    b = summed(found.mapInArrow(sketch(weight, rank), SUMS), n, rank)
+    b = summed(found.mapInArrow(tidy(sketch(weight, rank)), SUMS), n, rank)
     look = omega(n, rank) * weight[:, None]
     for x in own:
         x = x[weight[x] > 0]
         add_sketch(b, look, x, np.zeros(len(x), np.int64))
     index = build_index([i for i, _ in whole], numbered, idf, rarity, leading_vectors(b, weight, rank), lcs, answer)
-    hits = found.mapInArrow(search(index, weight > 0, cosine, lcs, answer), MATCH)
+    hits = found.mapInArrow(tidy(search(index, weight > 0, cosine, lcs, answer)), MATCH)
     return hits.union(exact) if short else hits
 
 
@@ -434,7 +434,7 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, cosine: fl
     if not hashed:
         return docs.sparkSession.createDataFrame([], MATCH)
     vocabulary = Vocabulary(np.concatenate([h for _, h in hashed]))
-    found = scratch.keep(texts.mapInArrow(number_words(vocabulary), FOUND), "benchmark-words")
+    found = scratch.keep(texts.mapInArrow(tidy(number_words(vocabulary)), FOUND), "benchmark-words")
     out = None
     for k in range(0, len(hashed), block):
         hits = match_block(found, hashed[k : k + block], vocabulary, cosine, lcs, answer, common, least_words)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 RUN_SCHEMA = "kd long, kt long, key long, r1 long, r2 long, p int, n int"
 NAME_SCHEMA = "kd long, key long"
@@ -155,9 +155,9 @@ def repeated_spans(texts: DataFrame, runs_of: Callable, bounds: Callable, solve:
     runs with that text, or the least ``kd`` of them.
     """
     earlier = mode == "earlier"
-    seen = texts.mapInArrow(runs_of(True), NAME_SCHEMA).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("kd").alias("lo"), F.max("kd").alias("hi"))
+    seen = texts.mapInArrow(tidy(runs_of(True)), NAME_SCHEMA).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("kd").alias("lo"), F.max("kd").alias("hi"))
     hot = scratch.keep(seen.where("lo < hi" if earlier else "c > 1").select("key", "c"), "shared-anchors")
-    runs = texts.mapInArrow(runs_of(False), RUN_SCHEMA)
+    runs = texts.mapInArrow(tidy(runs_of(False)), RUN_SCHEMA)
     cand = scratch.keep(with_keys(runs, hot, "key", heavy(hot, "key", "c")), "candidates")
     name = ["r1", "r2"]
     same = cand.groupBy(*name).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.min(F.struct("kd", "kt", "p", "n")).alias("rep"))
@@ -168,8 +168,8 @@ def repeated_spans(texts: DataFrame, runs_of: Callable, bounds: Callable, solve:
     weight = F.col("kd") if earlier else F.col("c")
     chosen = split_join(same, split, ["key"], heavy(split, "key", "k")).select("kd", "kt", F.struct("p", "n", "key", *name, weight.alias("w"), (F.col("k") > limit).alias("big")).alias("s"))
     picks = chosen.groupBy("kd", "kt").agg(F.collect_list("s").alias("picks"))
-    pieces = scratch.keep(texts.join(picks, ["kd", "kt"]).select("text", "picks").mapInArrow(extract(bounds), PIECE_SCHEMA), "pieces")
-    hits = pieces.where("body is not null").repartition("key").sortWithinPartitions("key").mapInArrow(in_buckets(solve), HITS_SCHEMA)
+    pieces = scratch.keep(texts.join(picks, ["kd", "kt"]).select("text", "picks").mapInArrow(tidy(extract(bounds)), PIECE_SCHEMA), "pieces")
+    hits = pieces.where("body is not null").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(in_buckets(solve)), HITS_SCHEMA)
     if split.where(F.col("k") > limit).limit(1).count():
         windows = pieces.where("body is null").select(*name, "j", "d1", "d2", "w").distinct()
         whole = windows.groupBy("d1", "d2").agg(F.min("w").alias("first"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("rows"))
