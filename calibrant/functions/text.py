@@ -3,26 +3,50 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements whose content is not text (fixed values).
 DROPPED = ("script", "style", "meta", "link", "head", "title")
-#: Entities of the pages, the ampersand last (fixed values).
+#: Entities of the pages, for the SQL of the queries (fixed values).
 ENTITIES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&"))
 CONTEXT_CHARS = 4000
 
 
+#: A tag: a quoted value may hold ``>`` (possessive and bounded, so that a stray quote costs nothing).
+TAG = r"""</?[A-Za-z](?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>=]++|=){0,200}+>"""
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def decoded_references(x: Column) -> Column:
+    """Character references: decimal, hexadecimal, and the 252 names of HTML 4 (Python's table); unknown ones stay.
+
+    Each different reference of a text is replaced once, the ampersand's own last, so nothing is decoded twice.
+    """
+    names = F.create_map(*[F.lit(v) for name, code in sorted(name2codepoint.items()) for v in (f"&{name};", chr(code) if name != "nbsp" else " ")], F.lit("&apos;"), F.lit("'"))
+
+    def char(r: Column) -> Column:
+        digits = F.when(F.lower(F.substring(r, 1, 3)) == "&#x", F.conv(F.substring(r, F.lit(4), F.length(r) - 4), 16, 10)).otherwise(F.substring(r, F.lit(3), F.length(r) - 3)).cast("long")
+        valid = (digits > 0) & (digits < 0x110000) & ~digits.between(0xD800, 0xDFFF)
+        point = F.when(digits == 160, F.lit(" ")).when(valid, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(F.startswith(r, F.lit("&#")), point).otherwise(F.coalesce(F.try_element_at(names, r), r))
+
+    last = lambda r: F.when(r.isin("&amp;", "&#38;", "&#038;", "&#x26;", "&#X26;"), 1).otherwise(0)
+    found = F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0))), lambda r: F.struct(last(r).alias("last"), r.alias("r"))))
+    return F.when(F.contains(x, F.lit("&")), F.aggregate(found, x, lambda text, r: F.replace(text, r["r"], char(r["r"])))).otherwise(x)
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text: dropped elements and comments go, tags become spaces, entities are decoded, white space collapses; null is ''."""
+    """Visible text: dropped elements and comments go, tags become spaces, references are decoded, white space collapses; null is ''."""
     x = F.coalesce(html, F.lit(""))
     x = F.regexp_replace(x, "(?s)<!--.*?-->", " ")
     for tag in DROPPED:
         x = F.regexp_replace(x, f"(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>", " ")
-    x = F.regexp_replace(x, "(?s)<[^>]*>", " ")
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
+    x = F.regexp_replace(F.regexp_replace(x, TAG, " "), "(?s)<[^>]*>", " ")
+    # the text is an element that the inner function gets, so the tags are taken out once
+    x = F.transform(F.array(x), decoded_references)[0]
     return F.trim(F.regexp_replace(x, "\\s+", " "))
 
 
