@@ -7,17 +7,23 @@ with the record separator as line separator (CR LF CR LF), so the archives are p
 that Spark knows, and task commits make retries safe.  A block is at most ``segment_bytes`` long and a file holds at most ``file_records`` records,
 continuations counted, so a reader's row is at most ``file_records * (segment_bytes + headers)``, 66 MB by default.
 
+Identifiers: a record that revisits refer to is named by page_id, digest and url, so WARC-Refers-To names a record of the archive;
+a page that occurs more than once with url and payload is the same record written again, under one name.  Other names end in task and row.
+
 Reading: files are parsed as byte streams by Content-Length; continuation records are grouped by their origin's identifier,
 ordered by segment number, checked against the total length and joined; chunked framing is decoded; payload digests are
-checked.  A missing segment, a wrong length or a wrong digest raises.
+checked.  A missing segment, a wrong length or a wrong digest raises.  Archives of other writers are read, too: one gzip member a record, folded
+header lines, records of other kinds (skipped), payload digests that are missing, base32, of another algorithm, or taken
+before the framing is decoded.  Files are read in one task each, so foreign archives need files that fit one row (2 GB).
 
 Edge cases: null html is an empty payload; null ids are written as such, and are never the one that others refer to while one has an
 id; rows that repeat the largest id are all stored; an empty table gives an empty one; urls are
-percent-escaped where they hold control characters.
+percent-escaped where they hold control characters; other columns of the input, whatever their names, are dropped.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -28,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .repeats import heavy, split_join
 
 LEAST, SEGMENT, CHUNK, FILE_RECORDS = 1000, 65_536, 16_384, 1000
 CRLF = b"\r\n"
 #: Most bytes of blocks in one file; it is read as one row.
 FILE_BYTES = 1 << 28
-PARSED = "page_id long, kind string, origin string, seg int, total long, refers_to long, digest string, block binary, payload binary"
+PARSED = "page_id long, kind string, record_id string, origin string, uri string, seg int, total long, refers_to long, refers_to_record string, label string, http boolean, digest string, block binary, payload binary"
+#: Record types that hold or name a payload; others are skipped (fixed values).
+KINDS = ("response", "resource", "revisit", "continuation")
+COLUMNS = ("page_id", "record_type", "record_id", "uri", "digest", "refers_to", "refers_to_record")
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -73,17 +83,17 @@ def records(segment: int, chunk: int):
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[bytes] = []
-            for page, url, html, digest, main, size in zip(*(c if k == 2 else c.to_pylist() for k, c in enumerate(batch.columns)), strict=True):
+            for page, url, html, digest, name, main, target in zip(*(c if k == 2 else c.to_pylist() for k, c in enumerate(batch.columns)), strict=True):
                 n += 1
-                revisit = main is not None and main != page
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                name = f"<urn:page:{page}:{digest}:{task}-{n}>"
+                name = name or f"<urn:page:{page}:{digest}:{task}-{n}>"
+                uri = ("WARC-Target-URI", quote(url or "", safe=":/?#[]@!$&'()*+,;=%~"))
                 # the separator must not occur by itself at a record's end only; it may occur inside blocks, which are read by length
-                common = [("WARC-Record-ID", name), ("WARC-Target-URI", quote(url or "", safe=":/?#[]@!$&'()*+,;=%~")), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Page-ID", "" if page is None else str(page)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+                common = [("WARC-Record-ID", name), uri, ("WARC-Date", "1970-01-01T00:00:00Z"), ("Page-ID", "" if page is None else str(page)), ("WARC-Payload-Digest", f"sha1:{digest}")]
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
                 kind = ("Content-Type", "application/http; msgtype=response")
-                if revisit:
-                    fields = [("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{main}:{digest}>"), ("Refers-To-Page-ID", str(main)), kind]
+                if target:
+                    fields = [("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", target), ("Refers-To-Page-ID", str(main)), kind]
                     out.append(header(fields, head))
                     continue
                 block = head + chunked(payload, chunk)
@@ -93,7 +103,7 @@ def records(segment: int, chunk: int):
                     first.append(("WARC-Segment-Number", "1"))
                 out.append(header(first, cuts[0]))
                 for k, part in enumerate(cuts[1:], 2):
-                    more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k))]
+                    more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), uri, ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k))]
                     out.append(header([*more, ("WARC-Segment-Total-Length", str(len(block)))] if k == len(cuts) else more, part))
                 if sum(map(len, out)) > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
@@ -103,13 +113,20 @@ def records(segment: int, chunk: int):
     return run
 
 
-def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT, chunk: int = CHUNK, file_records: int = FILE_RECORDS) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT, chunk: int = CHUNK, file_records: int = FILE_RECORDS, scratch: Scratch | None = None) -> None:
     if file_records * segment > FILE_BYTES:
         raise ValueError(f"a file of {file_records} records of {segment} bytes is more than {FILE_BYTES} bytes")
-    body = F.coalesce("html", F.lit("")).cast("binary")
-    base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
-    stored = base.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    told = base.join(stored, ["digest", "size"], "left").select("page_id", "url", "html", "digest", "main", "size")
+    scratch = scratch or Scratch(pages.sparkSession)
+    body, url = F.coalesce("html", F.lit("")).cast("binary"), F.col("url").cast("string")
+    place = F.substring(F.sha1(F.coalesce(url, F.lit("")).cast("binary")), 1, 16)
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"), place.alias("place"))
+    stored = base.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "place")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1 and m.page_id is not null")
+    stored = scratch.keep(stored, "stored")
+    told = split_join(base, stored, ["digest"], heavy(stored, "digest", "c"), "left")
+    name = lambda page, at: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(":"), F.col("digest"), F.lit(":"), at, F.lit(">"))
+    main = F.col("m.page_id")
+    revisit = main.isNotNull() & ~main.eqNullSafe(F.col("page_id"))
+    told = told.select("page_id", "url", "html", "digest", F.when(main == F.col("page_id"), name(main, F.col("place"))).alias("name"), main.alias("main"), F.when(revisit, name(main, F.col("m.place"))).alias("target"))
     out = told.mapInArrow(records(segment, chunk), "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
@@ -122,6 +139,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = data[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
+        for i in range(len(lines) - 1, 1, -1):
+            if lines[i][:1] in (" ", "\t"):  # a folded line belongs to the one before
+                lines[i - 1 : i + 1] = [f"{lines[i - 1]} {lines[i].strip()}"]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         n = int(fields["content-length"])
         block = data[end + 4 : end + 4 + n]
@@ -143,59 +163,107 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def expected(label: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and value of a digest header, base16 or base32; None if there is none or its algorithm is unknown."""
+    kind, _, value = (label or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if not value or kind not in hashlib.algorithms_guaranteed or not (size := hashlib.new(kind).digest_size):
+        return None
+    if len(value) == 2 * size:
+        return kind, bytes.fromhex(value)
+    return kind, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+
+
+def checked(block: bytes, http: bool, label: str | None) -> bytes:
+    """The payload of a whole block; its digest may have been taken of the decoded payload or of the body as it was sent."""
+    payload = http_payload(block) if http else block
+    if want := expected(label):
+        sent = block.partition(CRLF + CRLF)[2] if http else block
+        if want[1] not in (hashlib.new(want[0], payload).digest(), hashlib.new(want[0], sent).digest()):
+            raise ValueError("payload digest does not match")
+    return payload
+
+
 def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("origin", pa.string()), ("seg", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary()), ("payload", pa.binary())])
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in PARSED.split(", "))])
     number = lambda f, k: int(f[k]) if f.get(k) else None
     for batch in batches:
         for file in batch.column(0):
-            rows = []
+            rows, held = [], 0
             for f, block in parse(inflate(file.as_buffer().to_pybytes())):
-                kind, seg = f["warc-type"], number(f, "warc-segment-number")
-                whole = kind == "response" and seg is None
-                rows.append((number(f, "page-id"), kind, f.get("warc-segment-origin-id", f["warc-record-id"]), seg, number(f, "warc-segment-total-length"), number(f, "refers-to-page-id"), f.get("warc-payload-digest", "").removeprefix("sha1:"), block if seg else None, checked(http_payload(block), f["warc-payload-digest"]) if whole else None))
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 256]], schema=schema)
-
-
-def checked(payload: bytes, label: str) -> bytes:
-    if hashlib.sha1(payload).hexdigest() != label.removeprefix("sha1:"):
-        raise ValueError("payload digest does not match")
-    return payload
+                kind, seg, label = f["warc-type"], number(f, "warc-segment-number"), f.get("warc-payload-digest")
+                if kind not in KINDS:
+                    continue
+                http = f.get("content-type", "").startswith("application/http")
+                payload = checked(block, http, label) if kind != "revisit" and seg is None else None
+                told = expected(label) if payload is None else ("sha1", hashlib.sha1(payload).digest())
+                rows.append({
+                    "page_id": number(f, "page-id"), "kind": kind, "record_id": f["warc-record-id"], "origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "uri": f.get("warc-target-uri"), "seg": seg,
+                    "total": number(f, "warc-segment-total-length"), "refers_to": number(f, "refers-to-page-id"), "refers_to_record": f.get("warc-refers-to"), "label": label, "http": http,
+                    "digest": told[1].hex() if told and told[0] == "sha1" else None, "block": block if seg else None, "payload": payload,
+                })
+                held += len(block)
+                if len(rows) == 256 or held > 1 << 22:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        page, digest, payload = [], [], []
-        for r in batch.to_pylist():
+        digest, payload = [], []
+        for r in batch.select(["origin", "parts", "http", "label", "copies"]).to_pylist():
             parts = sorted(r["parts"], key=lambda x: x["seg"])
             block = b"".join(x["block"] for x in parts)
             total = [x["total"] for x in parts if x["total"] is not None]
-            if [x["seg"] for x in parts] != list(range(1, len(parts) + 1)) or total != [len(block)]:
+            if [x["seg"] for x in parts] != list(range(1, len(parts) + 1)) or total != [len(block)] or {x["c"] for x in parts} != {r["copies"]}:
                 raise ValueError(f"segments of {r['origin']} are incomplete")
-            page.append(r["page_id"])
-            digest.append(r["digest"])
-            payload.append(checked(http_payload(block), r["digest"]))
-        yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(digest, pa.string()), pa.array(payload, pa.binary())], names=["page_id", "digest", "payload"])
+            payload.append(checked(block, r["http"], r["label"]))
+            digest.append(hashlib.sha1(payload[-1]).hexdigest())
+        kept = [batch.column(n) for n in ("page_id", "kind", "origin", "uri", "copies")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(digest, pa.string()), pa.array(payload, pa.binary())], names=["page_id", "record_type", "record_id", "uri", "copies", "digest", "payload"])
+
+
+def parsed(spark, path: str, pattern: str = "part-*") -> DataFrame:
+    """A row for each record (see ``PARSED``); of segments the block, of whole records the payload."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
+    return files.mapInArrow(read_files, PARSED)
+
+
+def reassembled(rows: DataFrame) -> DataFrame:
+    """The segmented records among ``parsed`` rows as ``COLUMNS`` and ``payload``; a record that was written more than once comes as often, assembled once."""
+    first = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c)
+    parts = rows.where("seg is not null").groupBy("origin", "seg").agg(*map(first, ("page_id", "kind", "uri", "label", "http")), F.max("total").alias("total"), F.first("block").alias("block"), F.count(F.lit(1)).alias("c"))
+    cut = parts.groupBy("origin").agg(*[F.max(c).alias(c) for c in ("page_id", "kind", "uri", "label", "http")], F.max("c").alias("copies"), F.collect_list(F.struct("seg", "total", "block", "c")).alias("parts"))
+    out = cut.mapInArrow(assemble, "page_id long, record_type string, record_id string, uri string, copies long, digest string, payload binary")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS[:5], none("long", "refers_to"), none("string", "refers_to_record"), "payload")
+
+
+def whole(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.where("seg is null").withColumnRenamed("kind", "record_type").select(*COLUMNS, *more)
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """``page_id, record_type, digest, refers_to, payload`` of each record; payload is null for revisits."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    rows = files.mapInArrow(read_files, PARSED)
-    plain = rows.where("seg is null").select("page_id", F.col("kind").alias("record_type"), "digest", "refers_to", "payload")
-    cut = rows.where("seg is not null").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max(F.when(F.col("kind") == "response", F.col("digest"))).alias("digest"), F.collect_list(F.struct("seg", "total", "block")).alias("parts"))
-    whole = cut.mapInArrow(assemble, "page_id long, digest string, payload binary")
-    return plain.union(whole.select("page_id", F.lit("response").alias("record_type"), "digest", F.lit(None).cast("long").alias("refers_to"), "payload"))
+def read_warc(spark, path: str, pattern: str = "part-*") -> DataFrame:
+    """``COLUMNS`` and ``payload`` of each record; the payload is null for revisits.  Both branches parse the archives; ``round_trip`` keeps the rows instead."""
+    rows = parsed(spark, path, pattern)
+    return whole(rows, "payload").union(reassembled(rows))
 
 
 def round_trip(pages: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """Write all pages, read the archives back, and give each record's digest columns."""
+    """Write all pages, read the archives back, and give each record's digest columns; a revisit's are those of the record it refers to."""
     path = scratch.path("warc")
     with scratch.writing():
-        write_warc(pages, path, **options)
+        write_warc(pages, path, scratch=scratch, **options)
     scratch.release()
-    rows = read_warc(pages.sparkSession, path)
-    slim = scratch.keep(rows.select("page_id", "record_type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes")), "records")
-    stored = slim.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("payload_bytes").alias("stored_bytes"))
-    out = slim.join(stored, ["refers_to", "digest"], "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "stored_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    size = F.octet_length("payload").cast("long").alias("payload_bytes")
+    rows = scratch.keep(parsed(pages.sparkSession, path).withColumn("payload_bytes", size).drop("payload"), "records")
+    slim = scratch.keep(whole(rows, "payload_bytes").union(reassembled(rows).select(*COLUMNS, size)), "whole-records")
+    scratch.drop(rows)
+    names = slim.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.col("refers_to_record").alias("record_id"))
+    stored = slim.where("record_type = 'response'").groupBy("record_id").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("digest").alias("digest"))
+    asked = names.groupBy("record_id").agg(F.count(F.lit(1)).alias("c"))
+    revisits = split_join(names, stored, ["record_id"], heavy(asked, "record_id", "c"), "left")
+    columns = ("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return slim.where("record_type = 'response'").select(*columns).union(revisits.select(*columns))

@@ -61,12 +61,12 @@ def heavy(counts: DataFrame, key: str, count: str) -> list[int]:
     return [r[0] for r in counts.where(F.col(count) > max(LEAST, total // HEAVY)).select(key).distinct().collect()]
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], many: list[int]) -> DataFrame:
-    """Inner join with a ``right`` of unique keys; rows of the keys in ``many`` (first column of ``on``) are not exchanged."""
+def split_join(left: DataFrame, right: DataFrame, on: list[str], many: list, how: str = "inner") -> DataFrame:
+    """Join of keys that are never null with a ``right`` of unique keys; rows of the keys in ``many`` (first column of ``on``) are not exchanged."""
     if not many:
-        return left.join(right, on)
+        return left.join(right, on, how)
     known = F.col(on[0]).isin(many)
-    return left.where(~known).join(right.where(~known), on).unionByName(left.where(known).join(F.broadcast(right.where(known)), on))
+    return left.where(~known).join(right.where(~known), on, how).unionByName(left.where(known).join(F.broadcast(right.where(known)), on, how))
 
 
 def with_keys(left: DataFrame, keys: DataFrame, on: str, many: list[int]) -> DataFrame:
