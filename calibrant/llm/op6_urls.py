@@ -1,15 +1,15 @@
 """Operator 6: URL filtering by rules, and by naive Bayes on segmented host words where no rule fits.
 
-Word counts come from all page titles, path words and the words of hyphenated host labels; ``SEEDS`` and ``PLAIN`` words are
-known in any case.  A host's labels are cut into words by unigram Viterbi: every substring of the distinct labels is
-looked up in the counts by a join (the dictionary is never broadcast), and the best split is found label by label.  A label has at most
-63 characters; what is longer cannot be a host's and stays one word.
-Training is weakly supervised: pages whose host's words hold a seed word are examples of ``block``, all others of ``allow``,
-for a multinomial naive Bayes over host and path words (digits count by their number).  URLs that no rule fits are
-judged by its posterior, ``allow`` at a tie; where no host holds a seed word, the prior of ``block`` is zero.
+Word counts come from all page titles, path words and the words of hyphenated host labels.  A host's labels are cut into words by
+unigram Viterbi: every substring of the distinct labels is looked up in the counts by a join (the dictionary is never
+broadcast), and the best split is found label by label.  A label has at most 63 characters; what is longer cannot be a host's and stays one word.
+Pages that a rule judges are the labelled rows of a multinomial naive Bayes over host and path words (digits count by their number); the
+labels of the rules' own host names are left out of it, as every labelled page holds them.  URLs that no rule fits are judged by its posterior with add-one
+smoothing of classes and words, ``allow`` at a tie and where nothing is labelled.  ``seeds`` (none by default) are host words
+that label pages without a rule as ``block``.
 
 Work is done once for each distinct pair of host and path shape (digits levelled), with pre-aggregated counts, so a hot host is
-one row until the verdicts are joined back.
+one row until the verdicts are joined back; rows of hosts, words and shapes that stand in very many rows are not exchanged by the joins.
 
 Edge cases: null url and url without ``://``: host and path are empty, no rule fits; null ids are ordinary rows; repeated rows
 repeat in the result; an empty table gives an empty one; titles are read whole; other columns are dropped.
@@ -25,12 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .repeats import heavy, split_join
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Host words that mark unwanted sites (weak labels), and ordinary words that such names are joined with.
-SEEDS = ("ads", "adult", "adware", "bet", "bets", "betting", "casino", "dating", "erotic", "escort", "gamble", "gambling", "lottery", "malware", "nude", "payday", "pharmacy", "phishing", "pill", "pills", "poker", "porn", "roulette", "sex", "sexy", "slots", "spam", "tracker", "track", "viagra", "webcam", "xxx")
-PLAIN = ("best", "blog", "buy", "cheap", "click", "club", "farm", "free", "girls", "hot", "live", "mail", "my", "news", "now", "online", "play", "shop", "site", "store", "the", "top", "video", "web", "win", "world")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Longest label of a host name (fixed value).
 LABEL = 63
@@ -82,21 +80,23 @@ def segment(total: int):
     return run
 
 
-def filter_urls(pages: DataFrame, scratch: Scratch, rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, scratch: Scratch, rules=RULES, seeds: tuple[str, ...] = ()) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_odds`` of every row."""
+    none = F.array().cast("array<string>")
     host, path = parts(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
     base = base.withColumns({"hit": rule_of(F.col("host"), F.col("path"), rules), "shape": F.translate("path", "123456789", "000000000")})
-    base = scratch.keep(base.select("page_id", "host", "path", "shape", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("said"), F.lower("title").alias("title")), "urls")
+    base = base.withColumn("site", F.concat("host", F.lit("\n"), "shape"))
+    base = scratch.keep(base.select("page_id", "host", "path", "shape", "site", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("said"), F.lower("title").alias("title")), "urls")
     texts = base.select(F.explode(F.split(F.concat_ws(" ", "title", F.lower("path")), r"[^\p{L}]+")).alias("w"))
-    sites = scratch.keep(base.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")), "sites")
-    hosts = sites.select("host").distinct()
+    of = lambda verdict: F.sum((F.col("said") == verdict).cast("long")).alias(verdict)
+    sites = base.groupBy("site", "host", "shape").agg(F.count(F.lit(1)).alias("n"), of("block"), of("allow"))
+    sites = scratch.keep(sites.fillna(0, ["block", "allow"]), "sites")
+    hosts = sites.groupBy("host").agg(F.count(F.lit(1)).alias("k"))
     hyphenated = hosts.select(F.explode(F.filter(F.split("host", r"\."), lambda x: x.contains("-"))).alias("l")).select(F.explode(F.split("l", r"[^\p{L}]+")).alias("w"))
     counts = texts.union(hyphenated).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
     counts = scratch.keep(counts, "word-counts")
     total = counts.agg(F.sum("c")).first()[0] or 1
-    known_words = pages.sparkSession.createDataFrame([(w, 1 + total // 1000) for w in (*SEEDS, *PLAIN)], "w string, c long")
-    counts = counts.union(known_words).groupBy("w").agg(F.sum("c").alias("c"))
     labels = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}]+")).alias("i", "label")).where("label <> ''")
     distinct = labels.where(F.length("label") <= LABEL).select("label").distinct()
     length = F.length("label")
@@ -105,21 +105,30 @@ def filter_urls(pages: DataFrame, scratch: Scratch, rules=RULES) -> DataFrame:
     known = pieces.join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("w", "c")).alias("known"))
     cut = distinct.join(known, "label", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<w:string,c:bigint>>")))
     cut = cut.mapInPandas(segment(int(total)), "label string, words array<string>")
-    named = labels.join(cut, "label", "left").withColumn("words", F.coalesce("words", F.array("label"))).groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
+    own = sorted({x for _, h, _ in rules for x in h.lower().split(".")})
+    used = labels.where(~F.col("label").isin(own)) if own else labels
+    uses = scratch.keep(used.groupBy("label").agg(F.count(F.lit(1)).alias("uses")).join(cut, "label", "left"), "label-words")
+    uses = uses.withColumn("words", F.coalesce("words", F.array("label")))
+    named = split_join(used, uses, ["label"], heavy(uses, "label", "uses")).groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
+    named = scratch.keep(hosts.join(named, "host", "left").withColumn("words", F.coalesce("words", none)), "host-words")
     in_path = F.filter(F.split(F.regexp_replace(F.lower("shape"), "(0+)", " $1 "), r"[^\p{L}0]+"), lambda x: x != "")
-    tokens = sites.join(named, "host", "left").withColumn("tokens", F.concat(F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda x: F.concat(F.lit("h:"), x)), F.transform(in_path, lambda x: F.concat(F.lit("p:"), x))))
-    seeded = F.arrays_overlap(F.coalesce("words", F.array().cast("array<string>")), F.array(*map(F.lit, SEEDS)))
-    tokens = tokens.select("host", "shape", F.when(seeded, F.col("n")).otherwise(0).alias("n_block"), F.when(seeded, 0).otherwise(F.col("n")).alias("n_allow"), "tokens")
-    tokens = scratch.keep(tokens, "site-tokens")
-    each = tokens.select("host", "shape", "n_block", "n_allow", F.explode("tokens").alias("token"))
-    model = scratch.keep(each.groupBy("token").agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a")), "token-counts")
-    sums = model.agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
-    docs = tokens.agg(F.sum("n_block"), F.sum("n_allow")).first()
+    tokens = split_join(sites, named, ["host"], heavy(named, "host", "k"))
+    tokens = tokens.withColumn("tokens", F.concat(F.transform("words", lambda x: F.concat(F.lit("h:"), x)), F.transform(in_path, lambda x: F.concat(F.lit("p:"), x))))
+    if seeds:
+        seeded = F.arrays_overlap("words", F.array(*map(F.lit, seeds)))
+        tokens = tokens.withColumn("block", F.when(seeded, F.col("n") - F.col("allow")).otherwise(F.col("block")))
+    tokens = scratch.keep(tokens.select("site", "n", "block", "allow", "tokens"), "site-tokens")
+    each = tokens.select("site", "block", "allow", F.explode("tokens").alias("token"))
+    model = scratch.keep(each.groupBy("token").agg(F.sum("block").alias("b"), F.sum("allow").alias("a"), F.count(F.lit(1)).alias("rows")), "token-counts")
+    sums = model.agg(F.sum("b"), F.sum("a"), F.sum(((F.col("a") > 0) | (F.col("b") > 0)).cast("long"))).first()
+    docs = tokens.agg(F.sum("block"), F.sum("allow")).first()
     nb, na, v = (float(x or 0) for x in sums)
-    prior = math.log(docs[0] / docs[1]) if docs[0] and docs[1] else math.inf if docs[0] else -math.inf
-    odds = model.select("token", (F.log((F.col("b") + 1) / F.lit(nb + v + 1)) - F.log((F.col("a") + 1) / F.lit(na + v + 1))).alias("w"))
-    judged = each.join(odds, "token").groupBy("host", "shape").agg(F.sum("w").alias("w"))
-    judged = scratch.keep(judged.select("host", "shape", (F.round("w", 9) + F.lit(prior)).alias("block_odds")), "site-odds")
-    out = base.join(judged, ["host", "shape"], "left").withColumn("block_odds", F.coalesce("block_odds", F.lit(prior)))
-    own = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "block_odds")
+    prior = math.log(((docs[0] or 0) + 1) / ((docs[1] or 0) + 1))
+    # words that no labelled page holds say nothing about a class
+    odds = model.where("a + b > 0").select("token", (F.log((F.col("b") + 1) / F.lit(nb + v)) - F.log((F.col("a") + 1) / F.lit(na + v))).alias("w"))
+    judged = split_join(each, odds, ["token"], heavy(model, "token", "rows")).groupBy("site").agg(F.sum("w").alias("w"))
+    judged = tokens.select("site", "n").join(judged, "site", "left")
+    judged = scratch.keep(judged.select("site", "n", (F.round(F.coalesce("w", F.lit(0.0)), 9) + F.lit(prior)).alias("block_odds")), "site-odds")
+    out = split_join(base, judged, ["site"], heavy(judged, "site", "n"))
+    verdict = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("said", verdict).alias("verdict"), "block_odds")

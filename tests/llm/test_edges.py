@@ -79,24 +79,26 @@ def test_language_scores_and_sample(spark):
 
 
 def test_url_odds_by_hand(spark):
-    """Posterior of every page against a plain multinomial naive Bayes; splits of unseen names by trying all of them."""
-    hosts = ["win-casino.io", "casino-farm.io", "gardennews.io", "newsgarden.io", "wincasino.io", "garden-news.io", "x" * 70 + ".io"]
-    rows = [(i, f"http://{h}/{p}", "<title>garden news win farm</title>") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("a/1", "b/22", "pics/3"))]
-    got = {x["page_id"]: x for x in op6.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark)).collect()}
-    parts = {"win-casino.io": ["win", "casino"], "casino-farm.io": ["casino", "farm"], "gardennews.io": ["garden", "news"], "newsgarden.io": ["news", "garden"], "wincasino.io": ["win", "casino"], "garden-news.io": ["garden", "news"], "x" * 70 + ".io": ["x" * 70]}
+    """Posterior of every page against a plain multinomial naive Bayes learnt from the pages that rules judge; splits of unseen names by trying all of them."""
+    rules = (("block", "bad.io", "/"), ("allow", "good.io", "/"))
+    hosts = ["win-casino.bad.io", "casino-farm.bad.io", "gardennews.good.io", "farm-news.good.io", "wincasino.com", "garden-news.com", "casinogarden.io", "x" * 70 + ".com", "bad.com"]
+    rows = [(i, f"http://{h}/{p}", "<title>garden news win farm</title>") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("a/1", "b/22", "pics/3", "q"))][:-1]
+    got = {x["page_id"]: x for x in op6.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark), rules).collect()}
+    cuts = {"gardennews": ["garden", "news"], "wincasino": ["win", "casino"], "casinogarden": ["casino", "garden"], "com": ["c", "o", "m"]}
     docs = []
     for i, url, _ in rows:
         h, p = url[7:].split("/", 1)
-        docs.append((i, "casino" in parts[h], ["h:" + w for w in [*parts[h], "i", "o"]], ["p:" + w for w in p.translate(str.maketrans("123456789", "000000000")).split("/")]))
-    io = [t[2:] for t in Counter(t for x in docs for t in x[2])]
-    assert io  # the last label is cut like any other: "io" is no known word
-    count = {b: Counter(t for _, s, h, p in docs if s == b for t in h + p) for b in (True, False)}
-    v = len(count[True] | count[False])
-    prior = math.log(sum(x[1] for x in docs) / sum(not x[1] for x in docs))
-    for i, _, h, p in docs:
-        odds = prior + sum(math.log((count[True][t] + 1) / (sum(count[True].values()) + v + 1)) - math.log((count[False][t] + 1) / (sum(count[False].values()) + v + 1)) for t in h + p)
-        assert abs(got[i]["block_odds"] - odds) < 1e-6, (i, h, p)
-        assert got[i]["verdict"] == ("block" if odds > 0 else "allow")
+        words = [w for label in h.replace("-", ".").split(".") if label not in ("bad", "good", "io") for w in cuts.get(label, [label])]
+        said = "block" if h.endswith("bad.io") else "allow" if h.endswith("good.io") else None
+        docs.append((i, said, ["h:" + w for w in words] + ["p:" + w for w in p.translate(str.maketrans("123456789", "000000000")).split("/")]))
+    count = {c: Counter(t for _, s, ts in docs if s == c for t in ts) for c in ("block", "allow")}
+    seen = set(count["block"]) | set(count["allow"])
+    share = lambda c, t: (count[c][t] + 1) / (sum(count[c].values()) + len(seen))
+    for i, said, ts in docs:
+        odds = sum(math.log(share("block", t) / share("allow", t)) for t in ts if t in seen)  # as many pages of either class
+        assert abs(got[i]["block_odds"] - odds) < 1e-6, (i, ts)
+        assert got[i]["verdict"] == (said or ("block" if odds > 0 else "allow"))
+    assert {got[i]["verdict"] for i in range(16, 20)} == {"block"} and {got[i]["verdict"] for i in range(20, 24)} == {"allow"}
     words = {"a": 5, "ab": 9, "abc": 2, "bc": 7, "c": 1, "cab": 3}
     for label in ("abcab", "cabc", "xabc", "bcbc"):
         cuts = [[label[i:j] for i, j in zip((0, *c), (*c, len(label)), strict=True)] for m in range(1 << (len(label) - 1)) for c in [[k + 1 for k in range(len(label) - 1) if m >> k & 1]]]

@@ -42,7 +42,8 @@ def test_language_id(spark):
 def test_urls(spark):
     urls = ["http://a.com/en/x", "http://Example.COM/en/7?q", "https://www.example.com/en/71#x", "http://example.com/en/8", "http://x.net/de/", "http://example.net/de/8", "http://xcom/en/", "http://o.org/es", "http://o.org/es/", None, "", "no scheme", "ftp://h?/x", "http://h#://z", "http://www.cheappills.io/fr/1", "http://cheap-pills.io/fr/22", "http://gardennews.io/fr/1"] + ["http://garden.io/fr/%d" % i for i in range(30)]
     rows = [(i, u, "<title>Garden news</title>", 1) for i, u in enumerate(urls)] + [(None, urls[0], None, 1), (0, urls[0], "", 2)]
-    got = op6.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string, rule int"), Scratch(spark)).collect()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, rule int")
+    got = op6.filter_urls(pages, Scratch(spark)).collect()
     assert len(got) == len(rows)
 
     def want(u):
@@ -61,7 +62,10 @@ def test_urls(spark):
     verdict = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
     assert {h + p: v for v, h, p in op6.RULES} == verdict
     assert all(x["verdict"] == verdict[x["rule"]] for x in got if x["rule"])
-    assert [by[i]["verdict"] for i in (14, 15, 16, 17, 9)] == ["block", "block", "allow", "allow", "allow"]
+    seeded = {x["page_id"]: x["verdict"] for x in op6.filter_urls(pages, Scratch(spark), seeds=("pills",)).collect()}
+    assert [seeded[i] for i in (14, 15)] == ["block", "block"]
+    alone = op6.filter_urls(pages.where("page_id >= 14"), Scratch(spark)).collect()  # nothing is labelled
+    assert alone and all(x["verdict"] == "allow" and x["block_odds"] == 0 for x in alone)
     assert op6.viterbi("cheappills", {"cheap": 5, "pills": 4, "heap": 1}, 20) == ["cheap", "pills"]
     assert op6.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), Scratch(spark)).count() == 0
 
