@@ -132,11 +132,23 @@ def final_prompt(context: Column, queries: Column, answers: Column) -> Column:
 
 
 def search_prompt(question: Column, reasoning: Column) -> Column:
-    return fill("Current reasoning so far:\n{r}\n\nQuestion: {q}\n\nWrite only a search query for evidence that helps to check this reasoning.", r=reasoning, q=question)
+    return fill("Write only a search query for evidence that helps to check the reasoning.\n\nReasoning so far:\n{r}\n\nQuestion: {q}", r=reasoning, q=question)
 
 
 def revision_prompt(question: Column, reasoning: Column, evidence: Column) -> Column:
-    return fill("Evidence found:\n{e}\n\nCurrent reasoning:\n{r}\n\nQuestion: {q}\n\nRevise the reasoning step by step and end with Answer|X.", e=evidence, r=reasoning, q=question)
+    return fill("Revise the reasoning step by step with the evidence and end with Answer|X.\n\nEvidence found:\n{e}\n\nReasoning so far:\n{r}\n\nQuestion: {q}", e=evidence, r=reasoning, q=question)
+
+
+def passage_request(question: Column) -> Column:
+    return fill("Write a detailed passage that answers this question.\n\nQuestion: {q}", q=question)
+
+
+#: Ways to ask for another query; a line each, the question below it.
+REWORDINGS = ("Ask the same question in other words:", "Ask a related question that is about the same topic:", "Ask a simpler question:")
+
+
+def rewording_prompt(question: Column, n: int) -> Column:
+    return fill(REWORDINGS[n % len(REWORDINGS)] + "\n{q}", q=question)
 
 
 def parsed_response(response: Column, most: int = 500) -> Column:

@@ -103,6 +103,17 @@ def echo_generator(words: int = 12) -> Callable:
     return lambda: lambda prompts: [" ".join((p or "").split()[-words:]) for p in prompts]
 
 
+def tail_generator() -> Callable:
+    """Behind the first line of the prompt, as many of the last words as the first line has."""
+
+    def model(prompts):
+        for p in prompts:
+            first, _, rest = (p or "").partition("\n")
+            yield " ".join(rest.split()[-max(1, len(first.split())) :])
+
+    return lambda prompts: list(model(prompts))
+
+
 def hashed_embedder(dim: int = 64) -> Callable:
     """A unit vector of hashed words."""
 

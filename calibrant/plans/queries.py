@@ -525,7 +525,17 @@ _ANSWER = """sm as (select item_id as sample_id, text as question, list_filter(s
     select sample_id, first_value(opt) over (partition by sample_id order by p desc, pos) as predicted_answer, pos, opt, p from pp"""
 _NO_CONTEXT = f"with cx as (select item_id as sample_id, cast(null as varchar) as context from benchmark), {_ANSWER}"
 _RAG = f"with {_BM25}, xx as (select query_id, list(text order by rank) as docs from bm join documents using (doc_id) where rank <= 10 group by query_id), cx as (select query_id as sample_id, left(chr(10) || '- ' || array_to_string(docs, chr(10) || '- '), 4000) || chr(10) || 'Query Time: March 1, 2025' as context from xx), {_ANSWER}"
-_HYDE = _RAG.replace("(select item_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as term from benchmark)", "(select item_id, unnest(list_concat(x.w, x.w)) as term from (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from benchmark) x)")
+
+#: The stand-in model answers with the last 12 words of its prompt, which ends with the question.
+_LAST = "(select item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[-12:] as w from (select item_id, 'Write a detailed passage that answers this question. Question: ' || text as text from benchmark))"
+_ASKED_BY_MODEL = _BM25.replace("(select item_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as term from benchmark)", f"(select item_id, unnest(w) as term from {_LAST})")
+_FOUND = "xx as (select query_id, list(text order by rank) as docs from bm join documents using (doc_id) where rank <= 10 group by query_id)"
+_HYDE = _RAG.replace(_BM25, _ASKED_BY_MODEL)
+_RAT = f"""with {_ASKED_BY_MODEL}, {_FOUND}, cx as (select query_id as sample_id, 'Step-by-step reasoning with evidence:' || chr(10) || trim(left(array_to_string(list_transform(docs, lambda x: left(x, 1000)), chr(10)), 4000), ' ')
+    || chr(10) || 'Reasoning: ' || array_to_string(w, ' ') || chr(10) || chr(10) || 'Query Time: March 1, 2025' as context from xx join {_LAST} on item_id = query_id), {_ANSWER}"""
+_CO = f"""with {_BM25}, {_FOUND}, past as (select query_id, j, 'Doc ' || j || ': ' || docs[len(docs) - (j - 1) % len(docs)] || chr(10) as line from (select query_id, docs, unnest(range(1, 3 * len(docs) + 1)) as j from xx)),
+    ls as (select *, coalesce(sum(length(line)) over (partition by query_id order by j rows between unbounded preceding and 1 preceding), 0) as before from past),
+    cx as (select query_id as sample_id, string_agg(line, '' order by j desc) as context from ls where before <= 5000 group by query_id), {_ANSWER}"""
 
 
 def _system(name: str, sql: str | None = None):
@@ -539,7 +549,7 @@ def _system(name: str, sql: str | None = None):
     return query(sql)(run)
 
 
-_SYSTEM_SQL = {**dict.fromkeys(("simplellm", "hydellm", "fusionllm", "ratllm", "raptorllm", "selfllm", "fidllm"), _NO_CONTEXT), **dict.fromkeys(("simplerag", "raptorrag"), _RAG), "hyderag": _HYDE}
+_SYSTEM_SQL = {**dict.fromkeys(("simplellm", "hydellm", "fusionllm", "ratllm", "raptorllm", "selfllm", "fidllm"), _NO_CONTEXT), **dict.fromkeys(("simplerag", "raptorrag"), _RAG), "hyderag": _HYDE, "ratrag": _RAT, "corag": _CO}
 for _n in sorted(systems.REGISTRY):
     _system(_n, _SYSTEM_SQL.get(_n))
 

@@ -78,9 +78,9 @@ def retrieved(samples: DataFrame, query: Column, retriever: Retriever, k: int) -
     return samples.join(docs, "sample_id", "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<string>")))
 
 
-def rewrite(question: Column, n: int) -> Column:
-    """Stand-in generator: the n-th rewording drops the n-th word."""
-    return F.array_join(F.filter(tokens(question), lambda w, i: i != n), " ")
+def said(text: Column, otherwise: Column) -> Column:
+    """What a model said, or ``otherwise`` where it said nothing."""
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")), otherwise)
 
 
 def distinct_queries(question: Column, generated: Column) -> Column:
@@ -188,9 +188,9 @@ class System:
     k, batch, technique, method = 10, 40, "direct", "normal"
     default_generator = staticmethod(models.echo_generator())
 
-    def __init__(self, retriever: Retriever | None = None, scorer=overlap_score, generator: Callable | None = None, model: str = "default", technique: str | None = None, method: str | None = None, eos: str = "</s>", embedder: Callable | None = None):
+    def __init__(self, retriever: Retriever | None = None, scorer=overlap_score, generator: Callable | None = None, model: str = "default", technique: str | None = None, method: str | None = None, eos: str = "</s>", embedder: Callable | None = None, workspace: Workspace | None = None):
         self.retriever, self.scorer, self.generator, self.model, self.eos = retriever, scorer, generator or self.default_generator, model, eos
-        self.embedder = embedder or models.hashed_embedder()
+        self.embedder, self.workspace = embedder or models.hashed_embedder(), workspace
         self.technique, self.method = technique or self.technique, method or self.method
         if self.technique not in pr.TECHNIQUES:
             raise ValueError(f"unknown technique {self.technique!r}; known: {pr.TECHNIQUES}")
@@ -244,22 +244,28 @@ class HydeLlm(System):
 
 
 class HydeRag(SimpleRag):
-    """Retrieval with a generated passage."""
+    """Retrieval with a generated passage that would answer the question; with the question where none is generated."""
 
     technique = "hyde"
 
     def query(self) -> Column:
-        return F.concat(F.col("question"), F.lit(" "), F.array_join("options", " "))
+        return said(F.col("passage"), F.col("question"))
+
+    def contexts(self, samples):
+        return super().contexts(self.generated(samples, pr.passage_request(F.col("question")), "passage"))
 
 
 class FusionLlm(System):
     """Fan-out of a question into reworded queries, for retrieval by others; answers with the context that the sample brings along."""
 
-    technique, queries = "fusion", 3
+    technique, queries, default_generator = "fusion", 3, staticmethod(models.tail_generator)
 
     def fan_out(self, samples: DataFrame) -> DataFrame:
-        """``queries``: the question and up to ``queries`` distinct rewordings."""
-        return samples.withColumn("queries", distinct_queries(F.col("question"), F.array(*[rewrite(F.col("question"), i) for i in range(self.queries)])))
+        """``queries``: the question and up to ``queries`` distinct generated ones."""
+        told, names = samples, [f"__query{i}" for i in range(self.queries)]
+        for i, name in enumerate(names):
+            told = self.generated(told, pr.rewording_prompt(F.col("question"), i), name)
+        return told.withColumn("queries", distinct_queries(F.col("question"), F.array(*names))).drop(*names)
 
 
 class FusionRag(FusionLlm):
@@ -288,32 +294,59 @@ class RatLlm(System):
 
 
 class RatRag(RatLlm):
-    """Rounds of thoughts: each round retrieves with the reasoning so far; a column per state variable."""
+    """Reasoning that is revised thought by thought: each round generates a query from the reasoning so far, retrieves, and has the reasoning revised with the evidence.
+
+    A round's state is a written table: with a ``workspace`` of the same root a job goes on after the last round that it finished.
+    """
 
     batch = 2
 
     def contexts(self, samples):
-        state = samples.withColumn("reasoning", F.col("question"))
-        for _ in range(self.rounds):
-            state = retrieved(state, F.col("reasoning"), self.retriever, self.k)
-            state = state.withColumn("reasoning", F.concat_ws("\n", "question", F.nullif(thought_context(F.col("docs")), F.lit("")))).drop("docs")
-        return state.withColumn("context", F.col("reasoning"))
+        workspace = self.workspace or Workspace(samples.sparkSession)
+        question, reasoning = F.col("question"), F.col("reasoning")
+        when = F.coalesce("query_time", F.lit(QUERY_TIME)) if has_column(samples, "query_time") else F.lit(QUERY_TIME)
+        state = workspace.step("rat-0", lambda: self.thoughts(samples).withColumn("reasoning", F.col("thoughts")[0]))
+        for i in range(self.rounds):
+
+            def revised(state=state, i=i):
+                asked = workspace.step(f"rat-{i + 1}-asked", lambda: self.generated(state, pr.search_prompt(question, reasoning), "search"))
+                found = retrieved(asked, said(F.col("search"), question), self.retriever, self.k).withColumn("evidence", thought_context(F.col("docs")))
+                told = self.generated(found, pr.revision_prompt(question, reasoning, F.col("evidence")), "revised")
+                last = F.concat("evidence", F.lit("\nReasoning: "), "revised")
+                told = told.withColumn("reasoning", last if i == self.rounds - 1 else F.concat("revised", F.lit("\n"), F.col("thoughts")[i + 1]))
+                return told.drop("search", "docs", "evidence", "revised")
+
+            state = workspace.step(f"rat-{i + 1}", revised)
+        return state.withColumn("context", F.concat(F.lit("Step-by-step reasoning with evidence:\n"), reasoning, F.lit("\nQuery Time: "), when))
 
 
 class CoRag(System):
-    """A chain of sub-queries with their answers; documents are prepended, newest first."""
+    """A chain of generated sub-queries with their answers; documents are prepended, newest first.
 
-    technique, batch, rounds = "rag", 8, 3
+    Documents are those of the question, found once and read by every round; with ``by_subquery`` each round searches with its sub-query.
+    A round's state is a written table, as in ``RatRag``.
+    """
+
+    technique, batch, rounds, by_subquery = "rag", 8, 3, False
 
     def contexts(self, samples):
-        none = F.array().cast("array<string>")
-        state = samples.withColumns({"sub": F.col("question"), "past": none, "subqueries": none, "subanswers": none})
+        workspace = self.workspace or Workspace(samples.sparkSession)
+        none, question = F.array().cast("array<string>"), F.col("question")
+        start = samples.withColumns({"past": none, "subqueries": none, "subanswers": none})
+        state = workspace.step("co-0", lambda: start if self.by_subquery else retrieved(start, question, self.retriever, self.k))
         for i in range(self.rounds):
-            state = retrieved(state, F.col("sub"), self.retriever, self.k)
-            state = self.generated(state, pr.subanswer_prompt(F.col("sub"), F.col("docs")), "said")
-            state = state.withColumns({"past": F.concat("past", "docs"), "subqueries": F.array_append("subqueries", F.col("sub")), "subanswers": F.array_append("subanswers", pr.parsed_response(F.col("said")))})
-            state = state.withColumn("sub", rewrite(F.col("question"), i)).drop("docs", "said")
-        return state.withColumn("context", newest_first_context(F.col("past")))
+
+            def answered(state=state, i=i):
+                asked = self.generated(state, pr.subquery_prompt(question, F.col("subqueries"), F.col("subanswers")), "sub")
+                asked = asked.withColumn("sub", pr.parsed_response(said(F.col("sub"), question)))
+                if self.by_subquery:
+                    asked = retrieved(workspace.step(f"co-{i + 1}-asked", lambda: asked.drop("docs")), F.col("sub"), self.retriever, self.k)
+                told = self.generated(asked, pr.subanswer_prompt(F.col("sub"), F.col("docs")), "said")
+                told = told.withColumns({"past": F.concat("past", "docs"), "subqueries": F.array_append("subqueries", F.col("sub")), "subanswers": F.array_append("subanswers", pr.parsed_response(F.col("said")))})
+                return told.drop("sub", "said")
+
+            state = workspace.step(f"co-{i + 1}", answered)
+        return state.withColumn("context", newest_first_context(F.col("past"))).drop("docs")
 
     def prompted(self, rows):
         chain = pr.final_prompt(F.col("context"), F.col("subqueries"), F.col("subanswers"))

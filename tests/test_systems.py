@@ -52,7 +52,7 @@ def test_every_system_answers_every_sample(spark, samples, docs, name):
 
 def test_side_outputs(spark, samples):
     queries = {x["sample_id"]: x["queries"] for x in systems.FusionLlm().fan_out(samples).collect()}
-    assert queries[2] == ["short"] and len(queries[1]) == 4
+    assert queries[2] == ["short"] and queries[1][1:] == ["of all the fish that swim here", "fish is it of all the fish that swim here", "that swim here".replace("that", "fish that")]
     thoughts = systems.RatLlm(generator=lambda: lambda p: ["one\ntwo\nthree\nfour\nAnswer|A"] * len(p)).thoughts(samples).first()["thoughts"]
     assert thoughts == ["one\nfour", "two", "three", "", "", ""]
     with pytest.raises(ValueError):
