@@ -1,6 +1,6 @@
 """AUROC and area under the rejection-accuracy curve over pooled option rows ``(p, label)``, p from 0 to 1.
 
-The global order is run through cell by cell (see ``running``).
+AUROC runs through the distinct values cell by cell (see ``running``); AURAC through all rows by sampled ranges, as most rows may share a value (see ``order``).
 """
 
 from __future__ import annotations
@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrant.operators.order import preceding_sums
 from calibrant.operators.running import running
+from calibrant.sources.tables import Workspace
 
 
 def auroc(rows: DataFrame) -> DataFrame:
@@ -21,10 +23,11 @@ def auroc(rows: DataFrame) -> DataFrame:
     return s.select(F.round(F.try_divide(F.col("r") - np_ * (np_ + 1) / 2, np_ * nn), 9).alias("auroc"))
 
 
-def aurac(rows: DataFrame, order: list[str], steps: int = 1000) -> DataFrame:
+def aurac(rows: DataFrame, order: list[str], steps: int = 1000, workspace: Workspace | None = None) -> DataFrame:
     """Trapezoid of the accuracy of the most confident (1 - r) n rows, r = 0 .. 1 in ``steps``; ties by ``order``."""
-    run = running(rows, "p", {"k": F.lit(1), "hits": F.col("label")}, ties=tuple(order), descending=True)
-    run = run.select("k", (F.col("hits") / F.col("k")).alias("acc"))
+    told = rows.select((-F.col("p")).alias("__low"), *[c for c in order if c != "label"], "label", F.lit(1).alias("__one"))
+    run = preceding_sums(told, [], ["__low", *order], {"k": "__one", "hits": "label"}, workspace or Workspace(rows.sparkSession), "aurac")
+    run = run.select((F.col("k") + 1).alias("k"), ((F.col("hits") + F.col("label")) / (F.col("k") + 1)).alias("acc"))
     n = rows.agg(F.count(F.lit(1)).alias("n"))
     grid = rows.sparkSession.range(steps + 1).select((F.col("id") * (1.0 / steps)).alias("r")).join(F.broadcast(n), F.lit(True))
     keep = grid.select("r", F.greatest(F.lit(1), F.bround((1.0 - F.col("r")) * F.col("n"), 0).cast("long")).alias("k"))
