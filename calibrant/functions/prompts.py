@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from calibrant.functions.text import confidence_text, inject, rotated, split_passages
+from calibrant.functions.text import SPACES, confidence_text, inject, rotated, split_passages, strip
 
 #: How an answer is asked for (fixed value: the answer parser reads this marker).
 ASK = "Please provide your final answer in the format Answer|X where X is your answer for the multiple choice question, which can be A, B, C, D, ..."
@@ -107,7 +107,7 @@ def passage_prompt(question: Column, context: Column) -> Column:
 
 def reader_input(prefix: Column, choices: Column) -> Column:
     """Prefix, choices and the request for a letter."""
-    return F.concat(F.rtrim(prefix), F.lit("\nChoices:\n"), choices, F.lit("\nAnswer with only the letter (A, B, C, or D): |Answer"))
+    return F.concat(F.rtrim(prefix, F.lit(SPACES)), F.lit("\nChoices:\n"), choices, F.lit("\nAnswer with only the letter (A, B, C, or D): |Answer"))
 
 
 # ---- chains ----------------------------------------------------------------------------------------------------
@@ -124,11 +124,11 @@ def subquery_prompt(question: Column, queries: Column, answers: Column) -> Colum
 
 
 def subanswer_prompt(subquery: Column, documents: Column) -> Column:
-    return fill('Answer the query from the documents only, or say "No relevant information found".\n\n## Documents\n{docs}\n\n## Query\n{q}', docs=F.trim(F.array_join(documents, "\n\n")), q=subquery)
+    return fill('Answer the query from the documents only, or say "No relevant information found".\n\n## Documents\n{docs}\n\n## Query\n{q}', docs=strip(F.array_join(documents, "\n\n")), q=subquery)
 
 
 def final_prompt(context: Column, queries: Column, answers: Column) -> Column:
-    return fill("Give a final answer to the main query; intermediate answers may be wrong.\n\n## Documents\n{docs}\n\n## Intermediate queries and answers\n{past}\n", docs=F.trim(context), past=past_pairs(queries, answers))
+    return fill("Give a final answer to the main query; intermediate answers may be wrong.\n\n## Documents\n{docs}\n\n## Intermediate queries and answers\n{past}\n", docs=strip(context), past=past_pairs(queries, answers))
 
 
 def search_prompt(question: Column, reasoning: Column) -> Column:
@@ -157,4 +157,4 @@ def parsed_response(response: Column, most: int = 500) -> Column:
 
 def response_only(response: Column, asked: Column, turn: str = "assistant\n\n") -> Column:
     """What a model added: the part behind the last turn marker, or the text without the prompt."""
-    return F.when(F.contains(response, F.lit(turn)), F.element_at(F.split(response, turn), -1)).otherwise(F.trim(F.replace(response, asked, F.lit(""))))
+    return F.when(F.contains(response, F.lit(turn)), F.element_at(F.split(response, turn), -1)).otherwise(strip(F.replace(response, asked, F.lit(""))))

@@ -20,6 +20,15 @@ TAG = r"""</?[A-Za-z](?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>=]++|=){0,200}+>"""
 REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
+#: White space at the ends of a text, as Unicode has it (line feeds and non-breaking spaces, too).
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at its ends; Spark's own ``trim`` takes spaces only."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def decoded_references(x: Column) -> Column:
     """Character references: decimal, hexadecimal, and the 252 names of HTML 4 (Python's table); unknown ones stay.
 
@@ -47,12 +56,12 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, TAG, " "), "(?s)<[^>]*>", " ")
     # the text is an element that the inner function gets, so the tags are taken out once
     x = F.transform(F.array(x), decoded_references)[0]
-    return F.trim(F.regexp_replace(x, "\\s+", " "))
+    return strip(F.regexp_replace(x, "\\s+", " "))
 
 
 def strip_if_html(doc: Column) -> Column:
     """Tags go only where the text has one; content of scripts stays."""
-    return F.when(F.contains(doc, F.lit("<")), F.trim(F.regexp_replace(F.regexp_replace(doc, "(?s)<[^>]*>", " "), "\\s+", " "))).otherwise(doc)
+    return F.when(F.contains(doc, F.lit("<")), strip(F.regexp_replace(F.regexp_replace(doc, "(?s)<[^>]*>", " "), "\\s+", " "))).otherwise(doc)
 
 
 def document_text(snippet: Column, html: Column) -> Column:
@@ -74,7 +83,7 @@ def fusion_context(docs: Column, chars: int = CONTEXT_CHARS) -> Column:
 
 def thought_context(chunks: Column) -> Column:
     """Each chunk cut to 1000 characters, lines, all cut to 4000, trimmed."""
-    return F.trim(F.substring(F.array_join(F.transform(chunks, lambda c: F.substring(c, 1, 1000)), "\n"), 1, 4000))
+    return strip(F.substring(F.array_join(F.transform(chunks, lambda c: F.substring(c, 1, 1000)), "\n"), 1, 4000))
 
 
 def shared_corpora(search_results: Column) -> Column:
@@ -94,13 +103,13 @@ def newest_first_context(docs: Column, limit: int = 5000) -> Column:
 
 
 def merged_context(old: Column, new: Column, head: str = "\n\nAdditional Context: ") -> Column:
-    blank = F.trim(F.coalesce(new, F.lit(""))) == ""
+    blank = strip(F.coalesce(new, F.lit(""))) == ""
     return F.when(blank, F.coalesce(old, F.lit(""))).otherwise(F.concat(F.coalesce(old, F.lit("")), F.lit(head), new))
 
 
 def split_passages(text: Column) -> Column:
     """Bulleted passages, trimmed, without blanks; the whole text if there are none; one empty passage without text."""
-    parts = F.filter(F.transform(F.split(text, "\n-"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, "\n-"), lambda p: strip(p)), lambda p: p != "")
     return F.when(F.coalesce(text, F.lit("")) == "", F.array(F.lit(""))).when(F.size(parts) == 0, F.array(text)).otherwise(parts)
 
 
@@ -131,7 +140,7 @@ def answer_prefix(response: Column, marker: str = "Answer|") -> Column:
 
 def answer_letter(response: Column) -> Column:
     """Marked letter, lone letter, letter at the end, first letter of A-E anywhere, else A."""
-    text = F.trim(F.coalesce(response, F.lit("")))
+    text = strip(F.coalesce(response, F.lit("")))
     tries = [F.regexp_extract(text, "Answer\\|\\s*([A-E])", 1), F.regexp_extract(text, "^([A-E])$", 1), F.regexp_extract(text, "\\b([A-E])[.)]\\s*$", 1), F.regexp_extract(text, "([A-E])", 1)]
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit("A"))
 
@@ -191,7 +200,7 @@ def needs_retrieval(tokens: Column) -> Column:
 
 def thoughts(response: Column, prompt: Column, limit: int) -> Column:
     """Lines without blanks and the last one; those after ``limit`` are glued to the first; padded with ''."""
-    lines = F.filter(F.split(F.replace(response, prompt, F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.replace(response, prompt, F.lit("")), "\n"), lambda x: strip(x) != "")
     lines = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
     first = F.array_join(F.concat(F.slice(lines, 1, 1), F.slice(lines, limit + 1, 100000)), "\n")
     out = F.when(F.size(lines) > limit, F.concat(F.array(first), F.slice(lines, 2, limit - 1))).otherwise(lines)
@@ -205,7 +214,7 @@ def tokens(text: Column) -> Column:
 
 def matched_options(options: Column, labels: Column) -> Column:
     """The options that equal a label, as they are spelled, each once."""
-    clean = lambda x: F.lower(F.trim(x))
+    clean = lambda x: F.lower(strip(x))
     return F.array_distinct(F.filter(options, lambda o: F.exists(labels, lambda x: clean(x) == clean(o))))
 
 
@@ -217,5 +226,5 @@ def label_match_strict(options: Column, labels: Column) -> Column:
 
 def label_match(options: Column, labels: Column) -> Column:
     """1 for each option equal to a label after trimming and lower-casing."""
-    clean = lambda x: F.lower(F.trim(x))
+    clean = lambda x: F.lower(strip(x))
     return F.transform(options, lambda o: F.exists(labels, lambda x: clean(x) == clean(o)).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from calibrant.functions.text import tokens
+from calibrant.functions.text import strip, tokens
 
 SIZE, OVERLAP = 500, 50
 
@@ -28,7 +28,7 @@ def sliding(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 def sentences(text: Column, least: int = 10, most: int = 1000) -> Column:
     """Sentences of more than ``least`` characters, cut to ``most`` afterwards."""
-    found = F.transform(F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(s))
+    found = F.transform(F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]*"), F.lit(0)), strip)
     return F.transform(F.filter(found, lambda s: F.length(s) > least), lambda s: F.substring(s, 1, most))
 
 
@@ -49,14 +49,24 @@ def _pack(parts: Column, size: int, glue: str) -> Column:
     return F.aggregate(parts, zero, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
 
 
+def sentence_parts(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "[.!?]+"), strip), lambda s: s != "")
+
+
+def paragraph_parts(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n\n"), strip), lambda s: s != "")
+
+
+#: Parts of a text and what stands between those of a chunk.
+PARTS = {"sentence": (sentence_parts, " "), "paragraph": (paragraph_parts, "\n\n")}
+
+
 def sentence_pack(text: Column, size: int = SIZE) -> Column:
-    parts = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
-    return _pack(parts, size, " ")
+    return _pack(sentence_parts(text), size, " ")
 
 
 def paragraph_pack(text: Column, size: int = SIZE) -> Column:
-    parts = F.filter(F.transform(F.split(text, "\n\n"), lambda s: F.trim(s)), lambda s: s != "")
-    return _pack(parts, size, "\n\n")
+    return _pack(paragraph_parts(text), size, "\n\n")
 
 
 METHODS = {"sliding_window": sliding, "sentence": sentence_pack, "paragraph": paragraph_pack, "sentence_spans": sentences}

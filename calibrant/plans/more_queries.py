@@ -11,7 +11,7 @@ from calibrant.operators import conformal as cf
 from calibrant.operators import fusion
 from calibrant.operators import search as s
 from calibrant.plans import models, systems
-from calibrant.plans.queries import _LISTS, _METRICS, _TOKENS, HTML_SQL, PROBS, _evaluated, _limits, _lists, option_rows, query, read
+from calibrant.plans.queries import _LISTS, _METRICS, _TOKENS, HTML_SQL, PROBS, TRIMMED, _evaluated, _limits, _lists, option_rows, query, read
 from calibrant.sources import datasets as ds
 from calibrant.sources.index import Collections
 from calibrant.streaming import running_coverage
@@ -64,7 +64,7 @@ def confidence_prompts(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", *[c.alias(m) for m, c in told.items()])
 
 
-_PASSAGES = f"select item_id, case when len(p) = 0 then [c] else p end as passages from (select item_id, c, list_filter(list_transform(string_split(c, chr(10) || '-'), lambda x: trim(x)), lambda x: x <> '') as p from (select item_id, chr(10) || '- ' || array_to_string(docs, chr(10) || '- ') as c from ({_LISTS})))"
+_PASSAGES = f"select item_id, case when len(p) = 0 then [c] else p end as passages from (select item_id, c, list_filter(list_transform(string_split(c, chr(10) || '-'), lambda x: {TRIMMED}), lambda x: x <> '') as p from (select item_id, chr(10) || '- ' || array_to_string(docs, chr(10) || '- ') as c from ({_LISTS})))"
 
 
 @query(f"select item_id, passages, {sql_fill('Answer the multiple choice question using the provided context.' + chr(10) + 'Respond with one letter in the format Answer|X.' + chr(10) + 'Question: {q}' + chr(10) + 'Answer:', q='cast(item_id as varchar)')} as prefix, true as plain_is_null from ({_PASSAGES})")
@@ -108,7 +108,7 @@ def tree_context(spark, d):
     own = F.when(F.col("conv_id") % 4 == 0, "").otherwise(F.col("role"))
     new = F.when((F.col("turn") % 3 == 0) & (F.col("conv_id") % 4 != 0), " ").otherwise(F.col("text"))
     both = F.when(own == "", F.concat(F.lit("RAPTOR Analysis: "), new)).otherwise(t.merged_context(own, new, "\n\nRAPTOR Analysis: "))
-    return read(spark, d, "conversations").select("conv_id", "turn", both.alias("context"), (F.length(F.trim("text")) > systems.RaptorLlm.LEAST).alias("long_enough"))
+    return read(spark, d, "conversations").select("conv_id", "turn", both.alias("context"), (F.length(t.strip(F.col("text"))) > systems.RaptorLlm.LEAST).alias("long_enough"))
 
 
 # ---- probabilities and metrics -----------------------------------------------------------------------------------
@@ -276,15 +276,14 @@ def dataset_statistics(spark, d):
 
 
 STOP = ["the", "of", "and", "to", "in", "de", "la"]
-_SPACE = f"""tw as (select doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda x: not list_contains([{', '.join(map(quoted, STOP))}], x)) as w from (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') as text from documents)),
+_SPACE = f"""tw as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}'), lambda x: not list_contains([{', '.join(map(quoted, STOP))}], x)) as w from documents),
     tt as (select doc_id, term, count(*) as tf from (select doc_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as term from tw) group by all),
     vv as (select term, count(*) as df, sum(tf) as every from tt group by term order by every desc, term limit 300), nn as (select count(*) as n from documents),
     ww as (select doc_id, term, tf * (ln((n + 1) / (df + 1)) + 1) as x from tt join vv using (term), nn), uu as (select doc_id, term, x / sqrt(sum(x * x) over (partition by doc_id)) as w from ww)"""
 
 
 def _space(spark, d) -> s.TfIdf:
-    docs = read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^\\x00-\\x7F]", " ").alias("text"))
-    return s.TfIdf(docs, STOP, 2, 300)
+    return s.TfIdf(read(spark, d, "documents").select("doc_id", "text"), STOP, 2, 300)
 
 
 @query(f"with {_SPACE} select doc_id, count(*) as terms, round(sum(w), 6) as total from uu group by doc_id")
@@ -295,7 +294,7 @@ def tfidf_features(spark, d):
 @query(f"""with {_SPACE}, qq as (select doc_id as query_id, term, w as q from uu where doc_id % 40 = 0)
     select query_id, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(sum(q * w), 6) as score from qq join uu using (term) group by all)) where rank <= 5""")
 def tfidf_topk(spark, d):
-    asked = read(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("query_id"), F.regexp_replace("text", "[^\\x00-\\x7F]", " ").alias("query"))
+    asked = read(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return _space(spark, d).search(asked, 5)
 
 

@@ -44,6 +44,8 @@ for _tag in t.DROPPED:
 _STRIP = f"regexp_replace({_STRIP}, '(?s)<[^>]*>', ' ', 'g')"
 for _name, _char in t.ENTITIES:
     _STRIP = f"replace({_STRIP}, '{_name.replace(chr(39), chr(39) * 2)}', '{_char.replace(chr(39), chr(39) * 2)}')"
+#: A list's element ``x`` without white space at its ends.
+TRIMMED = "trim(x, '" + t.SPACES + "')"
 HTML_SQL = f"trim(regexp_replace({_STRIP}, '\\s+', ' ', 'g'))"
 
 
@@ -116,7 +118,7 @@ def choices_format(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(t.choices(F.transform(turns, lambda x: x["text"])).alias("choices"))
 
 
-@query(f"select item_id, case when len(p) = 0 then ['' || c] else p end as passages from (select item_id, c, list_filter(list_transform(string_split(c, chr(10) || '-'), lambda x: trim(x)), lambda x: x <> '') as p from (select item_id, chr(10) || '- ' || array_to_string(docs, chr(10) || '- ') as c from ({_LISTS})))")
+@query(f"select item_id, case when len(p) = 0 then ['' || c] else p end as passages from (select item_id, c, list_filter(list_transform(string_split(c, chr(10) || '-'), lambda x: {TRIMMED}), lambda x: x <> '') as p from (select item_id, chr(10) || '- ' || array_to_string(docs, chr(10) || '- ') as c from ({_LISTS})))")
 def passage_split(spark, d):
     return _lists(spark, d).select("item_id", t.split_passages(t.context(F.col("docs"), None, 10**6)).alias("passages"))
 
@@ -152,8 +154,8 @@ def chunk_sliding(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(ch.sliding(F.col("text"), 100, 10)).alias("chunk_id", "chunk"))
 
 
-@query("""select doc_id, cast(i - 1 as integer) as chunk_id, c[i] as chunk from (select doc_id, c, unnest(range(1, len(c) + 1)) as i from
-    (select doc_id, list_transform(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: length(x) > 10), lambda x: left(x, 1000)) as c from documents))""")
+@query(f"""select doc_id, cast(i - 1 as integer) as chunk_id, c[i] as chunk from (select doc_id, c, unnest(range(1, len(c) + 1)) as i from
+    (select doc_id, list_transform(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: {TRIMMED}), lambda x: length(x) > 10), lambda x: left(x, 1000)) as c from documents))""")
 def chunk_sentences(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(ch.sentences(F.col("text"))).alias("chunk_id", "chunk"))
 
@@ -168,12 +170,12 @@ def _pack_sql(parts: str, glue: str, size: int) -> str:
         from (select doc_id, {parts} as p from documents))))"""
 
 
-@query(_pack_sql("list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')", "' '", 60))
+@query(_pack_sql(f"list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {TRIMMED}), lambda x: x <> '')", "' '", 60))
 def chunk_sentence_pack(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(ch.sentence_pack(F.col("text"), 60)).alias("chunk_id", "chunk"))
 
 
-@query(_pack_sql("list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '')", "(chr(10) || chr(10))", 80))
+@query(_pack_sql(f"list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {TRIMMED}), lambda x: x <> '')", "(chr(10) || chr(10))", 80))
 def chunk_paragraph_pack(spark, d):
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return read(spark, d, "documents").select("doc_id", F.posexplode(ch.paragraph_pack(text, 80)).alias("chunk_id", "chunk"))
@@ -282,7 +284,7 @@ def match_topk(spark, d):
     return s.match_topk(_asked(spark, d), docs, 5)
 
 
-_TFIDF = """tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) as term from documents) group by all),
+_TFIDF = """tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]{2,}')) as term from documents) group by all),
     n as (select count(*) as n from documents), x as (select doc_id, term, tf * (ln((n + 1) / (df + 1)) + 1) as x from tf join (select term, count(*) as df from tf group by term) using (term), n),
     v as (select doc_id, term, x / sqrt(sum(x * x) over (partition by doc_id)) as w from x)"""
 

@@ -80,12 +80,12 @@ def retrieved(samples: DataFrame, query: Column, retriever: Retriever, k: int) -
 
 def said(text: Column, otherwise: Column) -> Column:
     """What a model said, or ``otherwise`` where it said nothing."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")), otherwise)
+    return F.coalesce(F.nullif(t.strip(text), F.lit("")), otherwise)
 
 
 def distinct_queries(question: Column, generated: Column) -> Column:
     """The question first, then each other query once, blank ones left out."""
-    return F.array_distinct(F.filter(F.concat(F.array(question), F.transform(generated, lambda q: F.trim(q))), lambda q: q != ""))
+    return F.array_distinct(F.filter(F.concat(F.array(question), F.transform(generated, lambda q: t.strip(q))), lambda q: q != ""))
 
 
 def has_column(df: DataFrame, name: str) -> bool:
@@ -375,7 +375,7 @@ class RaptorLlm(System):
     def condensed(self, samples: DataFrame) -> DataFrame:
         """``raptor_answer``, told from the nodes nearest to the question, where there is a long context of its own, else null."""
         rows = System.contexts(self, samples)
-        long = rows.where(F.length(F.trim(F.coalesce("context", F.lit("")))) > self.LEAST)
+        long = rows.where(F.length(t.strip(F.coalesce("context", F.lit("")))) > self.LEAST)
         if not long.limit(1).count():
             return rows.withColumns({"raptor_answer": F.lit(None).cast("string"), "raptor_used": F.lit(False)})
         nodes = RaptorLlm.tree(self, long)
@@ -383,7 +383,7 @@ class RaptorLlm(System):
         hits = tree.tree_topk(asked, nodes, RaptorLlm.NODES).select(F.col("query_id").alias("sample_id"), "level", "node", "rank")
         found = nodes.join(hits, ["sample_id", "level", "node"]).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("found"))
         told = self.generated(long.select("sample_id", "question").join(found, "sample_id"), pr.subanswer_prompt(F.col("question"), F.col("found")), "raptor_answer")
-        told = told.select("sample_id", F.nullif(F.trim("raptor_answer"), F.lit("")).alias("raptor_answer"))
+        told = told.select("sample_id", F.nullif(t.strip("raptor_answer"), F.lit("")).alias("raptor_answer"))
         return rows.join(told, "sample_id", "left").withColumn("raptor_used", F.col("raptor_answer").isNotNull())
 
     def contexts(self, samples):
@@ -460,7 +460,7 @@ class Replug(System):
         score = F.col("score") if has_column(hits, "score") else 1.1 - 0.1 * F.col("rank")
         docs = hits.select(F.col("query_id").alias("sample_id"), F.col("rank").alias("member"), score.cast("double").alias("weight"), t.ellipsis(F.col("chunk"), self.most).alias("doc"))
         rows = System.contexts(self, samples).join(docs, "sample_id", "left").withColumns({"member": F.coalesce("member", F.lit(1)), "weight": F.coalesce("weight", F.lit(1.0))})
-        return rows.withColumn("context", F.coalesce(F.nullif(F.trim(F.coalesce("doc", F.lit(""))), F.lit("")), "context")).drop("doc")
+        return rows.withColumn("context", F.coalesce(F.nullif(t.strip(F.coalesce("doc", F.lit(""))), F.lit("")), "context")).drop("doc")
 
     def answer(self, samples):
         scored = self.scored(self.prompted(self.members(samples)))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from calibrant.plans import index_queries, more_queries  # noqa: F401
+from calibrant.plans import index_queries, more_queries, scoring_queries  # noqa: F401
 from calibrant.plans import queries as q
 
 DIR = "/root/testdata/sf0.001"
