@@ -125,7 +125,7 @@ def test_sentence_boundaries(spark):
         got.setdefault(x["doc_id"], []).append(x["chunk"])
     assert sorted(got[0]) == sorted([*list(cases.values())[0], "Twice the same id."])
     assert {i: got[i] for i in range(1, len(cases))} == dict(list(enumerate(cases.values()))[1:])
-    assert set(got) == {*range(len(cases)), 92}
+    assert set(got) == set(range(len(cases)))  # "a." and "b." are two sentences, too short to keep
 
 
 def test_sentences_keep_the_limits(spark):
