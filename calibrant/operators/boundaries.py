@@ -24,12 +24,14 @@ ENOUGH, ALTERNATIVE = 0.3, 0.99
 
 def bare(token: Column) -> Column:
     """The token without closing quotes and brackets.  The look-behinds here keep the search linear in long runs."""
-    return F.regexp_replace(token, r"(?<![\"')\]])[\"')\]]+\z", "")
+    closed = F.substring(token, -1, 1).isin('"', "'", ")", "]")
+    return F.when(closed, F.regexp_replace(token, r"(?<![\"')\]])[\"')\]]+\z", "")).otherwise(token)
 
 
 def word_type(token: Column) -> Column:
     """Lower case, without what is neither letter nor digit at both ends."""
-    return F.lower(F.regexp_replace(token, r"\A[^\p{L}\p{N}]+|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+\z", ""))
+    plain = F.substring(token, 1, 1).rlike(r"[\p{L}\p{N}]") & F.substring(token, -1, 1).rlike(r"[\p{L}\p{N}]")  # most tokens
+    return F.when(plain, F.lower(token)).otherwise(F.lower(F.regexp_replace(token, r"\A[^\p{L}\p{N}]+|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+\z", "")))
 
 
 def dotted(token: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from calibrant.functions import text as t
-from calibrant.operators import boundaries, tree
+from calibrant.operators import boundaries, options, tree
 from calibrant.operators import search as s
 
 
@@ -78,8 +78,23 @@ def test_contexts_keep_line_breaks_where_only_spaces_are_trimmed(spark):
     assert tuple(df.select(t.thought_context(F.col("docs")), t.thought_context(F.col("docs"), " ")).first()) == ("a\nb", "a\nb \n\n")
 
 
-def test_vocabulary_counts_tokens_before_patterns(spark):
-    words = boundaries.vocabulary(spark.createDataFrame([("Dr. x dr. Dr. X",), (None,)], "text string"))
-    assert {tuple(x) for x in words.collect()} == {("dr", 3, 3, 1), ("x", 2, 0, 1)}
-    plan = words._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Aggregate") == 2
+def test_options_of_stored_outputs(spark):
+    top = [[("A", 1.0), ("A", 2.0), ("B", float("nan")), ("x", 0.5)], [("r|A", 9.0), ("B", 1.0), ("A", None)], []]
+    kind = "array<array<struct<token: string, logit: double>>>"
+    rows = spark.createDataFrame([(1, ["Ans", "wer|A"], top, ["A", "B", "A"]), (2, [], [[("B", 1.0)]], ["A", "B"]), (3, None, None, ["A"])], f"sample_id long, tokens array<string>, logits {kind}, options array<string>")
+    flat = rows.select("sample_id", F.posexplode("logits").alias("position", "top"))
+    long = flat.select("sample_id", "position", F.explode("top").alias("x")).select("sample_id", "position", "x.*")
+    asked = rows.select("sample_id", F.explode("options").alias("opt"))
+    tell = lambda df: sorted(tuple(x) for x in df.select("sample_id", "opt", "p").collect())
+    assert tell(options.best_of(flat, asked)) == tell(options.best_probabilities(long, asked))
+    steps = rows.select("sample_id", F.posexplode("tokens").alias("position", "token"))
+    out = options.answers_of(rows)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in tell(out) if x[0] != 2] == [x for x in tell(options.answer_probabilities(steps, long, asked)) if x[0] != 2]
+    assert [round(x[2], 6) for x in tell(out) if x[0] == 2] == [0.0, 1.0]  # the position behind no token at all
+
+
+def test_word_types_of_plain_and_other_tokens(spark):
+    tokens = ["Word", '"Word."', "(e.g.)", "'", "...", "É!", "x)\"", "9.", "a-b", "\U0001d400z,", None]
+    got = [tuple(x) for x in spark.createDataFrame([(x,) for x in tokens], "t string").select(boundaries.bare(F.col("t")), boundaries.word_type(F.col("t"))).collect()]
+    assert got == [("Word", "word"), ('"Word.', "word"), ("(e.g.", "e.g"), ("", ""), ("...", ""), ("É!", "é"), ("x", "x"), ("9.", "9"), ("a-b", "a-b"), ("\U0001d400z,", "\U0001d400z"), (None, None)]
