@@ -98,3 +98,35 @@ def test_word_types_of_plain_and_other_tokens(spark):
     tokens = ["Word", '"Word."', "(e.g.)", "'", "...", "É!", "x)\"", "9.", "a-b", "\U0001d400z,", None]
     got = [tuple(x) for x in spark.createDataFrame([(x,) for x in tokens], "t string").select(boundaries.bare(F.col("t")), boundaries.word_type(F.col("t"))).collect()]
     assert got == [("Word", "word"), ('"Word.', "word"), ("(e.g.", "e.g"), ("", ""), ("...", ""), ("É!", "é"), ("x", "x"), ("9.", "9"), ("a-b", "a-b"), ("\U0001d400z,", "\U0001d400z"), (None, None)]
+
+
+def test_an_index_search_hands_on_k_rows_a_query_not_a_row_a_posting():
+    from calibrant.sources import postings
+
+    r = random.Random(8)
+    docs = {i: r.choices("abc", k=r.randrange(1, 9)) for i in range(-300, 300)}
+    words = pa.RecordBatch.from_arrays([pa.array(list(docs)), pa.array(list(docs.values()), pa.list_(pa.string()))], names=["doc_id", "words"])
+    lists = [x for b in postings._posted(100)(iter([words])) for x in b.to_pylist()]
+    assert {(x["term"], x["block"], p["doc_id"], p["tf"], p["len"]) for x in lists for p in x["p"]} == {(w, i // 100, i, n, len(d)) for i, d in docs.items() for w, n in Counter(d).items()}
+    assert len(lists) == 3 * 6
+    rows = []
+    for block in range(-3, 3):
+        ids = [i for i in docs if i // 100 == block and i != 7]  # 7 is deleted
+        rows.append({"block": block, "code": -1, "segment": 0, "docs": ids, "tfs": [len(docs[i]) for i in ids], "segments": [1] * len(ids), "nos": [1]})
+        rows += [{"block": block, "code": "abc".index(x["term"]), "segment": 1, "docs": [p["doc_id"] for p in x["p"]], "tfs": [p["tf"] for p in x["p"]], "segments": None, "nos": None} for x in lists if x["block"] == block]
+    kinds = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("segment", pa.int32()), ("docs", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("segments", pa.list_(pa.int32())), ("nos", pa.list_(pa.int32()))])
+    batch = pa.RecordBatch.from_pylist(rows, kinds)
+    shared = SimpleNamespace(value=(2, np.array([0, 1, 2, 3]), np.array([0, 1, 1]), np.array([1.0, 2.0, -1.0])))  # query 0: a; query 1: b, less c
+
+    def plain(weights):
+        scores = []
+        for i, d in docs.items():
+            held = Counter(d)
+            if i != 7:
+                scores.append((-round(sum(w * held[t] * 2.2 / (held[t] + 1.2 * (0.25 + 0.75 * len(d) / 4)) for t, w in weights.items()), 6), i))
+        return sorted(scores)[:5]
+
+    for needy in (None, np.array([0, 1])):
+        got = [x for b in postings._scored(shared, 5, 4.0, needy)(iter([batch.slice(0, 5), batch.slice(5)])) for x in b.to_pylist()]
+        for no, weights in ((0, {"a": 1.0}), (1, {"b": 2.0, "c": -1.0})):
+            assert sorted((-x["score"], x["doc_id"]) for x in got if x["no"] == no) == ([] if needy is None and no == 0 else plain(weights))
