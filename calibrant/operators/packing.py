@@ -1,18 +1,14 @@
-"""Greedy packing of texts of any length, in linear time.
+"""Greedy packing of texts of any length, in linear time and inside their rows.
 
-A text of at least ``long`` parts is cut into pieces of ``piece`` parts, which Spark deals over tasks.  All that a piece needs to know of those before
-it is the number of words in the chunk that is open at its start (0 to ``size``; a fuller chunk takes nothing more and counts as ``size``).  So each piece
-is reduced to a table of ``size + 1`` rows: words in the open chunk at its end, and how many chunks began inside.  The tables of a text are run through in
-order (a text of 2 GB, the longest that a cell holds, has at most 16,384 of them), and each piece then numbers the chunks of its parts.
-Python sees numbers only; texts stay in the JVM.
+A text of at least ``long`` parts is walked in pieces of ``piece`` parts.  All that a piece needs to know of those before
+it is the number of words in the chunk that is open at its start (0 to ``size``; a fuller chunk takes nothing more and counts as ``size``).
+Python gets the numbers of words and gives the parts that begin a chunk; texts stay in their rows in the JVM, so nothing is exchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,60 +41,52 @@ def through(words: np.ndarray, size: int) -> tuple[list[int], list[int]]:
     return [min(x, size) for x in out], more
 
 
+def begins(words: np.ndarray, size: int, carry: int) -> tuple[list[int], int]:
+    """The parts that begin a chunk, when one is open with ``carry`` words, and the words in the chunk that is open at the end."""
+    before, after = following(words, size)
+    n, to, found = len(words), after.tolist(), []
+    at = int(np.searchsorted(before, size - carry, "right")) - 1 if carry else to[0]
+    while at < n:
+        found.append(at)
+        at = to[at]
+    left = int(before[-1] - before[found[-1]]) if found else carry + int(before[-1])
+    return found, min(left, size)
+
+
 def numbers(words: np.ndarray, size: int, carry: int, chunk: int) -> np.ndarray:
     """The chunk of each part, when chunk number ``chunk`` is open with ``carry`` words."""
-    before, after = following(words, size)
     starts = np.zeros(len(words), np.int32)
-    at = int(np.searchsorted(before, size - carry, "right")) - 1 if carry else int(after[0])
-    while at < len(words):
-        starts[at] = 1
-        at = int(after[at])
+    starts[begins(words, size, carry)[0]] = 1
     return chunk + np.cumsum(starts, dtype=np.int32)
 
 
-def _tables(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out, more = through(part.sort_values("i")["words"].to_numpy(), size)
-        return pd.DataFrame({"row": [part["row"].iloc[0]], "piece": [part["piece"].iloc[0]], "carries": [out], "begun": [more]})
-
-    return run
-
-
-def _carried(tables: pd.DataFrame) -> pd.DataFrame:
-    carry = chunk = 0
-    found = []
-    tables = tables.sort_values("piece")
-    for row, piece, out, more in zip(tables["row"], tables["piece"], tables["carries"], tables["begun"]):
-        found.append((row, piece, carry, chunk))
-        carry, chunk = int(out[carry]), chunk + int(more[carry])
-    return pd.DataFrame(found, columns=["row", "piece", "carry", "chunk"])
-
+def _starts(size: int, long: int, piece: int):
+    """Of each text's numbers of words the parts that begin a chunk."""
 
-def _numbered(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        part["chunk_id"] = numbers(part["words"].to_numpy(), size, int(part["carry"].iloc[0]), int(part["chunk"].iloc[0]))
-        return part[["row", "i", "chunk_id"]]
+    def run(lists: pa.Array) -> pa.Array:
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        words, ends, found, until = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes).tolist(), [], [0]
+        for n, end in zip(sizes.tolist(), ends):
+            own, step, carry = words[end - n : end], n if n < long else piece, 0
+            if n:
+                found.append(0)
+            for at in range(0, n, step or 1):
+                begun, carry = begins(own[at : at + step], size, carry)
+                found += [at + x for x in begun]
+            until.append(len(found))
+        return pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(found, pa.int32()))
 
     return run
 
 
-def pack(df: DataFrame, key: list[str], text: str, method: str, workspace: Workspace, size: int = ch.SIZE, long: int = LONG, piece: int = PIECE) -> DataFrame:
+def pack(df: DataFrame, key: list[str], text: str, method: str, workspace: Workspace | None = None, size: int = ch.SIZE, long: int = LONG, piece: int = PIECE) -> DataFrame:
     """``*key, chunk_id, chunk``, equal to ``METHODS[method]``; rows are told apart even where their keys are equal or null, a null or blank text has no chunk."""
     if method not in ch.PARTS:
         raise ValueError(f"unknown packing method {method!r}; known: {sorted(ch.PARTS)}")
     if size < 1:
         raise ValueError("size must be positive")
     parts, glue = ch.PARTS[method]
-    cut = df.select(*key, F.col(text).alias("__text"), parts(F.col(text)).alias("__parts"))
-    short = cut.where(F.size("__parts") < long).select(*key, F.posexplode(ch.METHODS[method](F.col("__text"), size)).alias("chunk_id", "chunk"))
-    whole = cut.where(F.size("__parts") >= long).withColumn("row", F.monotonically_increasing_id()).select("row", F.struct(*key).alias("key"), F.posexplode("__parts").alias("i", "part"))
-    # written, so that the row numbers are the same to all that follows
-    rows = workspace.step(f"parts_{method}_{size}", lambda: whole.withColumns({"words": F.size(tokens(F.col("part"))), "piece": F.expr(f"cast(i div {piece} as int)")}))
-    counts = rows.select("row", "piece", "i", "words")
-    tables = counts.groupBy("row", "piece").applyInPandas(_tables(size), "row long, piece int, carries array<int>, begun array<int>")
-    carried = tables.groupBy("row").applyInPandas(_carried, "row long, piece int, carry int, chunk int")
-    numbered = counts.join(carried, ["row", "piece"]).groupBy("row", "piece").applyInPandas(_numbered(size), "row long, i int, chunk_id int")
-    held = F.sort_array(F.collect_list(F.struct("i", "part")))
-    chunks = rows.join(numbered, ["row", "i"]).groupBy("row", "chunk_id").agg(F.first("key").alias("key"), F.array_join(held["part"], glue).alias("chunk"))
-    return short.unionByName(chunks.select("key.*", "chunk_id", "chunk"))
+    cut = df.select(*key, parts(F.col(text)).alias("__parts")).withColumn("__words", F.transform("__parts", lambda x: F.size(tokens(x))))
+    begun = cut.withColumn("__starts", F.arrow_udf(_starts(size, long, piece), "array<int>")("__words"))
+    part = lambda s, j: F.slice("__parts", s + 1, F.coalesce(F.get("__starts", j + 1), F.size("__parts")) - s)
+    return begun.select(*key, F.posexplode(F.transform("__starts", lambda s, j: F.array_join(part(s, j), glue))).alias("chunk_id", "chunk"))

@@ -130,3 +130,15 @@ def test_an_index_search_hands_on_k_rows_a_query_not_a_row_a_posting():
         got = [x for b in postings._scored(shared, 5, 4.0, needy)(iter([batch.slice(0, 5), batch.slice(5)])) for x in b.to_pylist()]
         for no, weights in ((0, {"a": 1.0}), (1, {"b": 2.0, "c": -1.0})):
             assert sorted((-x["score"], x["doc_id"]) for x in got if x["no"] == no) == ([] if needy is None and no == 0 else plain(weights))
+
+
+def test_packing_exchanges_nothing(spark):
+    from calibrant.operators import chunk, packing
+
+    r = random.Random(9)
+    texts = [None, "", " . ! ", "one", *(". ".join(" ".join("w" * r.randrange(1, 4) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 40))) for _ in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = packing.pack(df, ["doc_id"], "text", "sentence", None, 7, 10, 4)
+    want = df.select("doc_id", F.posexplode(chunk.chunk(F.col("text"), "sentence", size=7)).alias("chunk_id", "chunk"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange hash" not in packing.pack(df, ["doc_id"], "text", "sentence", None, 7, 10, 4)._jdf.queryExecution().executedPlan().toString()
