@@ -142,3 +142,14 @@ def test_packing_exchanges_nothing(spark):
     want = df.select("doc_id", F.posexplode(chunk.chunk(F.col("text"), "sentence", size=7)).alias("chunk_id", "chunk"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
     assert "Exchange hash" not in packing.pack(df, ["doc_id"], "text", "sentence", None, 7, 10, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_takes_frequencies_and_lengths_in_one_pass(spark):
+    lists = [None, [], ["a", "a", "b"], ["b"], ["c", "a"]]
+    words = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["words"])
+    rows = [x["n"] for b in s._frequencies(SimpleNamespace(value=pa.array(["a", "b", "z"])))(iter([words, words])) for x in b.to_pylist()]
+    assert rows == [4, 4, 0, 10, 8, 12]
+    docs = spark.createDataFrame([(1, "a a b"), (2, None), (3, ""), (4, "b c")], "doc_id long, text string")
+    got = s.Bm25(docs).search(spark.createDataFrame([(1, "a"), (2, None)], "query_id long, query string"), 4).collect()
+    score = round(np.log(3.5 / 1.5) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / (5 / 3))), 6)
+    assert sorted((x[0], -x[2], x[1]) for x in got) == [(1, -score, 1), *((1, 0, i) for i in (2, 3, 4)), *((2, 0, i) for i in (1, 2, 3, 4))]
