@@ -173,3 +173,35 @@ def test_stored_vectors_are_not_scaled_anew(spark, tmp_path):
     r = random.Random(5)
     got, want = _against_sql(spark, tmp_path, "cosine_with_zero_vectors", [(i, [r.gauss(0, 1) for _ in range(8)], i % 2) for i in range(120)])
     assert got == want and len(want) == 30
+
+
+def test_every_vector_is_searched_in_its_group(spark, tmp_path):
+    r = random.Random(6)
+    got, want = _against_sql(spark, tmp_path, "cosine_topk_grouped", [(i, [r.gauss(0, 1) for _ in range(8)], i % 4 or None) for i in range(120)])
+    assert got == want and {x[0] for x in got} == {i for i in range(120) if i % 4}
+
+
+def test_pieces_of_a_group_meet(spark, monkeypatch):
+    monkeypatch.setattr(s, "QUERY_ROWS", 100)
+    monkeypatch.setattr(s, "MET_CHUNKS", 700)
+    r = random.Random(7)
+    entry = lambda: r.choice([-1.0, 0.0, 0.5, 2.0])  # noqa: E731  many ties
+    odd = {3: None, 5: [None, 1.0, 1.0], 6: [float("nan"), 1.0, 1.0], 8: [1.0, 2.0], 9: [], 11: [2.0, 1.0]}
+    rows = [(i, odd.get(i, [entry() for _ in range(3)]), "abc"[i % 40 > 30] if i % 50 else None) for i in range(2500)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, g string").repartition(3)
+    asked, held = df.select(F.col("id").alias("query_id"), F.col("v").alias("q_vec"), "g"), df.select(F.col("id").alias("chunk_id"), F.col("v").alias("c_vec"), "g")
+    good = [(i, v, g) for i, v, g in rows if v and g and all(x is not None and x == x for x in v)]
+    by: dict = {}
+    for i, v, g in good:
+        by.setdefault((g, len(v)), []).append((i, v))
+    for lowest in (False, True):
+        got: dict = {}
+        for x in s.dense_topk(asked, held, 4, "g", lowest).collect():
+            got.setdefault(x["query_id"], []).append((x["rank"], x["chunk_id"], x["score"]))
+        assert set(got) == {i for i, _, _ in good}
+        for members in by.values():
+            ids, m = np.array([i for i, _ in members]), np.array([v for _, v in members])
+            scores = m @ m.T
+            for i, row in zip(ids, scores):
+                best = np.lexsort((ids, row if lowest else -row))[:4]
+                assert sorted(got[i]) == [(n + 1, ids[j], row[j]) for n, j in enumerate(best)]
